@@ -64,10 +64,11 @@ def units_to_stroops(units) -> Column:
 
 
 # E5 -------------------------------------------------------------------------
-def truncate_id(c, start: int = 6, end: int = 4) -> Column:
-    """First ``start`` + '...' + last ``end`` chars when longer than both."""
+def truncate_id(c, start: int = 6, end: int = 4, slack: int = 0) -> Column:
+    """First ``start`` + '...' + last ``end`` chars when longer than
+    ``start + end + slack`` (the search box variant uses slack 3)."""
     s = _c(c)
-    return F.when(F.length(s) <= start + end, s).otherwise(
+    return F.when(F.length(s) <= start + end + slack, s).otherwise(
         F.concat(F.substring(s, 1, start), F.lit("..."), F.right(s, F.lit(end))))
 
 

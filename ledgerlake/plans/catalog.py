@@ -464,9 +464,15 @@ def q_transaction_page_info(spark, sf):
         "total_count")
 
 
+def _load_all() -> None:
+    from ledgerlake.plans import queries_more  # noqa: F401  (registers on import)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load_all()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load_all()
     return dict(ORACLES)

@@ -46,6 +46,10 @@ class Dialect:
     def q(self, ident: str) -> str:
         return f"`{ident}`" if self.name == "spark" else f'"{ident}"'
 
+    def array(self, *items: str) -> str:
+        fn = "array" if self.name == "spark" else "list_value"
+        return f"{fn}({', '.join(items)})"
+
     def json_int(self, doc: str, field: str) -> str:
         if self.name == "spark":
             return f"CAST(get_json_object({doc}, '$.{field}') AS BIGINT)"
@@ -230,8 +234,51 @@ def _views(d: Dialect) -> dict[str, str]:
            'AAAA' AS result_meta_xdr,
            'AAAA' AS fee_meta_xdr,
            {ORDER_MEMO_TYPE} AS memo_type,
-           CAST(NULL AS STRING) AS memo
+           CAST(NULL AS STRING) AS memo,
+           {d.array("concat('sig', CAST(o_orderkey AS STRING))")} AS signatures
     FROM {{orders}}"""
+    v["raw_ledgers_orders"] = f"""
+    SELECT CAST({day_o} AS STRING) AS id,
+           CAST({day_o} AS STRING) AS paging_token,
+           lpad(lower(hex({day_o})), 64, '0') AS hash,
+           CAST({day_o} AS BIGINT) AS sequence,
+           CAST(count_if(o_orderstatus <> 'F') AS BIGINT) AS successful_transaction_count,
+           CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS failed_transaction_count,
+           CAST(count(*) AS BIGINT) AS operation_count,
+           CAST(count(*) AS BIGINT) AS tx_set_operation_count,
+           {d.iso("max(o_orderdate)")} AS closed_at,
+           CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,7)) AS STRING) AS total_coins,
+           '0.0000000' AS fee_pool,
+           CAST(100 AS BIGINT) AS base_fee_in_stroops,
+           CAST(5000000 AS BIGINT) AS base_reserve_in_stroops,
+           CAST(1000 AS BIGINT) AS max_tx_set_size,
+           CAST(20 AS BIGINT) AS protocol_version,
+           'AAAA' AS header_xdr
+    FROM {{orders}}
+    GROUP BY {day_o}"""
+    v["processed_orders"] = f"""
+    SELECT CAST({day_o} AS BIGINT) AS sequence,
+           max(o_orderdate) AS processed_at,
+           CAST(count(*) AS BIGINT) AS tx_count,
+           CAST(count(*) AS BIGINT) AS op_count
+    FROM {{orders}}
+    WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'
+    GROUP BY {day_o}"""
+    v["op_log"] = f"""
+    SELECT CAST(event_id AS STRING) AS id,
+           ts AS logged_at,
+           ts,
+           CAST(value AS DECIMAL(18,2)) AS duration_ms,
+           CAST(value AS DECIMAL(18,2)) AS duration_s,
+           concat('SELECT *   FROM ', event_type, '  WHERE   k = ', props) AS query_text,
+           event_type AS name,
+           CASE WHEN value >= 50 THEN 'large' ELSE 'small' END AS label,
+           event_type AS pipeline,
+           ts AS cycle_at,
+           event_id AS source_sequence,
+           event_id - {d.json_int("props", "k")} AS processed_sequence,
+           value >= 5 AS ok
+    FROM {{events}}"""
     return v
 
 
