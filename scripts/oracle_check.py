@@ -1,124 +1,28 @@
 """Run every registered query and its DuckDB oracle; report matches.
 
 Usage: python scripts/oracle_check.py [sf_dir] [name ...]
-Compares row count, column names (sorted), type families and the
-order-insensitive multiset of row values, the way the correctness gate does.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import decimal
-import math
 import os
 import sys
-import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
-
+from ledgerlake.plans.oracle import check  # noqa: E402
 from ledgerlake.session import build_session  # noqa: E402
-import __spark_entry__ as entry_mod  # noqa: E402
-
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
-def norm(v):
-    if v is None:
-        return "∅"
-    if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return f"f{v:.9g}"
-    if isinstance(v, decimal.Decimal):
-        return f"f{float(v):.9g}"
-    if isinstance(v, bool):
-        return f"b{v}"
-    if isinstance(v, int):
-        return f"f{float(v):.9g}"
-    if isinstance(v, (dt.datetime, dt.date)):
-        return v.isoformat()
-    if isinstance(v, (list, tuple)):
-        return "[" + ",".join(norm(x) for x in v) + "]"
-    return str(v)
-
-
-def family(values):
-    for v in values:
-        if v is None:
-            continue
-        if isinstance(v, bool):
-            return "bool"
-        if isinstance(v, (int, float, decimal.Decimal)):
-            return "num"
-        if isinstance(v, (dt.datetime, dt.date)):
-            return "time"
-        return type(v).__name__
-    return "null"
 
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    only = set(sys.argv[2:])
+    names = set(sys.argv[2:]) or None
     spark = build_session()
-    con = duckdb.connect()
-    for t in TABLES:
-        path = f"{sf}/{t}.parquet"
-        if os.path.exists(path):
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
-    qs, oracles = entry_mod.queries(), entry_mod.oracle_sql()
-    ok = bad = 0
-    for name, fn in qs.items():
-        if only and name not in only:
-            continue
-        t0 = time.time()
-        try:
-            df = fn(spark, sf)
-            rows = [r.asDict(recursive=True) for r in df.collect()]
-            cols = df.columns
-        except Exception as exc:  # noqa: BLE001
-            print(f"FAIL {name}: spark error {type(exc).__name__}: {str(exc)[:400]}")
-            bad += 1
-            continue
-        secs = time.time() - t0
-        if name not in oracles:
-            print(f"rows {name}: {len(rows)} rows (no oracle) {secs:.1f}s")
-            continue
-        try:
-            cur = con.execute(oracles[name])
-            dcols = [d[0] for d in cur.description]
-            drows = [dict(zip(dcols, r)) for r in cur.fetchall()]
-        except Exception as exc:  # noqa: BLE001
-            print(f"FAIL {name}: duckdb error {str(exc)[:400]}")
-            bad += 1
-            continue
-        problems = []
-        if sorted(cols) != sorted(dcols):
-            problems.append(f"columns spark={sorted(cols)} duck={sorted(dcols)}")
-        else:
-            for c in cols:
-                fa, fb = family([r[c] for r in rows]), family([r[c] for r in drows])
-                if fa != fb and "null" not in (fa, fb):
-                    problems.append(f"type {c}: {fa} vs {fb}")
-        if len(rows) != len(drows):
-            problems.append(f"rows spark={len(rows)} duck={len(drows)}")
-        if not problems:
-            key = sorted(cols)
-            a = sorted(tuple(norm(r[c]) for c in key) for r in rows)
-            b = sorted(tuple(norm(r[c]) for c in key) for r in drows)
-            if a != b:
-                diff = [x for x in a if x not in set(b)][:2]
-                diff2 = [x for x in b if x not in set(a)][:2]
-                problems.append(f"values differ; spark-only {diff} duck-only {diff2} cols {key}")
-        if problems:
-            bad += 1
-            print(f"FAIL {name} ({len(rows)} rows, {secs:.1f}s): " + " | ".join(problems)[:1500])
-        else:
-            ok += 1
-            print(f"ok   {name}: {len(rows)} rows {secs:.1f}s")
-    print(f"== {ok} ok, {bad} failing, {len(qs)} registered, {len(oracles)} with oracle")
+    counts = {"ok": 0, "fail": 0, "rows": 0}
+    for name, status, n, secs, msg in check(spark, sf, names):
+        counts[status] += 1
+        print(f"{status:4} {name}: {n} rows {secs:.1f}s {msg[:1500]}")
+    print(f"== {counts['ok']} ok, {counts['fail']} failing, {counts['rows']} rows-only")
 
 
 if __name__ == "__main__":
