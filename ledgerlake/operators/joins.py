@@ -114,14 +114,19 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
 # J9 -------------------------------------------------------------------------
 def cascade_delete(ledgers: DataFrame, tx: DataFrame, ops: DataFrame, sequences):
     """Deleting ledgers removes their transactions, then those transactions'
-    operations. Returns ``(kept, removed)`` dicts of frames."""
-    seqs = list(sequences)
-    gone_led = ledgers.where(F.col("sequence").isin(seqs))
-    gone_tx = tx.where(F.col("ledger_sequence").isin(seqs))
+    operations. ``sequences`` is a frame with a ``sequence`` column (or a
+    short list). Returns ``(kept, removed)`` dicts of frames, built from
+    semi/anti joins so nothing passes through the driver."""
+    if isinstance(sequences, DataFrame):
+        seqs = sequences.select(F.col("sequence").alias("_seq")).distinct()
+    else:
+        seqs = ledgers.sparkSession.createDataFrame([(int(s),) for s in sequences], "_seq long")
+    gone_led = ledgers.join(seqs, ledgers["sequence"] == seqs["_seq"], "left_semi")
+    gone_tx = tx.join(seqs, tx["ledger_sequence"] == seqs["_seq"], "left_semi")
     gone_keys = gone_tx.select(F.col("hash").alias("transaction_hash"))
     kept = {
-        "ledgers": ledgers.where(~F.col("sequence").isin(seqs)),
-        "transactions": tx.where(~F.col("ledger_sequence").isin(seqs)),
+        "ledgers": ledgers.join(seqs, ledgers["sequence"] == seqs["_seq"], "left_anti"),
+        "transactions": tx.join(seqs, tx["ledger_sequence"] == seqs["_seq"], "left_anti"),
         "operations": ops.join(gone_keys, "transaction_hash", "left_anti"),
     }
     removed = {

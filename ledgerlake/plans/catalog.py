@@ -465,7 +465,7 @@ def q_transaction_page_info(spark, sf):
 
 
 def _load_all() -> None:
-    from ledgerlake.plans import queries_more  # noqa: F401  (registers on import)
+    from ledgerlake.plans import queries_extra, queries_more  # noqa: F401  (register on import)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -264,6 +264,12 @@ def _views(d: Dialect) -> dict[str, str]:
     FROM {{orders}}
     WHERE o_orderdate < TIMESTAMP '1997-01-01 00:00:00'
     GROUP BY {day_o}"""
+    v["failure_log"] = f"""
+    SELECT CAST({hour} AS BIGINT) AS sequence, ts AS failed_at, props AS error
+    FROM {{events}} WHERE event_type = 'error'"""
+    v["success_log"] = f"""
+    SELECT CAST({hour} AS BIGINT) AS sequence, ts AS succeeded_at
+    FROM {{events}} WHERE event_type <> 'error'"""
     v["op_log"] = f"""
     SELECT CAST(event_id AS STRING) AS id,
            ts AS logged_at,
