@@ -231,13 +231,17 @@ def daily_transaction_count(tx: DataFrame, days: int = 7, as_of=None) -> DataFra
 # A12 ------------------------------------------------------------------------
 def operation_distribution(op: DataFrame, start=None, end=None) -> DataFrame:
     """Count per operation type with its category and share (% of all,
-    HALF_UP 2 dp). The category map is a 24-row constant frame, broadcast."""
+    HALF_UP 2 dp). The total comes from the aggregated counts (one row per
+    type, so the un-partitioned window sees a few dozen rows), not from a
+    second scan of the operations. The category map is a 24-row constant
+    frame, broadcast."""
+    from pyspark.sql import Window
     from ledgerlake.operators.filters import in_time_range
     spark = op.sparkSession
     sel = in_time_range(op, "created_at", start, end)
     counts = sel.groupBy("type").agg(F.count(F.lit(1)).alias("count"))
+    total = F.sum("count").over(Window.partitionBy())
     cats = F.broadcast(S.operation_category_frame(spark))
-    total = sel.select(F.count(F.lit(1))).scalar()
     return (counts.join(cats, "type", "left")
             .select("type", F.coalesce(F.col("category"), F.lit("other")).alias("category"),
                     "count", E.ratio_half_up(F.col("count"), total, 2, pct=True).alias("share_pct")))
