@@ -75,8 +75,8 @@ def truncate_id(c, start: int = 6, end: int = 4, slack: int = 0) -> Column:
 # E6 -------------------------------------------------------------------------
 def duration_text(start_ts, end_ts) -> Column:
     """``Nd Nh`` / ``Nh Nm`` / ``Nm Ns`` / ``Ns`` with floored units."""
-    micros = (F.unix_micros(_c(end_ts).cast("timestamp"))
-              - F.unix_micros(_c(start_ts).cast("timestamp")))
+    from ledgerlake.operators.common import micros as _us
+    micros = _us(_c(end_ts)) - _us(_c(start_ts))
     secs = F.floor(micros / F.lit(1_000_000))
     mins = F.floor(secs / 60)
     hours = F.floor(mins / 60)
@@ -140,7 +140,8 @@ def day_of(ts) -> Column:
 
 
 def day_text(ts) -> Column:
-    return F.date_format(_c(ts), "yyyy-MM-dd")
+    """``yyyy-MM-dd`` of a date or NTZ timestamp (text cast: zone-free)."""
+    return _c(ts).cast("date").cast("string")
 
 
 # E12 ------------------------------------------------------------------------

@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def ntz_lit(value) -> Column:
+    """A ``timestamp_ntz`` literal from text or a naive datetime, built from
+    text so it never passes through a time zone."""
+    if isinstance(value, _dt.datetime):
+        value = value.isoformat(sep=" ")
+    elif isinstance(value, _dt.date):
+        value = value.isoformat() + " 00:00:00"
+    elif isinstance(value, str):
+        value = value.replace("T", " ").rstrip("Z")
+    return F.lit(value).cast("timestamp_ntz")
+
+
 def as_of_column(df: DataFrame, ts: str, as_of=None) -> Column:
     """The reference time of a job.
 
@@ -20,9 +32,7 @@ def as_of_column(df: DataFrame, ts: str, as_of=None) -> Column:
         return df.select(F.max(ts)).scalar()
     if isinstance(as_of, Column):
         return as_of
-    if isinstance(as_of, str):
-        as_of = _dt.datetime.fromisoformat(as_of.replace("Z", ""))
-    return F.lit(as_of).cast("timestamp_ntz")
+    return ntz_lit(as_of)
 
 
 def minus(ts: Column, seconds: int) -> Column:
@@ -31,8 +41,20 @@ def minus(ts: Column, seconds: int) -> Column:
 
 
 def micros(ts) -> Column:
+    """Epoch microseconds of a ``timestamp_ntz`` (UTC wall clock) from its
+    calendar fields — independent of the session time zone (casting NTZ to
+    TIMESTAMP, or ``timestampdiff`` on NTZ, would apply the session zone and
+    its DST jumps)."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp"))
+    return (F.unix_date(c.cast("date")).cast("long") * F.lit(86_400_000_000)
+            + F.hour(c).cast("long") * F.lit(3_600_000_000)
+            + F.minute(c).cast("long") * F.lit(60_000_000)
+            + (F.date_part(F.lit("SECOND"), c) * F.lit(1_000_000)).cast("long"))
+
+
+def from_micros(us) -> Column:
+    """Inverse of :func:`micros`: wall-clock arithmetic on ``timestamp_ntz``."""
+    return F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def amount_text(c: Column) -> Column:

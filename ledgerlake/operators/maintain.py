@@ -143,7 +143,8 @@ def soft_delete(df: DataFrame, key: str, keys: DataFrame, ts) -> DataFrame:
     marked = keys.select(F.col(key).alias("_k"), F.lit(True).alias("_hit")).distinct()
     j = df.join(marked, df[key] == marked["_k"], "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
-    stamp = F.lit(ts).cast("timestamp_ntz")
+    from ledgerlake.operators.common import ntz_lit
+    stamp = ntz_lit(ts)
     cur = F.col("deleted_at") if "deleted_at" in df.columns else F.lit(None).cast("timestamp_ntz")
     out = j.withColumn("deleted_at", F.when(hit, F.coalesce(cur, stamp)).otherwise(cur))
     return touch_updated(out, hit, ts).drop("_k", "_hit")
@@ -152,4 +153,5 @@ def soft_delete(df: DataFrame, key: str, keys: DataFrame, ts) -> DataFrame:
 def touch_updated(df: DataFrame, changed, ts) -> DataFrame:
     """``updated_at = ts`` on changed rows (the trigger's job)."""
     cur = F.col("updated_at") if "updated_at" in df.columns else F.lit(None).cast("timestamp_ntz")
-    return df.withColumn("updated_at", F.when(changed, F.lit(ts).cast("timestamp_ntz")).otherwise(cur))
+    from ledgerlake.operators.common import ntz_lit
+    return df.withColumn("updated_at", F.when(changed, ntz_lit(ts)).otherwise(cur))

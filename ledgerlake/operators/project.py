@@ -16,9 +16,11 @@ from ledgerlake.functions import scalar as E
 
 def parse_time(c) -> Column:
     """ISO-8601 text with offset -> UTC wall-clock ``timestamp_ntz``; null
-    when unparsable."""
+    when unparsable. The instant's epoch micros are added to the NTZ epoch,
+    so the session time zone never enters."""
+    from ledgerlake.operators.common import from_micros
     col = F.col(c) if isinstance(c, str) else c
-    return col.try_cast("timestamp").cast("timestamp_ntz")
+    return from_micros(F.unix_micros(col.try_cast("timestamp")))
 
 
 # P1-P3 -----------------------------------------------------------------------

@@ -98,12 +98,14 @@ def network_metrics(led: DataFrame, tx: DataFrame, op: DataFrame, window_seconds
               .groupBy("t").agg(*[F.sum(m).alias(m) for m in _MEASURES])
               .select("t", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("seq"),
                       F.lit(0).alias("sign"), *_MEASURES))
-    closes = led.select(F.col("sequence").alias("seq"), micros("closed_at").alias("t"))
+    deltas = deltas.withColumn("close", F.lit(None).cast("timestamp_ntz"))
+    closes = led.select(F.col("sequence").alias("seq"), micros("closed_at").alias("t"),
+                        F.col("closed_at").alias("close"))
     zero = [F.lit(0).cast("decimal(38,7)" if m == "c_vol" else "long").alias(m) for m in _MEASURES]
-    probes = (closes.select("t", F.lit(1).alias("kind"), "seq", F.lit(1).alias("sign"), *zero)
+    probes = (closes.select("t", F.lit(1).alias("kind"), "seq", F.lit(1).alias("sign"), *zero, "close")
               .unionByName(closes.select((F.col("t") - F.lit(w_us + 1)).alias("t"),
                                          F.lit(1).alias("kind"), "seq", F.lit(-1).alias("sign"),
-                                         *zero)))
+                                         *zero, "close")))
     marks = deltas.unionByName(probes)
 
     ranged = marks.repartitionByRange(n, "t", "kind").withColumn("pid", F.spark_partition_id())
@@ -111,7 +113,7 @@ def network_metrics(led: DataFrame, tx: DataFrame, op: DataFrame, window_seconds
         Window.unboundedPreceding, Window.currentRow)
     w_all = Window.partitionBy("pid")
     swept = ranged.select(
-        "pid", "kind", "seq", "sign",
+        "pid", "kind", "seq", "sign", "close",
         F.row_number().over(Window.partitionBy("pid").orderBy("t", "kind")).alias("rn"),
         *[F.sum(m).over(w_run).alias(m) for m in _MEASURES],
         *[F.sum(m).over(w_all).alias(f"tot_{m}") for m in _MEASURES])
@@ -129,12 +131,11 @@ def network_metrics(led: DataFrame, tx: DataFrame, op: DataFrame, window_seconds
     signed = [F.sum(F.col("sign") * (F.col(f"off_{m}") + F.col(m))).alias(m)
               for m in _MEASURES if m != "c_acct"]
     acct = F.sum(F.when(F.col("sign") == 1, F.col("off_c_acct") + F.col("c_acct"))).alias("c_acct")
-    per = at.groupBy("seq").agg(*signed, acct)
-    out = led.select(F.col("sequence"), F.col("closed_at")).join(
-        per, led["sequence"] == per["seq"], "left")
+    # every ledger has its two probes, so this yields one row per ledger
+    out = at.groupBy("seq").agg(F.max("close").alias("close"), *signed, acct)
     zero_l = F.lit(0).cast("long")
     return out.select(
-        "sequence", F.col("closed_at").alias("timestamp"),
+        F.col("seq").alias("sequence"), F.col("close").alias("timestamp"),
         F.lit(1).cast("long").alias("ledger_count"),
         F.coalesce(F.col("c_tx"), zero_l).alias("transaction_count"),
         F.coalesce(F.col("c_op"), zero_l).alias("operation_count"),

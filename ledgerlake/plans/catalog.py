@@ -67,7 +67,7 @@ SELECT id,
        COALESCE(NULLIF("to", ''), source_account) AS "to",
        COALESCE(NULLIF(amount, ''), '0') AS amount,
        CASE WHEN asset_type = 'native' THEN 'XLM' ELSE asset_code END AS asset,
-       CAST(strptime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS TIMESTAMP) AS created_at
+       CAST(rtrim(replace(created_at, 'T', ' '), 'Z') AS TIMESTAMP) AS created_at
 FROM raw_ops_events
 WHERE type IN ({', '.join(repr(t) for t in S.PAYMENT_OPERATIONS)})"""
 

@@ -191,7 +191,7 @@ def q_network_metrics_latest_batch(spark, sf):
 # ---------------------------------------------------------------------------
 
 @query("normalized_ledgers", cte("raw_ledgers_orders") + """
-SELECT sequence, hash, CAST(strptime(closed_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS TIMESTAMP) AS close_time,
+SELECT sequence, hash, CAST(rtrim(replace(closed_at, 'T', ' '), 'Z') AS TIMESTAMP) AS close_time,
        successful_transaction_count AS tx_count FROM raw_ledgers_orders""")
 def q_normalized_ledgers(spark, sf):
     """Narrow ledger rows."""
@@ -207,7 +207,7 @@ def q_normalized_transactions(spark, sf):
 
 @query("normalized_operations", cte("raw_ops_events") + """
 SELECT id, transaction_hash AS tx_hash, type, source_account,
-       CAST(strptime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS TIMESTAMP) AS created_at FROM raw_ops_events""")
+       CAST(rtrim(replace(created_at, 'T', ' '), 'Z') AS TIMESTAMP) AS created_at FROM raw_ops_events""")
 def q_normalized_operations(spark, sf):
     """Narrow operation rows."""
     return P.normalize_operations(_t(spark, sf).raw_ops_events)

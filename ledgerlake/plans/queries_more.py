@@ -528,7 +528,7 @@ def q_operation_details(spark, sf):
 
 @query("curated_transactions", cte("raw_tx_orders") + """
 SELECT id, paging_token, successful, hash, ledger AS ledger_sequence,
-       CAST(strptime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') AS TIMESTAMP) AS created_at,
+       CAST(rtrim(replace(created_at, 'T', ' '), 'Z') AS TIMESTAMP) AS created_at,
        source_account, source_account_sequence, fee_account,
        TRY_CAST(fee_charged AS BIGINT) AS fee_charged, TRY_CAST(max_fee AS BIGINT) AS max_fee,
        operation_count, envelope_xdr, result_xdr, result_meta_xdr, fee_meta_xdr,

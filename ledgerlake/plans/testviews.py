@@ -32,16 +32,20 @@ class Dialect:
 
     def epoch_us(self, x: str) -> str:
         if self.name == "spark":
-            return f"unix_micros(CAST({x} AS TIMESTAMP))"
+            # calendar fields of the NTZ value: no session time zone involved
+            return (f"(CAST(unix_date(CAST({x} AS DATE)) AS BIGINT) * 86400000000"
+                    f" + CAST(hour({x}) AS BIGINT) * 3600000000 + CAST(minute({x}) AS BIGINT) * 60000000"
+                    f" + CAST(date_part('SECOND', {x}) * 1000000 AS BIGINT))")
         return f"epoch_us({x})"
 
     def idiv(self, a: str, b: str) -> str:
         return f"(({a}) DIV ({b}))" if self.name == "spark" else f"(({a}) // ({b}))"
 
     def iso(self, ts: str) -> str:
+        # ISO-8601 UTC text from the NTZ value's own text (no zone conversion)
         if self.name == "spark":
-            return f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
-        return f"strftime({ts}, '%Y-%m-%dT%H:%M:%S.%fZ')"
+            return f"concat(replace(CAST({ts} AS STRING), ' ', 'T'), 'Z')"
+        return f"(replace(CAST({ts} AS VARCHAR), ' ', 'T') || 'Z')"
 
     def q(self, ident: str) -> str:
         return f"`{ident}`" if self.name == "spark" else f'"{ident}"'

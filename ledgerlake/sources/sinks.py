@@ -65,7 +65,8 @@ def merge_upsert(target: DataFrame, batch: DataFrame, key, update_cols: list[str
     j = o.join(n, cond, "full_outer")
     both = F.col("_o").isNotNull() & F.col("_n").isNotNull()
     only_new = F.col("_o").isNull()
-    stamp = F.lit(ts).cast("timestamp_ntz") if ts is not None else F.localtimestamp()
+    from ledgerlake.operators.common import ntz_lit
+    stamp = ntz_lit(ts) if ts is not None else F.localtimestamp()
     out = []
     for c in cols:
         newc = F.col(f"n_{c}") if c in new.columns else F.lit(None).cast(target.schema[c].dataType)

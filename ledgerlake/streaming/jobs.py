@@ -262,8 +262,9 @@ def dead_letters(failures: DataFrame, successes: DataFrame | None = None) -> Dat
 def ready_for_retry(dlq: DataFrame, now) -> DataFrame:
     """Entries with fewer than 5 attempts whose backoff has elapsed:
     ``now >= last_failed_at + min(1000·2^attempts, 300000) ms``."""
-    now_c = F.lit(now).cast("timestamp_ntz") if not isinstance(now, Column) else now
+    from ledgerlake.operators.common import micros, ntz_lit
+    now_c = ntz_lit(now) if not isinstance(now, Column) else now
     wait_ms = E.backoff_ms(F.col("attempt_count"))
-    due_us = F.unix_micros(F.col("last_failed_at").cast("timestamp")) + wait_ms * F.lit(1000)
-    now_us = F.unix_micros(now_c.cast("timestamp"))
+    due_us = micros(F.col("last_failed_at")) + wait_ms * F.lit(1000)
+    now_us = micros(now_c)
     return dlq.where((F.col("attempt_count") < S.DEAD_LETTER_MAX_ATTEMPTS) & (now_us >= due_us))
