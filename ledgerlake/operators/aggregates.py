@@ -30,11 +30,15 @@ def _count_frame(df: DataFrame, name: str) -> DataFrame:
 
 
 def _one_row(*frames: DataFrame) -> DataFrame:
-    """Combine 1-row aggregate frames into one row (each side is exactly one
-    row, so the nested-loop join is bounded by construction)."""
+    """Combine 1-row aggregate frames into one row: the first frame's row,
+    with every column of the others attached as a scalar subquery (no join;
+    Spark merges subqueries over the same aggregate and runs it once)."""
     out = frames[0]
-    for f in frames[1:]:
-        out = out.crossJoin(f)
+    for i, f in enumerate(frames[1:]):
+        row = f.select(F.struct(*[F.col(f"`{c}`") for c in f.columns])).scalar()
+        out = out.withColumn(f"_r{i}", row)
+        out = out.select(*[c for c in out.columns if c != f"_r{i}"],
+                         *[F.col(f"_r{i}").getField(c).alias(c) for c in f.columns])
     return out
 
 

@@ -23,13 +23,14 @@ def ntz_lit(value) -> Column:
 def as_of_column(df: DataFrame, ts: str, as_of=None) -> Column:
     """The reference time of a job.
 
-    An explicit ``as_of`` becomes a literal, so every horizon bound derived
-    from it is a literal that reaches the Parquet scan as a pushed filter.
-    When omitted, it is the newest ``ts`` of the input, evaluated once as a
-    scalar subquery inside the same plan (no driver round trip).
+    It is always a literal, so every horizon bound derived from it reaches
+    the Parquet scan as a pushed filter (and prunes day partitions). When
+    omitted, it is the newest ``ts`` of the input: one small aggregate job
+    returning a single value (Parquet reads only that column).
     """
     if as_of is None:
-        return df.select(F.max(ts)).scalar()
+        newest = df.select(F.max(ts)).first()[0]
+        return F.lit(None).cast("timestamp_ntz") if newest is None else ntz_lit(newest)
     if isinstance(as_of, Column):
         return as_of
     return ntz_lit(as_of)

@@ -60,10 +60,10 @@ def run_backfill(raw_ledgers: DataFrame, processed: DataFrame, start: int, end:
 # M3 -------------------------------------------------------------------------
 def last_processed(processed: DataFrame, led: DataFrame, latest: int | None = None) -> DataFrame:
     """max(progress log) else max(ledgers) else ``latest − 1``."""
-    p = processed.agg(F.max("sequence").alias("p"))
-    ll = led.agg(F.max("sequence").alias("l"))
+    p = processed.select(F.max("sequence")).scalar()
+    ll = led.select(F.max("sequence")).scalar()
     fallback = F.lit(None).cast("long") if latest is None else F.lit(latest - 1).cast("long")
-    return p.crossJoin(ll).select(F.coalesce("p", "l", fallback).alias("last_processed"))
+    return led.sparkSession.range(1).select(F.coalesce(p, ll, fallback).alias("last_processed"))
 
 
 # M4 -------------------------------------------------------------------------

@@ -457,11 +457,11 @@ SELECT (SELECT count(*) FROM page) > 20 AS has_next_page, true AS has_previous_p
 def q_transaction_page_info(spark, sf):
     """Page info of the same page plus the filtered total."""
     conn = L.connection(_t(spark, sf).tx_orders, "created_at", first=20, after=PAGE_CURSOR)
-    return conn.page_info.crossJoin(conn.total_count).select(
+    return conn.page_info.select(
         "has_next_page", "has_previous_page",
         F.col("start_cursor.k").alias("start_created_at"), F.col("start_cursor.id").alias("start_id"),
         F.col("end_cursor.k").alias("end_created_at"), F.col("end_cursor.id").alias("end_id"),
-        "total_count")
+        conn.total_count.select("total_count").scalar().alias("total_count"))
 
 
 def _load_all() -> None:
