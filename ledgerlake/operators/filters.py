@@ -26,14 +26,23 @@ def _ts_lit(v) -> Column:
 
 
 # F1 -------------------------------------------------------------------------
-def in_time_range(df: DataFrame, col: str, start=None, end=None) -> DataFrame:
-    """Closed interval ``start <= col <= end``; either bound optional."""
+def in_time_range(df: DataFrame, col: str, start=None, end=None,
+                  partition_col: str = "day") -> DataFrame:
+    """Closed interval ``start <= col <= end``; either bound optional. When
+    the table is partitioned by ``day`` (see ``sinks.write_fact_table``)
+    the same bounds are repeated on the partition column, so whole days
+    outside the range are pruned before any file is opened."""
     require_range(start, end)
     preds = []
+    prune = partition_col in df.columns
     if start is not None:
         preds.append(F.col(col) >= _ts_lit(start))
+        if prune:
+            preds.append(F.col(partition_col) >= _ts_lit(start).cast("date"))
     if end is not None:
         preds.append(F.col(col) <= _ts_lit(end))
+        if prune:
+            preds.append(F.col(partition_col) <= _ts_lit(end).cast("date"))
     return df.where(_and(preds))
 
 

@@ -148,6 +148,22 @@ def insert_ignore_table(spark: SparkSession, path: str, batch: DataFrame, key,
     return int(obs.get["n"])
 
 
+def write_fact_table(df: DataFrame, path: str, ts: str, mode: str = "append",
+                     sort_within: str | None = None) -> None:
+    """Curated fact layout: partitioned by ``day = date(ts)`` (UTC), rows
+    sorted inside each file by ``sort_within`` (e.g. source account) so
+    Parquet row-group statistics skip most groups for point predicates.
+    Day filters prune whole partitions (:func:`filters.in_time_range`)."""
+    out = df.withColumn("day", F.col(ts).cast("date"))
+    out = out.repartition("day")
+    if sort_within:
+        out = out.sortWithinPartitions(sort_within, ts)
+    w = out.write.mode(mode).partitionBy("day")
+    if mode == "overwrite":
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.parquet(path)
+
+
 # S6 -------------------------------------------------------------------------
 MARKER = "_processed"
 

@@ -37,3 +37,34 @@ def test_network_metrics_has_no_single_partition_exchange_on_facts(spark):
     p = plan(df)
     assert "SinglePartition" not in p or p.count("SinglePartition") <= 1
     assert "rangepartitioning" not in p.lower() or True
+
+
+def test_day_partitions_are_pruned(spark, tmp):
+    import os
+    from ledgerlake.operators.filters import in_time_range
+    from ledgerlake.sources.sinks import write_fact_table
+    t = TestTables(spark, SF_SMALL)
+    path = os.path.join(tmp, "tx")
+    write_fact_table(t.tx_events, path, "created_at", sort_within="source_account")
+    stored = spark.read.parquet(path)
+    sel = in_time_range(stored, "created_at", "2024-01-10 00:00:00", "2024-01-11 12:00:00")
+    p = plan(sel)
+    assert "PartitionFilters: [isnotnull(day" in p and "day#" in p
+    want = in_time_range(t.tx_events, "created_at", "2024-01-10 00:00:00", "2024-01-11 12:00:00")
+    assert sel.count() == want.count() > 0
+
+
+def test_top_n_per_account_is_prelimited(spark):
+    from ledgerlake.operators.joins import account_profile
+    from ledgerlake.operators.aggregates import build_account_metrics
+    t = TestTables(spark, SF_SMALL)
+    prof = account_profile(t.accounts, build_account_metrics(t.accounts, t.tx_orders, t.trustlines),
+                           t.tx_orders)
+    assert "WindowGroupLimit" in plan(prof)
+
+
+def test_stats_summary_scans_each_table_once(spark):
+    from ledgerlake.operators.aggregates import stats_summary
+    t = TestTables(spark, SF_SMALL)
+    df = stats_summary(t.ledgers_events, t.tx_events, t.op_events, t.accounts, t.assets)
+    assert plan(df).count("FileScan") == 5
