@@ -103,3 +103,51 @@ def test_network_metrics_for_batch_matches_batch(spark):
     a = {r["sequence"]: r.asDict() for r in T.network_metrics_for_batch(part, tx, op).collect()}
     b = {r["sequence"]: r.asDict() for r in network_metrics(led, tx, op).collect() if r["sequence"] >= 3}
     assert a == b
+
+
+def test_network_metrics_stream_end_to_end(spark, tmp):
+    from ledgerlake.operators.windows import network_metrics
+    t0 = dt.datetime(2024, 1, 1)
+    tx = spark.createDataFrame([(str(i), t0 + dt.timedelta(minutes=5 * i), f"a{i % 6}", i % 4 != 0, 7)
+                                for i in range(60)],
+                               "id string, created_at timestamp_ntz, source_account string, successful boolean, fee_charged long")
+    op = tx.select("id", "created_at", F.lit("payment").alias("type"), F.lit('{"amount":"3"}').alias("details"))
+    tx_path, op_path, led_path = (os.path.join(tmp, x) for x in ("tx", "op", "led"))
+    tx.write.parquet(tx_path)
+    op.write.parquet(op_path)
+    led = spark.createDataFrame([(i, t0 + dt.timedelta(minutes=30 * i)) for i in range(1, 10)],
+                                "sequence long, closed_at timestamp_ntz")
+    led.repartition(3).write.parquet(led_path)
+    stream = spark.readStream.schema(led.schema).option("maxFilesPerTrigger", 1).parquet(led_path)
+    out = os.path.join(tmp, "nm")
+    T.network_metrics_stream(spark, stream, tx_path, op_path, out,
+                             os.path.join(tmp, "ck")).awaitTermination()
+    got = {r["sequence"]: r.asDict() for r in spark.read.parquet(out).collect()}
+    want = {r["sequence"]: r.asDict() for r in network_metrics(led, tx, op).collect()}
+    assert got == want
+
+
+def test_poll_stream_and_incremental_poll(spark, tmp):
+    src = os.path.join(tmp, "poll")
+    led = spark.createDataFrame([(i,) for i in range(1, 31)], "sequence long")
+    led.repartition(5).write.parquet(src)
+    batches = []
+    stream = T.poll_stream(spark, src, led.schema, files_per_poll=2)
+    q = (stream.writeStream.foreachBatch(lambda b, i: batches.append(b.count()))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sum(batches) == 30 and len(batches) >= 3
+    first = [r["sequence"] for r in T.incremental_poll(led, 20, 10).collect()]
+    assert first == list(range(21, 31))
+
+
+def test_ingest_ledgers_then_late_dropped(spark, tmp):
+    src, root, ck = (os.path.join(tmp, x) for x in ("lsrc", "lroot", "lck"))
+    land(src, "a.json", [{**VALID_LEDGER, "sequence": s, "id": str(s)} for s in (10, 11, 12)])
+    T.ingest_stream(spark, raw.read_stream(spark, src, "ledger"), "ledger", root, ck,
+                    key="sequence").awaitTermination()
+    stored = sinks.read_committed(spark, root, "ledger")
+    assert sorted(r["sequence"] for r in stored.collect()) == [10, 11, 12]
+    late = spark.createDataFrame([(9,), (12,), (13,)], "sequence long")
+    last = stored.select(F.max("sequence")).first()[0]
+    assert [r["sequence"] for r in T.drop_late(late, last).collect()] == [13]
