@@ -35,20 +35,38 @@ def curate(entity: str, valid: DataFrame) -> DataFrame:
     return P.operation_details(valid).withColumn("created_at", P.parse_time("created_at"))
 
 
+def already_stored(committed: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Keys of this batch that are already committed. The stored table is
+    first cut to the batch's key range (literal bounds: pushed to the scan,
+    row groups skipped), then semi-joined with the batch keys, which are
+    the small side; the micro-batch never anti-joins the whole table."""
+    bounds = keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    if bounds["lo"] is None:
+        return keys.limit(0)
+    near = committed.where(F.col(key).between(F.lit(bounds["lo"]), F.lit(bounds["hi"])))
+    return near.select(key).join(keys, key, "left_semi")
+
+
 def process_batch(spark: SparkSession, batch: DataFrame, entity: str, root: str, batch_id: int,
                   key: str) -> None:
     """One micro-batch: validate, curate, drop keys already stored (T3),
-    write valid rows and the quarantine as one committed unit (S6)."""
+    write valid rows and the quarantine as one committed unit (S6). The
+    batch is persisted while both outputs are written (recomputed from the
+    replayable source if an executor is lost)."""
     data = batch.drop("_corrupt") if "_corrupt" in batch.columns else batch
-    valid, invalid = Q.split_valid(data, entity)
-    curated = curate(entity, valid)
-    table = os.path.join(root, entity)
-    committed = sinks.read_committed(spark, root, entity) if sinks._exists(spark, table) else None
-    if committed is not None:
-        curated = curated.join(committed.select(key), key, "left_anti")
-    curated = sinks.dedupe_batch(curated, key)
-    sinks.write_batch(spark, root, {entity: curated, f"{entity}_invalid": invalid.drop("errors")},
-                      batch_id)
+    data = data.persist()
+    try:
+        valid, invalid = Q.split_valid(data, entity)
+        curated = sinks.dedupe_batch(curate(entity, valid), key)
+        table = os.path.join(root, entity)
+        if sinks._exists(spark, table):
+            committed = sinks.read_committed(spark, root, entity)
+            seen = already_stored(committed, curated.select(key).distinct(), key)
+            curated = curated.join(seen, key, "left_anti")
+        sinks.write_batch(spark, root, {entity: curated, f"{entity}_invalid": invalid.drop("errors")},
+                          batch_id)
+    finally:
+        data.unpersist()
 
 
 def ingest_stream(spark: SparkSession, stream: DataFrame, entity: str, root: str,
@@ -140,16 +158,18 @@ def live_totals(ledger_stream: DataFrame) -> DataFrame:
 def network_metrics_for_batch(ledgers: DataFrame, tx_history: DataFrame,
                               op_history: DataFrame) -> DataFrame:
     """Exact W1 rows for the ledgers of one micro-batch: history is cut to
-    [first close − 1 h, last close] with literal-free scalar bounds, then
-    the same sweep as the batch job runs."""
+    [first close − 1 h, last close] with literal bounds (pushed to the scan
+    and, on day-partitioned history, pruning all other days), then the
+    same sweep as the batch job runs."""
+    from ledgerlake.operators.filters import in_time_range
     from ledgerlake.operators.windows import network_metrics
-    lo = ledgers.select(F.min("closed_at")).scalar()
-    hi = ledgers.select(F.max("closed_at")).scalar()
-
-    def cut(df):
-        return df.where((F.col("created_at") >= lo - F.expr("INTERVAL 3600 SECONDS"))
-                        & (F.col("created_at") <= hi))
-    return network_metrics(ledgers, cut(tx_history), cut(op_history))
+    b = ledgers.agg(F.min("closed_at").alias("lo"), F.max("closed_at").alias("hi")).first()
+    if b["lo"] is None:
+        return network_metrics(ledgers, tx_history.limit(0), op_history.limit(0))
+    import datetime as _dt
+    lo, hi = b["lo"] - _dt.timedelta(hours=1), b["hi"]
+    return network_metrics(ledgers, in_time_range(tx_history, "created_at", lo, hi),
+                           in_time_range(op_history, "created_at", lo, hi))
 
 
 def network_metrics_stream(spark: SparkSession, ledger_stream: DataFrame, tx_path: str,
