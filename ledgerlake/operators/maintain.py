@@ -114,6 +114,38 @@ def retention_split(df: DataFrame, ts: str, days: int, as_of=None):
     return df.where(~F.coalesce(expired, F.lit(False))), df.where(F.coalesce(expired, F.lit(False)))
 
 
+def apply_retention(spark: SparkSession, table_path: str, archive_path: str, ts: str, days: int,
+                    key, as_of=None) -> dict:
+    """Archive, verify, then drop expired rows of a stored table.
+
+    1. rows with ``ts < as_of − days`` are appended to the archive, keyed
+       (insert-ignore), so a rerun after a crash never duplicates them;
+    2. the archive must then hold every expired key — otherwise nothing is
+       dropped and an error is raised;
+    3. the kept rows are written to a staging folder and swapped in as the
+       live table (never read and overwritten in one plan).
+
+    Every row is archived (no cap), and the live table loses only rows that
+    the archive verifiably holds. Returns the counts."""
+    import uuid
+    from ledgerlake.sources import sinks
+    live = spark.read.parquet(table_path)
+    kept, expired = retention_split(live, ts, days, as_of)
+    keys = [key] if isinstance(key, str) else list(key)
+    appended = sinks.insert_ignore_table(spark, archive_path, expired, keys)
+    archive = spark.read.parquet(archive_path)
+    missing = expired.select(*keys).join(archive.select(*keys), keys, "left_anti").count()
+    if missing:
+        raise RuntimeError(f"{missing} expired rows are not in the archive; live table left untouched")
+    expired_n = expired.count()
+    staging = f"{table_path.rstrip('/')}_staging/{uuid.uuid4().hex}"
+    kept.write.mode("overwrite").parquet(staging)
+    staged = spark.read.parquet(staging)
+    kept_n = staged.count()
+    staged.write.mode("overwrite").parquet(table_path)
+    return {"archived": appended, "expired": expired_n, "kept": kept_n}
+
+
 def retention_policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(S.RETENTION_DAYS.items()), "table_name string, retention_days int")
 

@@ -98,3 +98,19 @@ def test_dead_letters(spark):
     r = rows[0]
     assert (r["sequence"], r["attempt_count"], r["last_error"]) == (7, 2, "b")
     assert r["first_failed_at"] == t0
+
+
+def test_apply_retention_archives_everything(spark, tmp):
+    import os
+    base = dt.datetime(2024, 6, 1)
+    rows = [(i, base - dt.timedelta(days=120, seconds=i)) for i in range(1001)]
+    rows += [(5000 + i, base - dt.timedelta(days=i)) for i in range(10)]
+    table, archive = os.path.join(tmp, "payments"), os.path.join(tmp, "payments_archive")
+    spark.createDataFrame(rows, "id long, created_at timestamp_ntz").write.parquet(table)
+    out = M.apply_retention(spark, table, archive, "created_at", S.RETENTION_DAYS["payments"], "id", base)
+    assert out == {"archived": 1001, "expired": 1001, "kept": 10}
+    assert spark.read.parquet(table).count() == 10
+    assert spark.read.parquet(archive).count() == 1001
+    # rerun: nothing left to expire, nothing duplicated in the archive
+    again = M.apply_retention(spark, table, archive, "created_at", 90, "id", base)
+    assert again["archived"] == 0 and spark.read.parquet(archive).count() == 1001
