@@ -264,6 +264,156 @@ LEDGERS = T.StructType([
     T.StructField("header_xdr", T.StringType()),
 ])
 
+TRANSACTIONS = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("paging_token", T.StringType()),
+    T.StructField("successful", T.BooleanType()),
+    T.StructField("hash", T.StringType()),
+    T.StructField("ledger_sequence", T.LongType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("source_account", T.StringType()),
+    T.StructField("source_account_sequence", T.StringType()),
+    T.StructField("fee_account", T.StringType()),
+    T.StructField("fee_charged", T.LongType()),
+    T.StructField("max_fee", T.LongType()),
+    T.StructField("operation_count", T.LongType()),
+    T.StructField("envelope_xdr", T.StringType()),
+    T.StructField("result_xdr", T.StringType()),
+    T.StructField("result_meta_xdr", T.StringType()),
+    T.StructField("fee_meta_xdr", T.StringType()),
+    T.StructField("memo_type", T.StringType()),
+    T.StructField("memo", T.StringType()),
+    T.StructField("signatures", T.ArrayType(T.StringType())),
+    T.StructField("valid_after", T.TimestampNTZType()),
+    T.StructField("valid_before", T.TimestampNTZType()),
+    T.StructField("fee_bump_transaction", T.BooleanType()),
+    T.StructField("inner_transaction_hash", T.StringType()),
+    T.StructField("inner_transaction_signatures", T.ArrayType(T.StringType())),
+])
+
+OPERATIONS = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("paging_token", T.StringType()),
+    T.StructField("transaction_hash", T.StringType()),
+    T.StructField("transaction_successful", T.BooleanType()),
+    T.StructField("type", T.StringType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("source_account", T.StringType()),
+    T.StructField("ledger_sequence", T.LongType()),
+    T.StructField("operation_index", T.IntegerType()),
+    T.StructField("details", T.StringType()),
+])
+
+PAYMENTS = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("from", T.StringType()),
+    T.StructField("to", T.StringType()),
+    T.StructField("amount", T.StringType()),
+    T.StructField("asset", T.StringType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+])
+
+ACCOUNTS = T.StructType([
+    T.StructField("account_id", T.StringType()),
+    T.StructField("balance", T.StringType()),
+    T.StructField("asset_type", T.StringType()),
+    T.StructField("asset_code", T.StringType()),
+    T.StructField("asset_issuer", T.StringType()),
+    T.StructField("buying_liabilities", T.StringType()),
+    T.StructField("selling_liabilities", T.StringType()),
+    T.StructField("last_modified_ledger", T.LongType()),
+    T.StructField("is_authorized", T.BooleanType()),
+    T.StructField("is_authorized_to_maintain_liabilities", T.BooleanType()),
+    T.StructField("is_clawback_enabled", T.BooleanType()),
+    T.StructField("sequence_number", T.StringType()),
+    T.StructField("num_subentries", T.LongType()),
+    T.StructField("thresholds", T.StructType([
+        T.StructField("low_threshold", T.IntegerType()),
+        T.StructField("med_threshold", T.IntegerType()),
+        T.StructField("high_threshold", T.IntegerType())])),
+    T.StructField("flags", T.StructType([
+        T.StructField("auth_required", T.BooleanType()),
+        T.StructField("auth_revocable", T.BooleanType()),
+        T.StructField("auth_immutable", T.BooleanType())])),
+    T.StructField("signers", T.ArrayType(T.StructType([
+        T.StructField("key", T.StringType()),
+        T.StructField("weight", T.IntegerType()),
+        T.StructField("type", T.StringType())]))),
+    T.StructField("data", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("sponsor", T.StringType()),
+    T.StructField("num_sponsored", T.LongType()),
+    T.StructField("num_sponsoring", T.LongType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("updated_at", T.TimestampNTZType()),
+    T.StructField("deleted_at", T.TimestampNTZType()),
+])
+
+ASSETS = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("asset_type", T.StringType()),
+    T.StructField("asset_code", T.StringType()),
+    T.StructField("asset_issuer", T.StringType()),
+    T.StructField("native", T.BooleanType()),
+])
+
+TRUSTLINES = T.StructType([
+    T.StructField("account_id", T.StringType()),
+    T.StructField("asset_id", T.LongType()),
+    T.StructField("balance", T.StringType()),
+    T.StructField("limit", T.StringType()),
+    T.StructField("buying_liabilities", T.StringType()),
+    T.StructField("selling_liabilities", T.StringType()),
+    T.StructField("is_authorized", T.BooleanType()),
+    T.StructField("is_authorized_to_maintain_liabilities", T.BooleanType()),
+    T.StructField("is_clawback_enabled", T.BooleanType()),
+    T.StructField("last_modified_ledger", T.LongType()),
+    T.StructField("sponsor", T.StringType()),
+    T.StructField("deleted_at", T.TimestampNTZType()),
+])
+
+# Metric snapshots as the jobs produce them (rates and averages as doubles
+# rounded HALF_UP; amounts as decimal text).
+NETWORK_METRICS = T.StructType([
+    T.StructField("sequence", T.LongType()),
+    T.StructField("timestamp", T.TimestampNTZType()),
+    T.StructField("ledger_count", T.LongType()),
+    T.StructField("transaction_count", T.LongType()),
+    T.StructField("operation_count", T.LongType()),
+    T.StructField("active_accounts", T.LongType()),
+    T.StructField("total_volume", T.StringType()),
+    T.StructField("average_fee", T.DoubleType()),
+    T.StructField("success_rate", T.DoubleType()),
+])
+
+ASSET_METRICS = T.StructType([
+    T.StructField("asset_id", T.LongType()),
+    T.StructField("timestamp", T.TimestampNTZType()),
+    T.StructField("volume_24h", T.StringType()),
+    T.StructField("volume_7d", T.StringType()),
+    T.StructField("volume_30d", T.StringType()),
+    T.StructField("trades_24h", T.LongType()),
+    T.StructField("trades_7d", T.LongType()),
+    T.StructField("trades_30d", T.LongType()),
+    T.StructField("price_change_24h", T.DoubleType()),
+    T.StructField("market_cap", T.StringType()),
+    T.StructField("holders", T.LongType()),
+])
+
+ACCOUNT_METRICS = T.StructType([
+    T.StructField("account_id", T.StringType()),
+    T.StructField("timestamp", T.TimestampNTZType()),
+    T.StructField("balance_native", T.StringType()),
+    T.StructField("total_balance_usd", T.StringType()),
+    T.StructField("transaction_count_24h", T.LongType()),
+    T.StructField("transaction_count_7d", T.LongType()),
+    T.StructField("transaction_count_30d", T.LongType()),
+    T.StructField("first_transaction", T.TimestampNTZType()),
+    T.StructField("last_transaction", T.TimestampNTZType()),
+    T.StructField("is_active", T.BooleanType()),
+    T.StructField("trustlines", T.LongType()),
+    T.StructField("signers", T.LongType()),
+])
+
 PROCESSED_LEDGERS = T.StructType([
     T.StructField("sequence", T.LongType(), False),
     T.StructField("processed_at", T.TimestampNTZType()),
