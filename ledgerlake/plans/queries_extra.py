@@ -20,7 +20,7 @@ LOOKUP_KEYS = ["5", "999999999", "5", "17", "100"]
 
 
 @query("aligned_lookup", cte("tx_orders") + """
-SELECT k.pos, k.hash, t.* EXCLUDE (hash)
+SELECT CAST(k.pos AS BIGINT) AS pos, k.hash, t.* EXCLUDE (hash)
 FROM (VALUES (0, '5'), (1, '999999999'), (2, '5'), (3, '17'), (4, '100')) k(pos, hash)
 LEFT JOIN tx_orders t ON t.hash = k.hash""")
 def q_aligned_lookup(spark, sf):
@@ -92,8 +92,8 @@ def q_account_profile(spark, sf):
 
 @query("live_totals", cte("ledgers_events") + """
 SELECT max(sequence) AS latest_ledger, arg_max(closed_at, sequence) AS latest_closed_at,
-       max(sequence) AS total_ledgers, sum(successful_transaction_count) AS total_transactions,
-       sum(operation_count) AS total_operations
+       max(sequence) AS total_ledgers, CAST(sum(successful_transaction_count) AS BIGINT) AS total_transactions,
+       CAST(sum(operation_count) AS BIGINT) AS total_operations
 FROM ledgers_events""")
 def q_live_totals(spark, sf):
     """Running dashboard totals (the streaming aggregation on a table)."""

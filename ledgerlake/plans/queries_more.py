@@ -140,10 +140,10 @@ def _constraint_sql(entity: str, view: str) -> str:
     for c, allowed in Q.ALLOWED_VALUES.get(entity, {}).items():
         if c in cols:
             vals = ", ".join(f"'{v}'" for v in allowed)
-            parts.append(f"SELECT '{c} allowed values' AS rule, count_if({c} IS NOT NULL AND {c} NOT IN ({vals})) AS violations FROM {view}")
+            parts.append(f"SELECT '{c} allowed values' AS rule, CAST(count_if({c} IS NOT NULL AND {c} NOT IN ({vals})) AS BIGINT) AS violations FROM {view}")
     for c, n in Q.MAX_LENGTHS.get(entity, {}).items():
         if c in cols:
-            parts.append(f"SELECT '{c} max length {n}', count_if(length(CAST({c} AS VARCHAR)) > {n}) FROM {view}")
+            parts.append(f"SELECT '{c} max length {n}', CAST(count_if(length(CAST({c} AS VARCHAR)) > {n}) AS BIGINT) FROM {view}")
     return "\nUNION ALL\n".join(parts)
 
 
@@ -202,11 +202,11 @@ def q_recent_distinct(spark, sf):
 
 @query("account_fee_horizons", cte("tx_events") + f"""
 SELECT source_account,
-       count_if(created_at >= m - INTERVAL 24 HOUR) AS count_24h,
+       CAST(count_if(created_at >= m - INTERVAL 24 HOUR) AS BIGINT) AS count_24h,
        {amt_txt("COALESCE(sum(CASE WHEN created_at >= m - INTERVAL 24 HOUR THEN CAST(fee_charged AS DECIMAL(28,7)) END), 0)")} AS sum_24h,
-       count_if(created_at >= m - INTERVAL 7 DAY) AS count_7d,
+       CAST(count_if(created_at >= m - INTERVAL 7 DAY) AS BIGINT) AS count_7d,
        {amt_txt("COALESCE(sum(CASE WHEN created_at >= m - INTERVAL 7 DAY THEN CAST(fee_charged AS DECIMAL(28,7)) END), 0)")} AS sum_7d,
-       count_if(created_at >= m - INTERVAL 30 DAY) AS count_30d,
+       CAST(count_if(created_at >= m - INTERVAL 30 DAY) AS BIGINT) AS count_30d,
        {amt_txt("COALESCE(sum(CASE WHEN created_at >= m - INTERVAL 30 DAY THEN CAST(fee_charged AS DECIMAL(28,7)) END), 0)")} AS sum_30d
 FROM tx_events, (SELECT max(created_at) AS m FROM tx_events) a
 WHERE created_at >= m - INTERVAL 30 DAY AND created_at <= m
@@ -248,7 +248,7 @@ def q_average_close_time(spark, sf):
 @query("metrics_summary", NETWORK_METRICS_SQL.replace(
     "\nSELECT l.sequence, l.closed_at AS timestamp", "\n, nm AS (SELECT l.sequence, l.closed_at AS timestamp", 1)
     + """)
-SELECT sum(transaction_count) AS total_transactions,
+SELECT CAST(sum(transaction_count) AS BIGINT) AS total_transactions,
        CAST(sum(CAST(average_fee AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_average_fee,
        CAST(sum(CAST(success_rate AS DECIMAL(18,2))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS mean_success_rate,
        (SELECT transaction_count FROM nm ORDER BY timestamp DESC LIMIT 1)
@@ -274,11 +274,11 @@ ASSET_METRICS_SQL = cte("op_lineitem", "trustlines", "assets") + f"""
 , m AS (SELECT max(created_at) AS m FROM pay)
 , v AS (SELECT asset_id,
           sum(CASE WHEN created_at >= m - INTERVAL 24 HOUR THEN amount END) AS v_24h,
-          count_if(created_at >= m - INTERVAL 24 HOUR) AS trades_24h,
+          CAST(count_if(created_at >= m - INTERVAL 24 HOUR) AS BIGINT) AS trades_24h,
           sum(CASE WHEN created_at >= m - INTERVAL 7 DAY THEN amount END) AS v_7d,
-          count_if(created_at >= m - INTERVAL 7 DAY) AS trades_7d,
+          CAST(count_if(created_at >= m - INTERVAL 7 DAY) AS BIGINT) AS trades_7d,
           sum(CASE WHEN created_at >= m - INTERVAL 30 DAY THEN amount END) AS v_30d,
-          count_if(created_at >= m - INTERVAL 30 DAY) AS trades_30d,
+          CAST(count_if(created_at >= m - INTERVAL 30 DAY) AS BIGINT) AS trades_30d,
           sum(CASE WHEN created_at >= m - INTERVAL 2 DAY AND created_at < m - INTERVAL 1 DAY THEN amount END) AS v_prev
         FROM pay, m WHERE created_at >= m - INTERVAL 30 DAY GROUP BY asset_id)
 , h AS (SELECT asset_id, count(*) AS holders FROM trustlines WHERE balance > 0 GROUP BY asset_id)
@@ -310,7 +310,7 @@ def q_asset_metrics(spark, sf):
 
 @query("asset_totals", ASSET_METRICS_SQL + f"""
 SELECT {amt_txt("COALESCE(sum(CAST(volume_24h AS DECIMAL(28,7))), 0)")} AS total_volume_24h,
-       COALESCE(sum(trades_24h), 0) AS total_trades_24h FROM am""")
+       CAST(COALESCE(sum(trades_24h), 0) AS BIGINT) AS total_trades_24h FROM am""")
 def q_asset_totals(spark, sf):
     """Totals over the asset metrics set."""
     return A.asset_totals(_asset_metrics(_t(spark, sf)))
@@ -339,8 +339,9 @@ def q_filtered_asset_metrics(spark, sf):
 ACCOUNT_METRICS_SQL = cte("accounts", "tx_orders", "trustlines") + """
 , m AS (SELECT max(created_at) AS m FROM tx_orders)
 , x AS (SELECT source_account AS account_id,
-          count_if(created_at >= m - INTERVAL 24 HOUR) AS c24, count_if(created_at >= m - INTERVAL 7 DAY) AS c7,
-          count_if(created_at >= m - INTERVAL 30 DAY) AS c30,
+          CAST(count_if(created_at >= m - INTERVAL 24 HOUR) AS BIGINT) AS c24,
+          CAST(count_if(created_at >= m - INTERVAL 7 DAY) AS BIGINT) AS c7,
+          CAST(count_if(created_at >= m - INTERVAL 30 DAY) AS BIGINT) AS c30,
           min(created_at) AS first_transaction, max(created_at) AS last_transaction
         FROM tx_orders, m WHERE created_at <= m GROUP BY 1)
 , tl AS (SELECT account_id, count(*) AS n FROM trustlines GROUP BY 1)
@@ -381,7 +382,7 @@ def q_account_metrics_range(spark, sf):
 
 
 @query("duration_summary", cte("op_log") + """
-SELECT count(*) AS total_queries, count_if(duration_ms >= 100) AS slow_queries,
+SELECT count(*) AS total_queries, CAST(count_if(duration_ms >= 100) AS BIGINT) AS slow_queries,
        CAST(COALESCE(sum(duration_ms), 0) AS VARCHAR) AS total_duration_ms,
        COALESCE(""" + ratio_sql("CAST(sum(duration_ms) * 100 AS BIGINT)", "count(*) * 100", 2) + """, 0.0) AS avg_duration_ms
 FROM op_log""")
@@ -401,7 +402,7 @@ def q_slow_queries(spark, sf):
 
 def _histogram_sql() -> str:
     b = S.HISTOGRAM_BUCKETS["cycle"]
-    arms = [f"SELECT label, '{float(x)}' AS le, count_if(duration_s <= {float(x)}) AS bucket_count FROM op_log GROUP BY label"
+    arms = [f"SELECT label, '{float(x)}' AS le, CAST(count_if(duration_s <= {float(x)}) AS BIGINT) AS bucket_count FROM op_log GROUP BY label"
             for x in b]
     arms.append("SELECT label, '+Inf', count(*) FROM op_log GROUP BY label")
     return (cte("op_log") + ", hb AS (" + " UNION ALL ".join(arms) + ")\n"
@@ -434,7 +435,7 @@ def q_daily_counters(spark, sf):
 @query("pipeline_health", cte("op_log") + f"""
 , a AS (SELECT pipeline, max(source_sequence) AS newest_source,
                max(CASE WHEN ok THEN processed_sequence END) AS last_processed,
-               count(*) AS cycles, count_if(NOT ok) AS errors, max(cycle_at) AS last_cycle_at
+               count(*) AS cycles, CAST(count_if(NOT ok) AS BIGINT) AS errors, max(cycle_at) AS last_cycle_at
         FROM op_log GROUP BY pipeline)
 SELECT pipeline, newest_source - COALESCE(last_processed, 0) AS lag,
        COALESCE({ratio_sql("errors", "cycles", 2, pct=True)}, 0.0) AS error_rate, cycles, errors,
@@ -457,7 +458,7 @@ def q_pipeline_health(spark, sf):
 SELECT (SELECT timestamp FROM last) AS metrics_timestamp,
        (SELECT transaction_count FROM last) AS metrics_transaction_count,
        (SELECT active_accounts FROM last) AS metrics_active_accounts,
-       (SELECT to_json(list({'rank': rank, 'asset_id': asset_id, 'volume_24h': volume_24h} ORDER BY rank)) FROM top) AS top_assets,
+       (SELECT CAST(to_json(list({'rank': rank, 'asset_id': asset_id, 'volume_24h': volume_24h} ORDER BY rank)) AS VARCHAR) FROM top) AS top_assets,
        (SELECT count(DISTINCT source_account) FROM tx_events
          WHERE created_at >= (SELECT max(created_at) FROM tx_events) - INTERVAL 24 HOUR) AS active_accounts_24h,
        (SELECT count(*) FROM ledgers_events) AS total_ledgers,
@@ -532,7 +533,7 @@ SELECT id, paging_token, successful, hash, ledger AS ledger_sequence,
        source_account, source_account_sequence, fee_account,
        TRY_CAST(fee_charged AS BIGINT) AS fee_charged, TRY_CAST(max_fee AS BIGINT) AS max_fee,
        operation_count, envelope_xdr, result_xdr, result_meta_xdr, fee_meta_xdr,
-       COALESCE(memo_type, 'none') AS memo_type, memo, to_json(COALESCE(signatures, [])) AS signatures,
+       COALESCE(memo_type, 'none') AS memo_type, memo, CAST(to_json(COALESCE(signatures, [])) AS VARCHAR) AS signatures,
        CAST(NULL AS TIMESTAMP) AS valid_after, CAST(NULL AS TIMESTAMP) AS valid_before,
        false AS fee_bump_transaction, CAST(NULL AS VARCHAR) AS inner_transaction_hash,
        CAST(NULL AS VARCHAR) AS inner_transaction_signatures
@@ -802,8 +803,8 @@ def q_backfill_status(spark, sf):
 
 
 @query("backfill_progress", STATUS_SQL + f"""
-SELECT count(*) AS total, count_if(status = 'processed') AS processed,
-       count_if(status = 'skipped') AS skipped, count_if(status = 'failed') AS failed,
+SELECT count(*) AS total, CAST(count_if(status = 'processed') AS BIGINT) AS processed,
+       CAST(count_if(status = 'skipped') AS BIGINT) AS skipped, CAST(count_if(status = 'failed') AS BIGINT) AS failed,
        CAST(COALESCE({ratio_sql("count_if(status IN ('processed', 'skipped', 'failed'))", "count(*)", 0, pct=True)}, 0.0) AS BIGINT) AS percent,
        CAST(NULL AS BIGINT) AS eta_seconds, true AS done
 FROM status""")
@@ -813,8 +814,8 @@ def q_backfill_progress(spark, sf):
 
 
 @query("backfill_result", STATUS_SQL + """
-SELECT count_if(status = 'processed') AS processed, count_if(status = 'skipped') AS skipped,
-       count_if(status = 'failed') AS failed, min(CASE WHEN status = 'failed' THEN sequence END) AS resume_from
+SELECT CAST(count_if(status = 'processed') AS BIGINT) AS processed, CAST(count_if(status = 'skipped') AS BIGINT) AS skipped,
+       CAST(count_if(status = 'failed') AS BIGINT) AS failed, min(CASE WHEN status = 'failed' THEN sequence END) AS resume_from
 FROM status""")
 def q_backfill_result(spark, sf):
     """M5: counts and the lowest failed sequence to resume from."""
