@@ -232,6 +232,19 @@ def daily_transaction_count(tx: DataFrame, days: int = 7, as_of=None) -> DataFra
             .orderBy(F.col("date").desc()))
 
 
+def counts_by_range(df: DataFrame, ts: str, labels: list[str] | None = None, as_of=None) -> DataFrame:
+    """Rows inside each labelled trailing range (chart range selector,
+    E12 labels ``1h … 365d``): one conditional-count pass, then one row per
+    label (label, seconds, count)."""
+    labels = labels or list(S.TIME_RANGES)
+    t = as_of_column(df, ts, as_of)
+    secs = [E.range_seconds(lb) for lb in labels]
+    rows = df.where((F.col(ts) >= minus(t, max(secs))) & (F.col(ts) <= t))
+    agg = rows.agg(*[F.count_if(F.col(ts) >= minus(t, s)).alias(f"c{i}") for i, s in enumerate(secs)])
+    stack = ", ".join(f"'{lb}', CAST({s} AS BIGINT), c{i}" for i, (lb, s) in enumerate(zip(labels, secs)))
+    return agg.select(F.expr(f"stack({len(labels)}, {stack}) AS (range_label, range_seconds, count)"))
+
+
 # A12 ------------------------------------------------------------------------
 def operation_distribution(op: DataFrame, start=None, end=None) -> DataFrame:
     """Count per operation type with its category and share (% of all,

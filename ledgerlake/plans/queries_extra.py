@@ -318,3 +318,65 @@ def q_retry_backoff(spark, sf):
 
 
 _ = amt_txt
+
+
+# ---------------------------------------------------------------------------
+# More forms of A9, U2, L6 and E12
+# ---------------------------------------------------------------------------
+
+from ledgerlake.operators import aggregates as _A  # noqa: E402
+from ledgerlake.operators import paging as _L  # noqa: E402
+from ledgerlake.operators import search as _U  # noqa: E402
+from ledgerlake.plans.catalog import PAYMENTS_SQL  # noqa: E402
+
+
+@query("asset_volume_xlm", cte("raw_ops_events", extra={"payments": PAYMENTS_SQL}) + f"""
+SELECT 'XLM' AS asset_code,
+       {amt_txt("COALESCE(sum(TRY_CAST(amount AS DECIMAL(28,7))), 0)")} AS volume, '30d' AS timeframe
+FROM payments, (SELECT max(created_at) AS m FROM payments) a
+WHERE created_at > m - INTERVAL 30 DAY AND asset = 'XLM'""")
+def q_asset_volume_xlm(spark, sf):
+    """A9 (one-asset form): native payment volume over the last 30 days."""
+    pay = P.normalize_payments(_t(spark, sf).raw_ops_events)
+    return _A.asset_volume(pay, asset_code="XLM", timeframe="30d")
+
+
+@query("search_page_transactions", cte("raw_tx_orders") + """
+, tx AS (SELECT id, hash, successful, memo_type FROM raw_tx_orders)
+SELECT 'transaction' AS type, hash AS id,
+       CASE WHEN length(hash) <= 21 THEN hash ELSE left(hash, 10) || '...' || right(hash, 8) END AS label,
+       CASE WHEN successful THEN 'Successful' ELSE 'Failed' END AS sublabel
+FROM tx WHERE lower(hash) LIKE '%ab%' AND successful AND COALESCE(memo_type, 'none') <> 'none'""")
+def q_search_page_transactions(spark, sf):
+    """U2 with F2 filters: general text 'ab' over accounts, transactions and
+    ledgers, only successful transactions with a memo, uncapped."""
+    t = _t(spark, sf)
+    tx = t.raw_tx_orders.select("id", "hash", "successful", "memo_type", "source_account",
+                                P.parse_time("created_at").alias("created_at"))
+    rows, _ = _U.search_page(t.accounts, tx, t.ledgers_orders, "ab", successful=True, has_memo=True)
+    return rows
+
+
+@query("time_range_counts", cte("tx_events") + "\n, m AS (SELECT max(created_at) AS m FROM tx_events)\n"
+       + "\nUNION ALL\n".join(
+           f"SELECT '{lb}' AS range_label, CAST({secs} AS BIGINT) AS range_seconds, "
+           f"(SELECT count(*) FROM tx_events, m WHERE created_at >= m.m - INTERVAL {secs} SECOND "
+           f"AND created_at <= m.m) AS count"
+           for lb, secs in S.TIME_RANGES.items()))
+def q_time_range_counts(spark, sf):
+    """Transactions inside each labelled trailing range (1h … 365d)."""
+    return _A.counts_by_range(_t(spark, sf).tx_events, "created_at")
+
+
+@query("transactions_by_fee", cte("tx_orders") + """
+SELECT * FROM tx_orders ORDER BY fee_charged DESC NULLS LAST, id DESC LIMIT 20""")
+def q_transactions_by_fee(spark, sf):
+    """Transactions sorted by fee (whole set), top 20."""
+    return _L.sort_by(_t(spark, sf).tx_orders, "transaction", "feeCharged", "desc").limit(20)
+
+
+@query("ledgers_by_operations", cte("ledgers_events") + """
+SELECT * FROM ledgers_events ORDER BY operation_count ASC NULLS FIRST, sequence ASC LIMIT 20""")
+def q_ledgers_by_operations(spark, sf):
+    """Ledgers sorted by operation count ascending, first 20."""
+    return _L.sort_by(_t(spark, sf).ledgers_events, "ledger", "operationCount", "asc").limit(20)
