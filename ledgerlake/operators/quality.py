@@ -130,15 +130,38 @@ def _errors(df: DataFrame, rules, guard: Column | None = None) -> list[Column]:
     return out
 
 
-def validate(df: DataFrame, entity: str) -> DataFrame:
-    """Q1-Q3: add ``errors`` (array<string>, empty when valid)."""
+SEP = "\u001f"   # unit separator: never part of a message
+
+
+def _rule_list(entity: str):
+    """``(field, kind, message, type_guard)`` for every rule of an entity."""
     if entity in ("operation", "payment"):
-        arms = _errors(df, OPERATION_BASE_RULES)
+        out = [(f, k, m, None) for f, k, m in OPERATION_BASE_RULES]
         for t, rules in OPERATION_TYPE_RULES.items():
-            arms += _errors(df, rules, guard=F.col("type") == F.lit(t))
-    else:
-        arms = _errors(df, RULES[entity])
-    return df.withColumn("errors", F.array_compact(F.array(*arms)))
+            out += [(f, k, m, t) for f, k, m in rules]
+        return out
+    return [(f, k, m, None) for f, k, m in RULES[entity]]
+
+
+def _conditions(df: DataFrame, entity: str) -> list[tuple[str, Column]]:
+    out = []
+    for field, kind, msg, t in _rule_list(entity):
+        cond = broken(field, kind, df.columns)
+        if t is not None:
+            cond = (F.col("type") == F.lit(t)) & cond
+        out.append((f"{field}: {msg}", cond))
+    return out
+
+
+def validate(df: DataFrame, entity: str) -> DataFrame:
+    """Q1-Q3: add ``errors`` (array<string> of ``"field: message"``, empty
+    when valid). Built with ``concat_ws`` (skips the passing rules) and
+    ``split``, which stay inside whole-stage codegen (an array filter would
+    not)."""
+    arms = [F.when(cond, F.lit(text)) for text, cond in _conditions(df, entity)]
+    joined = F.concat_ws(SEP, *arms)
+    errors = F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, SEP))
+    return df.withColumn("errors", errors)
 
 
 def validate_ledgers(raw: DataFrame) -> DataFrame:
@@ -172,13 +195,32 @@ def split_valid(raw: DataFrame, entity: str, position: str | None = None):
 
 
 # Q5 -------------------------------------------------------------------------
-def validation_report(checked: DataFrame, entity: str) -> DataFrame:
-    """Failures by entity and rule (the field path before ':'). Takes the
-    output of :func:`validate` (or the invalid side of :func:`split_valid`):
-    valid rows have empty ``errors`` and explode to nothing, so no filter
-    (which Catalyst would push below the projection and evaluate the rule
-    array twice) is needed."""
-    return (checked.select(F.explode("errors").alias("e"))
+def validation_report(df: DataFrame, entity: str) -> DataFrame:
+    """Failures by entity and rule (the field path before ':').
+
+    On raw records (no ``errors`` column) this is one pass of conditional
+    counts, one per rule, summed per field and stacked into rows, keeping
+    rules that failed at least once. No per-row arrays, no explode. On a
+    frame that already carries ``errors`` (e.g. the invalid side of
+    :func:`split_valid`) the messages are exploded and counted."""
+    if "errors" not in df.columns:
+        conds = _conditions(df, entity)
+        fields = []
+        for text, _ in conds:
+            f = text.split(":", 1)[0]
+            if f not in fields:
+                fields.append(f)
+        sums = {f: [] for f in fields}
+        for i, (text, _) in enumerate(conds):
+            sums[text.split(":", 1)[0]].append(f"r{i}")
+        agg = df.agg(*[F.count_if(c).alias(f"r{i}") for i, (_, c) in enumerate(conds)])
+        per_field = agg.select(*[sum((F.col(c) for c in cols[1:]), F.col(cols[0])).alias(f"f{j}")
+                                 for j, (f, cols) in enumerate(sums.items())])
+        stack = ", ".join(f"'{f}', f{j}" for j, f in enumerate(fields))
+        return (per_field.select(F.expr(f"stack({len(fields)}, {stack}) AS (rule, failures)"))
+                .where(F.col("failures") > 0)
+                .select(F.lit(entity).alias("entity"), "rule", "failures"))
+    return (df.select(F.explode("errors").alias("e"))
             .select(F.lit(entity).alias("entity"),
                     F.substring_index(F.col("e"), ":", 1).alias("rule"))
             .groupBy("entity", "rule").agg(F.count(F.lit(1)).alias("failures")))

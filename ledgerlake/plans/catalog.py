@@ -323,7 +323,7 @@ def q_transactions_with_operations(spark, sf):
     nested = J.with_operations(t.tx_orders, t.op_lineitem, fields=("operation_index", "id", "type"))
     return nested.select("hash", "created_at",
                          F.size("operations").cast("long").alias("n_operations"),
-                         F.array_join(F.transform("operations", lambda o: o["id"]), ",")
+                         F.array_join(F.col("operations.id"), ",")
                          .alias("operation_ids"))
 
 
@@ -338,7 +338,7 @@ def q_ledgers_with_transactions(spark, sf):
     nested = J.with_transactions(t.ledgers_orders, t.tx_orders, fields=("created_at", "id"))
     return nested.select("sequence", "closed_at",
                          F.size("transactions").cast("long").alias("n_transactions"),
-                         F.array_join(F.transform("transactions", lambda o: o["id"]), ",")
+                         F.array_join(F.col("transactions.id"), ",")
                          .alias("transaction_ids"))
 
 

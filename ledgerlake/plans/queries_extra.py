@@ -82,7 +82,7 @@ def q_account_profile(spark, sf):
     p = J.account_profile(t.accounts, _account_metrics(t), t.tx_orders, "42")
     return p.select("account_id", "balance", "metrics_transaction_count_30d", "metrics_is_active",
                     F.size("recent_transactions").cast("long").alias("n_recent"),
-                    F.array_join(F.transform("recent_transactions", lambda x: x["id"]), ",")
+                    F.array_join(F.col("recent_transactions.id"), ",")
                     .alias("recent_ids"))
 
 

@@ -95,7 +95,7 @@ FROM (SELECT unnest(string_split(errs, '; ')) AS e
 GROUP BY 2""")
 def q_validation_report_operations(spark, sf):
     """Q3/Q5: type-dispatched operation checks, failures per rule."""
-    return Q.validation_report(Q.validate_operations(_t(spark, sf).raw_ops_events), "operation")
+    return Q.validation_report(_t(spark, sf).raw_ops_events, "operation")
 
 
 @query("validation_report_ledgers", cte("raw_ledgers_orders") + f"""
@@ -105,7 +105,7 @@ FROM (SELECT unnest(string_split(errs, '; ')) AS e
 GROUP BY 2""")
 def q_validation_report_ledgers(spark, sf):
     """Q1/Q5: ledger checks, failures per rule (empty when all pass)."""
-    return Q.validation_report(Q.validate_ledgers(_t(spark, sf).raw_ledgers_orders), "ledger")
+    return Q.validation_report(_t(spark, sf).raw_ledgers_orders, "ledger")
 
 
 @query("integrity_report", cte("op_lineitem", "tx_orders", "ledgers_orders") + """
