@@ -68,3 +68,11 @@ def test_stats_summary_scans_each_table_once(spark):
     t = TestTables(spark, SF_SMALL)
     df = stats_summary(t.ledgers_events, t.tx_events, t.op_events, t.accounts, t.assets)
     assert plan(df).count("FileScan") == 5
+
+
+def test_no_forbidden_operators_in_any_registered_query(spark):
+    import sys, os
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(__file__)), "scripts"))
+    from plan_audit import audit
+    bad = [(n, f) for n, _, _, f in audit(spark, SF_SMALL) if f]
+    assert not bad, bad
