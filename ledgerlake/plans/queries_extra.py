@@ -380,3 +380,25 @@ SELECT * FROM ledgers_events ORDER BY operation_count ASC NULLS FIRST, sequence
 def q_ledgers_by_operations(spark, sf):
     """Ledgers sorted by operation count ascending, first 20."""
     return _L.sort_by(_t(spark, sf).ledgers_events, "ledger", "operationCount", "asc").limit(20)
+
+
+@query("account_profiles", ACCOUNT_METRICS_SQL + """
+, r AS (SELECT source_account, id, created_at,
+               row_number() OVER (PARTITION BY source_account ORDER BY created_at DESC, id DESC) AS rn
+        FROM tx_orders)
+, agg AS (SELECT source_account, count(*) AS n_recent,
+                 string_agg(id, ',' ORDER BY created_at DESC, id DESC) AS recent_ids
+          FROM r WHERE rn <= 20 GROUP BY source_account)
+SELECT a.account_id, a.balance, acm.transaction_count_30d AS metrics_transaction_count_30d,
+       acm.is_active AS metrics_is_active, COALESCE(agg.n_recent, 0) AS n_recent,
+       COALESCE(agg.recent_ids, '') AS recent_ids
+FROM accounts a LEFT JOIN acm ON acm.account_id = a.account_id
+LEFT JOIN agg ON agg.source_account = a.account_id""")
+def q_account_profiles(spark, sf):
+    """J11 for every account in one job: latest metrics and 20 newest
+    transactions each (per-account top-n pre-limited per map task)."""
+    t = _t(spark, sf)
+    p = J.account_profile(t.accounts, _account_metrics(t), t.tx_orders)
+    return p.select("account_id", "balance", "metrics_transaction_count_30d", "metrics_is_active",
+                    F.size("recent_transactions").cast("long").alias("n_recent"),
+                    F.array_join(F.col("recent_transactions.id"), ",").alias("recent_ids"))
