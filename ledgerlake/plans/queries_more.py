@@ -64,9 +64,16 @@ def errors_sql(entity: str, view: str) -> str:
         rules = [(r, None) for r in Q.RULES[entity]]
     for (field, kind, msg), t in rules:
         cond = _rule_sql(field, kind, cols)
+        top = field.split(".")[0]
+        value = ('"' + field + '"') if top in cols else "NULL"
+        missing = None if kind in Q.OPTIONAL_KINDS else f"{value} IS NULL"
         if t is not None:
             cond = f"(type = '{t}' AND {cond})"
-        arms.append(f"CASE WHEN {cond} THEN '{field}: {msg}' END")
+            missing = None if missing is None else f"(type = '{t}' AND {missing})"
+        if missing is None:
+            arms.append(f"CASE WHEN {cond} THEN '{field}: {msg}' END")
+        else:
+            arms.append(f"CASE WHEN {missing} THEN '{field}: Required' WHEN {cond} THEN '{field}: {msg}' END")
     return f"concat_ws('; ', {', '.join(arms)})"
 
 

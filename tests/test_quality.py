@@ -97,3 +97,23 @@ def test_constraint_report(spark):
     rows = {r["rule"]: r["violations"] for r in Q.constraint_report(df, "operation").collect()}
     assert rows["type allowed values"] == 1
     assert rows["id max length 64"] == 1
+
+
+def test_missing_value_reports_required(spark):
+    errs = errors(spark, "ledger", S.RAW_LEDGER, {**VALID_LEDGER, "sequence": None})
+    assert errs == ["sequence: Required"]
+
+
+def test_strict_record_names_entity(spark, tmp):
+    import json
+    import os
+    import pytest
+    from ledgerlake.sources.raw import read_raw
+    path = os.path.join(tmp, "led.json")
+    with open(path, "w") as f:
+        f.write(json.dumps({**VALID_LEDGER, "sequence": "bad"}) + "\n")
+    df = read_raw(spark, path, "ledger").drop("_corrupt")
+    with pytest.raises(ValueError, match="invalid ledger"):
+        Q.require_valid(df, "ledger")
+    ok = frame(spark, S.RAW_LEDGER, [VALID_LEDGER])
+    assert Q.require_valid(ok, "ledger") is ok
