@@ -164,6 +164,14 @@ def write_fact_table(df: DataFrame, path: str, ts: str, mode: str = "append",
     w.parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
+    """Save a catalog table bucketed and sorted by ``key``. Two tables
+    bucketed the same way on their join keys (transactions by ``hash``,
+    operations by ``transaction_hash``) join and group without any shuffle,
+    which pays off when J1/J2 run repeatedly over the same history."""
+    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 # S6 -------------------------------------------------------------------------
 MARKER = "_processed"
 

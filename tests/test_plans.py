@@ -76,3 +76,21 @@ def test_no_forbidden_operators_in_any_registered_query(spark):
     from plan_audit import audit
     bad = [(n, f) for n, _, _, f in audit(spark, SF_SMALL) if f]
     assert not bad, bad
+
+
+def test_bucketed_tables_join_without_exchange(spark):
+    from ledgerlake.operators.joins import with_operations
+    from ledgerlake.sources.sinks import write_bucketed
+    t = TestTables(spark, SF_SMALL)
+    write_bucketed(t.tx_orders, "tx_bucketed", "hash", 8)
+    write_bucketed(t.op_lineitem, "op_bucketed", "transaction_hash", 8)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nested = with_operations(spark.table("tx_bucketed"), spark.table("op_bucketed"))
+        p = plan(nested)
+        assert "SortMergeJoin" in p
+        assert "Exchange" not in p
+        assert nested.count() == t.tx_orders.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
