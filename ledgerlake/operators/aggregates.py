@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake import schemas as S
 from ledgerlake.functions import scalar as E
-from ledgerlake.operators.common import amount_text, as_of_column, micros, minus
+from ledgerlake.operators.common import amount_text, as_of_column, minus
 
 def _zero() -> Column:
     return F.lit(0).cast(S.AMOUNT_SUM_INPUT)
@@ -485,6 +485,3 @@ def network_report(led: DataFrame, tx: DataFrame, op: DataFrame, metrics: DataFr
         "top_assets", "active_accounts_24h", "total_ledgers", "total_transactions",
         "total_operations")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-_ = micros

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.common import as_of_column
 
 MAX_LOOKUP_KEYS = 10_000
 
@@ -198,5 +197,3 @@ def since_row(tx: DataFrame, anchor_id: str, ts: str = "created_at",
         F.max(F.struct(F.col(ts), F.col(id_col)))).scalar()
     return tx.where(F.struct(F.col(ts), F.col(id_col)) > anchor)
 
-
-_ = as_of_column

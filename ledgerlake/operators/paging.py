@@ -72,11 +72,9 @@ def page_info(page: DataFrame, order: str, n: int, id_col: str = "id", cursor_gi
     was given), start and end cursors of the first ``n`` rows. The page
     holds at most ``n + 1`` ≤ 101 rows."""
     key = F.struct(F.col(order).alias("k"), F.col(id_col).alias("id"))
-    first = F.max_by(key, key) if descending else F.min_by(key, key)
     agg = page.agg(F.count(F.lit(1)).alias("fetched"), F.collect_list(key).alias("keys"))
     ordered = F.sort_array(F.col("keys"), asc=not descending)
     kept = F.slice(ordered, 1, n)
-    _ = first
     return agg.select(
         (F.col("fetched") > n).alias("has_next_page"),
         F.lit(bool(cursor_given)).alias("has_previous_page"),

@@ -317,8 +317,6 @@ def q_retry_backoff(spark, sf):
     return d.select("sequence", "attempt_count", E.backoff_ms(F.col("attempt_count")).alias("backoff_ms"))
 
 
-_ = amt_txt
-
 
 # ---------------------------------------------------------------------------
 # More forms of A9, U2, L6 and E12
