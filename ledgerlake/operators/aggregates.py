@@ -280,10 +280,15 @@ def average_close_time(led: DataFrame, start=None, end=None) -> DataFrame:
 def metrics_summary(m: DataFrame) -> DataFrame:
     """Σ transactions, unweighted mean of the average fee and of the success
     rate, and the trend (latest − earliest transaction count)."""
+    def exact_mean(c: str) -> Column:
+        # the snapshots hold 2-dp values: sum them exactly as decimals, so
+        # the mean does not depend on the order partial sums are combined
+        return (F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+                / F.count(F.col(c)).cast("double"))
     return m.agg(
         F.sum("transaction_count").alias("total_transactions"),
-        F.avg(F.col("average_fee").cast("double")).alias("mean_average_fee"),
-        F.avg(F.col("success_rate").cast("double")).alias("mean_success_rate"),
+        exact_mean("average_fee").alias("mean_average_fee"),
+        exact_mean("success_rate").alias("mean_success_rate"),
         (F.max_by("transaction_count", "timestamp") - F.min_by("transaction_count", "timestamp"))
         .alias("trend"))
 
