@@ -153,11 +153,16 @@ def write_fact_table(df: DataFrame, path: str, ts: str, mode: str = "append",
     """Curated fact layout: partitioned by ``day = date(ts)`` (UTC), rows
     sorted inside each file by ``sort_within`` (e.g. source account) so
     Parquet row-group statistics skip most groups for point predicates.
-    Day filters prune whole partitions (:func:`filters.in_time_range`)."""
+    Day filters prune whole partitions (:func:`filters.in_time_range`).
+
+    Rows are range-partitioned on (day, sort key): sampled bounds split a
+    day holding a large share of the rows across many writer tasks instead
+    of one. Without a sort key a rebalance hint lets AQE split hot days."""
     out = df.withColumn("day", F.col(ts).cast("date"))
-    out = out.repartition("day")
     if sort_within:
-        out = out.sortWithinPartitions(sort_within, ts)
+        out = out.repartitionByRange("day", sort_within).sortWithinPartitions("day", sort_within, ts)
+    else:
+        out = out.hint("rebalance", "day")
     w = out.write.mode(mode).partitionBy("day")
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")

@@ -35,15 +35,29 @@ def curate(entity: str, valid: DataFrame) -> DataFrame:
     return P.operation_details(valid).withColumn("created_at", P.parse_time("created_at"))
 
 
-def already_stored(committed: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+EVENT_TIME = {"ledger": "closed_at", "transaction": "created_at", "operation": "created_at",
+              "payment": "created_at"}
+
+
+def already_stored(committed: DataFrame, batch: DataFrame, key: str,
+                   ts: str | None = None) -> DataFrame:
     """Keys of this batch that are already committed. The stored table is
-    first cut to the batch's key range (literal bounds: pushed to the scan,
-    row groups skipped), then semi-joined with the batch keys, which are
-    the small side; the micro-batch never anti-joins the whole table."""
-    bounds = keys.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if bounds["lo"] is None:
+    first cut to the batch's key range and, when given, to its event-time
+    span (a stored copy of a record has the same key and time) — literal
+    bounds that reach the scan and prune day partitions — then semi-joined
+    with the batch keys, the small side. A micro-batch never anti-joins
+    the whole table."""
+    cols = [F.min(key).alias("lo"), F.max(key).alias("hi")]
+    if ts:
+        cols += [F.min(ts).alias("t0"), F.max(ts).alias("t1")]
+    b = batch.agg(*cols).first()
+    keys = batch.select(key).distinct()
+    if b["lo"] is None:
         return keys.limit(0)
-    near = committed.where(F.col(key).between(F.lit(bounds["lo"]), F.lit(bounds["hi"])))
+    near = committed.where(F.col(key).between(F.lit(b["lo"]), F.lit(b["hi"])))
+    if ts and b["t0"] is not None:
+        from ledgerlake.operators.filters import in_time_range
+        near = in_time_range(near, ts, b["t0"], b["t1"])
     return near.select(key).join(keys, key, "left_semi")
 
 
@@ -61,7 +75,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, entity: str, root: str,
         table = os.path.join(root, entity)
         if sinks._exists(spark, table):
             committed = sinks.read_committed(spark, root, entity)
-            seen = already_stored(committed, curated.select(key).distinct(), key)
+            ts = EVENT_TIME.get(entity) if EVENT_TIME.get(entity) in curated.columns else None
+            seen = already_stored(committed, curated, key, ts)
             curated = curated.join(seen, key, "left_anti")
         sinks.write_batch(spark, root, {entity: curated, f"{entity}_invalid": invalid.drop("errors")},
                           batch_id)
