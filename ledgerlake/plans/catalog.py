@@ -1,6 +1,6 @@
 """Registered queries and their DuckDB oracles.
 
-Each entry runs one library operator over the stand-in ledger views of a
+Each entry runs library operators over the stand-in ledger views of a
 scale-factor folder (whole tables, no sampling) and is paired with an
 independent SQL formulation of the same semantics for DuckDB. Column names
 and types are aligned on both sides: amounts are decimal text, rates are
