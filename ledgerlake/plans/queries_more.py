@@ -115,7 +115,7 @@ def q_validation_report_ledgers(spark, sf):
     return Q.validation_report(_t(spark, sf).raw_ledgers_orders, "ledger")
 
 
-@query("integrity_report", cte("op_lineitem", "tx_orders", "ledgers_orders") + """
+@query("integrity_report", cte("op_lineitem", "tx_orders", "ledgers_orders", "trustlines", "accounts", "assets") + """
 SELECT 'operations.transaction_hash -> transactions.hash' AS rule,
        (SELECT count(*) FROM op_lineitem o WHERE NOT EXISTS (SELECT 1 FROM tx_orders t WHERE t.hash = o.transaction_hash)) AS violations
 UNION ALL
@@ -126,7 +126,22 @@ SELECT 'operations.id unique', (SELECT count(*) FROM (SELECT id FROM op_lineitem
 UNION ALL
 SELECT 'transactions.hash unique', (SELECT count(*) FROM (SELECT hash FROM tx_orders GROUP BY hash HAVING count(*) > 1))
 UNION ALL
-SELECT 'ledgers.sequence unique', (SELECT count(*) FROM (SELECT sequence FROM ledgers_orders GROUP BY sequence HAVING count(*) > 1))""")
+SELECT 'ledgers.sequence unique', (SELECT count(*) FROM (SELECT sequence FROM ledgers_orders GROUP BY sequence HAVING count(*) > 1))
+UNION ALL
+SELECT 'operations.ledger_sequence -> ledgers.sequence',
+       (SELECT count(*) FROM op_lineitem o WHERE NOT EXISTS (SELECT 1 FROM ledgers_orders l WHERE l.sequence = o.ledger_sequence))
+UNION ALL
+SELECT 'trustlines.account_id -> accounts.account_id',
+       (SELECT count(*) FROM trustlines t WHERE NOT EXISTS (SELECT 1 FROM accounts a WHERE a.account_id = t.account_id))
+UNION ALL
+SELECT 'trustlines.asset_id -> assets.id',
+       (SELECT count(*) FROM trustlines t WHERE NOT EXISTS (SELECT 1 FROM assets a WHERE a.id = t.asset_id))
+UNION ALL
+SELECT 'assets (asset_type, asset_code, asset_issuer) unique',
+       (SELECT count(*) FROM (SELECT asset_type, asset_code, asset_issuer FROM assets GROUP BY ALL HAVING count(*) > 1))
+UNION ALL
+SELECT 'trustlines (account_id, asset_id) unique',
+       (SELECT count(*) FROM (SELECT account_id, asset_id FROM trustlines GROUP BY ALL HAVING count(*) > 1))""")
 def q_integrity_report(spark, sf):
     """Q6: foreign-key and uniqueness violations, one row per rule."""
     t = _t(spark, sf)
@@ -138,6 +153,15 @@ def q_integrity_report(spark, sf):
         ("operations.id unique", A.duplicate_keys(t.op_lineitem, "id")),
         ("transactions.hash unique", A.duplicate_keys(t.tx_orders, "hash")),
         ("ledgers.sequence unique", A.duplicate_keys(t.ledgers_orders, "sequence")),
+        ("operations.ledger_sequence -> ledgers.sequence",
+         J.orphans(t.op_lineitem, t.ledgers_orders, "ledger_sequence", "sequence")),
+        ("trustlines.account_id -> accounts.account_id",
+         J.orphans(t.trustlines, t.accounts, "account_id", "account_id")),
+        ("trustlines.asset_id -> assets.id", J.orphans(t.trustlines, t.assets, "asset_id", "id")),
+        ("assets (asset_type, asset_code, asset_issuer) unique",
+         A.duplicate_keys(t.assets, ["asset_type", "asset_code", "asset_issuer"])),
+        ("trustlines (account_id, asset_id) unique",
+         A.duplicate_keys(t.trustlines, ["account_id", "asset_id"])),
     ])
 
 

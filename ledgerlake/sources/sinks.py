@@ -82,6 +82,22 @@ def merge_upsert(target: DataFrame, batch: DataFrame, key, update_cols: list[str
     return j.select(*out)
 
 
+# Columns an upsert may overwrite on a key conflict (fixed per entity).
+UPSERT_COLUMNS = {
+    "ledger": ("sequence", ["successful_transaction_count", "failed_transaction_count",
+                            "operation_count", "tx_set_operation_count"]),
+    "transaction": ("hash", ["successful"]),
+    "operation": ("id", ["transaction_successful", "details"]),
+}
+
+
+def upsert_entity(spark: SparkSession, path: str, batch: DataFrame, entity: str,
+                  partition_by: list[str] | None = None, ts=None) -> None:
+    """S4 with the entity's key and its fixed set of updatable columns."""
+    key, cols = UPSERT_COLUMNS[entity]
+    upsert_table(spark, path, batch, key, cols, partition_by=partition_by, ts=ts)
+
+
 # S5 -------------------------------------------------------------------------
 def insert_ignore(target: DataFrame, batch: DataFrame, key) -> DataFrame:
     """Rows of ``batch`` to append: one per key, none already in the target."""

@@ -61,3 +61,14 @@ def test_export_csv_quoting(spark, tmp):
     assert set(lines) == {"x,y", '"a,b","say ""hi"""'}
     back = spark.read.option("header", True).option("escape", '"').csv(out).first()
     assert (back["x"], back["y"]) == ("a,b", 'say "hi"')
+
+
+def test_upsert_entity_ledger_counts_only(spark, tmp):
+    path = os.path.join(tmp, "led")
+    cols = ("sequence long, hash string, successful_transaction_count long, failed_transaction_count long, "
+            "operation_count long, tx_set_operation_count long")
+    sinks.upsert_entity(spark, path, spark.createDataFrame([(1, "h", 1, 0, 2, 2)], cols), "ledger")
+    sinks.upsert_entity(spark, path, spark.createDataFrame([(1, "changed", 3, 1, 5, 5)], cols), "ledger")
+    r = spark.read.parquet(path).first()
+    assert (r["hash"], r["successful_transaction_count"], r["failed_transaction_count"],
+            r["operation_count"]) == ("h", 3, 1, 5)
