@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake import schemas as S
 from ledgerlake.functions import scalar as E
-from ledgerlake.operators.common import amount_text, as_of_column, minus
+from ledgerlake.operators.common import amount_text, as_of_column, decimal_text, minus
 
 def _zero() -> Column:
     return F.lit(0).cast(S.AMOUNT_SUM_INPUT)
@@ -394,7 +394,7 @@ def duration_summary(log: DataFrame, threshold_ms: float = S.SLOW_QUERY_MS) -> D
                   F.sum(d).alias("s"))
     cents = (F.col("s") * 100).cast("long")
     return agg.select("total_queries", "slow_queries",
-                      F.coalesce(F.col("s"), F.lit(0).cast("decimal(28,2)")).cast("string")
+                      decimal_text(F.coalesce(F.col("s"), F.lit(0).cast("decimal(28,2)")), 28, 2)
                       .alias("total_duration_ms"),
                       F.coalesce(E.ratio_half_up(cents, F.col("total_queries") * 100, 2),
                                  F.lit(0.0)).alias("avg_duration_ms"))
@@ -406,8 +406,7 @@ def recent_slow_queries(log: DataFrame, threshold_ms: float = S.SLOW_QUERY_MS,
     from ledgerlake.operators.paging import recent
     slow = log.where(F.col("duration_ms").cast("decimal(18,2)") >= F.lit(threshold_ms))
     page = recent(slow, "logged_at", n, "id")
-    return page.select("id", "logged_at", F.col("duration_ms").cast("decimal(18,2)").cast("string")
-                       .alias("duration_ms"),
+    return page.select("id", "logged_at", decimal_text(F.col("duration_ms"), 18, 2).alias("duration_ms"),
                        F.substring(F.trim(F.regexp_replace("query_text", r"\s+", " ")), 1, 500)
                        .alias("query_text"))
 
@@ -424,7 +423,7 @@ def duration_histogram(log: DataFrame, buckets: list[float], label: str = "label
                                  F.sum(v.cast("decimal(28,6)")).alias("sum"))
     stack = ", ".join([f"'{b}', b{i}" for i, b in enumerate(edges)] + ["'+Inf', count"])
     return agg.select(label, F.expr(f"stack({len(edges) + 1}, {stack}) AS (le, bucket_count)"),
-                      F.col("sum").cast("string").alias("sum"), "count")
+                      decimal_text(F.col("sum"), 38, 6).alias("sum"), "count")
 
 
 # A22 ------------------------------------------------------------------------

@@ -58,9 +58,19 @@ def from_micros(us) -> Column:
     return F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
+def decimal_text(c: Column, precision: int = 38, scale: int = 7) -> Column:
+    """Plain decimal text with exactly ``scale`` decimals (``-5.5000000``).
+    A plain cast is not used: outside ANSI mode Spark renders small or zero
+    values of scale 7 in scientific notation (``0E-7``)."""
+    mask = "9" * (precision - scale - 1) + "0" + ("." + "0" * scale if scale else "")
+    d = c.cast(f"decimal({precision},{scale})")
+    digits = F.trim(F.to_char(F.abs(d), F.lit(mask)))
+    return F.when(d.isNotNull(), F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), digits))
+
+
 def amount_text(c: Column) -> Column:
     """Decimal amount as the text the ledger stores (fixed 7 decimals)."""
-    return c.cast("decimal(38,7)").cast("string")
+    return decimal_text(c, 38, 7)
 
 
 def require_range(start, end, what: str = "start") -> None:

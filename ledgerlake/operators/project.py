@@ -151,9 +151,10 @@ def chart_points(m: DataFrame) -> DataFrame:
     ok = F.round(n * rate / F.lit(100), 0).cast("long")
     bad = F.round(n * (F.lit(100) - rate) / F.lit(100), 0).cast("long")
     vol = E.to_amount(F.col("total_volume")) if "total_volume" in m.columns else F.lit(None)
+    from ledgerlake.operators.common import decimal_text
     return m.select("timestamp", n.cast("long").alias("transactions"), ok.alias("successful_tx"),
-                    bad.alias("failed_tx"), F.coalesce(vol, F.lit(0).cast("decimal(28,7)"))
-                    .cast("string").alias("volume"))
+                    bad.alias("failed_tx"),
+                    decimal_text(F.coalesce(vol, F.lit(0).cast("decimal(28,7)")), 28, 7).alias("volume"))
 
 
 # P10 ------------------------------------------------------------------------

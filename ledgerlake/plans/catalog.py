@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake import schemas as S
 from ledgerlake.operators import aggregates as A
+from ledgerlake.operators.common import amount_text
 from ledgerlake.operators import filters as FL
 from ledgerlake.operators import joins as J
 from ledgerlake.operators import paging as L
@@ -379,7 +380,7 @@ def q_trustline_holdings(spark, sf):
     """Trustline balances with account and asset attached."""
     t = _t(spark, sf)
     return J.trustline_holdings(t.trustlines, t.accounts, t.assets).select(
-        "account_id", "asset_id", F.col("balance").cast("string").alias("balance"), "asset_type",
+        "account_id", "asset_id", amount_text(F.col("balance")).alias("balance"), "asset_type",
         "asset_code", "asset_issuer", "native_balance")
 
 

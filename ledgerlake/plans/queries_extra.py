@@ -250,7 +250,8 @@ def q_base_units(spark, sf):
     """Amounts to base units and back, exact decimals."""
     ops = _t(spark, sf).raw_ops_events.where(F.col("amount").isNotNull())
     st = E.units_to_stroops(F.col("amount"))
-    return ops.select("id", st.alias("stroops"), E.stroops_to_units(st).cast("string").alias("units"))
+    from ledgerlake.operators.common import amount_text
+    return ops.select("id", st.alias("stroops"), amount_text(E.stroops_to_units(st)).alias("units"))
 
 
 @query("truncated_accounts", cte("raw_tx_orders") + """

@@ -50,6 +50,15 @@ class Dialect:
     def q(self, ident: str) -> str:
         return f"`{ident}`" if self.name == "spark" else f'"{ident}"'
 
+    def dec_text(self, expr: str, precision: int, scale: int) -> str:
+        """Plain decimal text in both engines (see ``common.decimal_text``)."""
+        if self.name == "spark":
+            mask = "9" * (precision - scale - 1) + "0." + "0" * scale
+            d = f"CAST({expr} AS DECIMAL({precision},{scale}))"
+            return (f"CASE WHEN {d} < 0 THEN concat('-', trim(to_char(abs({d}), '{mask}'))) "
+                    f"ELSE trim(to_char(abs({d}), '{mask}')) END")
+        return f"CAST(CAST({expr} AS DECIMAL({precision},{scale})) AS VARCHAR)"
+
     def array(self, *items: str) -> str:
         fn = "array" if self.name == "spark" else "list_value"
         return f"{fn}({', '.join(items)})"
@@ -116,7 +125,7 @@ def _views(d: Dialect) -> dict[str, str]:
            CAST(user_id AS STRING) AS source_account,
            CAST({hour} AS BIGINT) AS ledger_sequence,
            1 AS operation_index,
-           concat('{{"amount":"', CAST(CAST(value AS DECIMAL(18,2)) AS STRING), '"}}') AS details
+           concat('{{"amount":"', {d.dec_text("value", 18, 2)}, '"}}') AS details
     FROM {{events}}"""
     v["ledgers_events"] = f"""
     SELECT CAST({hour} AS STRING) AS id,
@@ -141,19 +150,19 @@ def _views(d: Dialect) -> dict[str, str]:
            CASE WHEN event_type IN ('purchase', 'click', 'view')
                 THEN CAST({d.json_int("props", "k")} AS STRING) END AS {d.q("to")},
            CASE WHEN event_type IN ('purchase', 'click', 'view')
-                THEN CAST(CAST(value AS DECIMAL(18,2)) AS STRING) END AS amount,
+                THEN {d.dec_text("value", 18, 2)} END AS amount,
            CASE event_type WHEN 'purchase' THEN 'native'
                 WHEN 'click' THEN 'credit_alphanum4'
                 WHEN 'view' THEN 'credit_alphanum12' END AS asset_type,
            CASE event_type WHEN 'click' THEN 'USDC' WHEN 'view' THEN 'EURSTABLE' END AS asset_code,
            CASE WHEN event_type IN ('click', 'view') THEN 'ISSUER' END AS asset_issuer,
            CASE WHEN event_type IN ('click', 'view')
-                THEN CAST(CAST(value AS DECIMAL(18,2)) AS STRING) END AS source_amount,
+                THEN {d.dec_text("value", 18, 2)} END AS source_amount,
            CASE WHEN event_type = 'signup' THEN CAST(user_id AS STRING) END AS account,
            CASE WHEN event_type = 'signup' THEN CAST({d.json_int("props", "k")} AS STRING) END AS funder,
-           CASE WHEN event_type = 'signup' THEN CAST(CAST(value AS DECIMAL(18,2)) AS STRING) END AS starting_balance,
+           CASE WHEN event_type = 'signup' THEN {d.dec_text("value", 18, 2)} END AS starting_balance,
            CASE WHEN event_type = 'error' THEN CAST(event_id AS STRING) END AS offer_id,
-           CASE WHEN event_type = 'error' THEN CAST(CAST(value AS DECIMAL(18,2)) AS STRING) END AS price,
+           CASE WHEN event_type = 'error' THEN {d.dec_text("value", 18, 2)} END AS price,
            CASE WHEN event_type = 'error' THEN 'native' END AS selling_asset_type,
            CASE WHEN event_type = 'error' THEN 'credit_alphanum4' END AS buying_asset_type,
            CAST(NULL AS STRING) AS {d.q("limit")},
@@ -183,7 +192,7 @@ def _views(d: Dialect) -> dict[str, str]:
            l_linenumber AS operation_index,
            l_partkey AS asset_id,
            CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
-           concat('{{"amount":"', CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS STRING), '"}}') AS details
+           concat('{{"amount":"', {d.dec_text("l_extendedprice", 18, 2)}, '"}}') AS details
     FROM {{lineitem}}"""
     v["ledgers_orders"] = f"""
     SELECT CAST({day_o} AS STRING) AS id,
@@ -196,14 +205,14 @@ def _views(d: Dialect) -> dict[str, str]:
            max(o_orderdate) AS closed_at
     FROM {{orders}}
     GROUP BY {day_o}"""
-    v["accounts"] = """
+    v["accounts"] = f"""
     SELECT CAST(c_custkey AS STRING) AS account_id,
-           CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS STRING) AS balance,
+           {d.dec_text("c_acctbal", 18, 2)} AS balance,
            'native' AS asset_type,
            CAST(c_nationkey AS BIGINT) AS num_subentries,
            c_mktsegment AS home_domain,
            CAST(c_custkey AS STRING) AS sequence_number
-    FROM {customer}"""
+    FROM {{customer}}"""
     v["assets"] = """
     SELECT p_partkey AS id,
            CASE WHEN length(concat('P', CAST(p_partkey AS STRING))) <= 4
@@ -251,7 +260,7 @@ def _views(d: Dialect) -> dict[str, str]:
            CAST(count(*) AS BIGINT) AS operation_count,
            CAST(count(*) AS BIGINT) AS tx_set_operation_count,
            {d.iso("max(o_orderdate)")} AS closed_at,
-           CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,7)) AS STRING) AS total_coins,
+           {d.dec_text("sum(CAST(o_totalprice AS DECIMAL(18,2)))", 38, 7)} AS total_coins,
            '0.0000000' AS fee_pool,
            CAST(100 AS BIGINT) AS base_fee_in_stroops,
            CAST(5000000 AS BIGINT) AS base_reserve_in_stroops,

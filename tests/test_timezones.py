@@ -50,3 +50,16 @@ def test_network_metrics_same_under_any_zone(spark, los_angeles):
         c = t0 + dt.timedelta(hours=s)
         inside = [i for i in range(30) if c - dt.timedelta(hours=1) <= t0 + dt.timedelta(minutes=9 * i) <= c]
         assert got[s] == (len(inside), len({i % 3 for i in inside}))
+
+
+def test_decimal_text_plain_in_any_ansi_mode(spark):
+    from ledgerlake.operators.common import amount_text
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for mode in ("false", "true"):
+            spark.conf.set("spark.sql.ansi.enabled", mode)
+            df = spark.createDataFrame([("0",), ("0.0000001",), ("-0.25",), ("12.5",)], "v string")
+            got = [r[0] for r in df.select(amount_text(F.col("v").cast("decimal(38,7)"))).collect()]
+            assert got == ["0.0000000", "0.0000001", "-0.2500000", "12.5000000"], (mode, got)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
