@@ -15,3 +15,19 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() >= 0
     assert "active_accounts" in df.columns
+
+
+def test_registered_queries_match_under_other_session_settings(spark):
+    """Same oracles with a non-UTC zone, ANSI off, AQE off, 200 partitions."""
+    from ledgerlake.plans.oracle import check
+    settings = {"spark.sql.session.timeZone": "America/Los_Angeles", "spark.sql.ansi.enabled": "false",
+                "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "200"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        failures = [(n, m) for n, status, _, _, m in check(spark, SF_SMALL) if status == "fail"]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert not failures, failures
