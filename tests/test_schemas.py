@@ -35,3 +35,17 @@ def test_every_operation_type_has_a_label_and_at_most_one_category():
     assert len(cats) == len(set(cats))
     assert set(S.OPERATION_LABELS) == set(S.OPERATION_TYPES)
     assert len(S.OPERATION_TYPES) == 24
+
+
+def test_every_inventory_id_has_an_operator():
+    from ledgerlake.api import OPERATORS
+    ids = ([f"S{i}" for i in range(1, 11)] + [f"P{i}" for i in range(1, 15)]
+           + [f"F{i}" for i in range(1, 15)] + [f"J{i}" for i in range(1, 14)]
+           + [f"A{i}" for i in range(1, 27)] + [f"W{i}" for i in range(1, 9)]
+           + ["L1", "L2", "L3", "L4", "L6", "L7", "L8", "L9", "L10", "L11"]
+           + [f"U{i}" for i in range(1, 5)]
+           + ["E1", "E2", "E3", "E4", "E5", "E6", "E8", "E9", "E10", "E11", "E12", "E14", "E17", "E18"]
+           + [f"Q{i}" for i in range(1, 8)] + [f"T{i}" for i in range(1, 14)]
+           + [f"M{i}" for i in range(1, 10)])
+    missing = [i for i in ids if i not in OPERATORS or not callable(OPERATORS[i])]
+    assert not missing, missing
