@@ -114,3 +114,14 @@ def test_apply_retention_archives_everything(spark, tmp):
     # rerun: nothing left to expire, nothing duplicated in the archive
     again = M.apply_retention(spark, table, archive, "created_at", 90, "id", base)
     assert again["archived"] == 0 and spark.read.parquet(archive).count() == 1001
+
+
+def test_progress_log_lookup_fixtures(spark):
+    from ledgerlake.operators.joins import processed_only, unprocessed
+    done = processed(spark, [1000])
+    cands = spark.createDataFrame([(1000,), (9999,)], "sequence long")
+    assert [r[0] for r in processed_only(cands, done).collect()] == [1000]
+    assert [r[0] for r in unprocessed(cands, done).collect()] == [9999]
+    assert [r[0] for r in unprocessed(cands, processed(spark, [])).orderBy("sequence").collect()] == [1000, 9999]
+    batch = spark.createDataFrame([(500,), (42,)], "sequence long")
+    assert [r[0] for r in unprocessed(batch, processed(spark, [500])).collect()] == [42]
