@@ -43,9 +43,9 @@ TRANSACTION_RULES = [
     ("hash", "hash", "Invalid transaction hash"),
     ("ledger", "gt0", "must be a positive integer"),
     ("created_at", "iso", "must be an ISO date-time with offset"),
-    ("source_account", "address", "Invalid Stellar address"),
+    ("source_account", "address", "Invalid account address"),
     ("source_account_sequence", "nonempty", "must be a non-empty string"),
-    ("fee_account", "address_or_null", "Invalid Stellar address"),
+    ("fee_account", "address_or_null", "Invalid account address"),
     ("fee_charged", "required", "Required"),
     ("max_fee", "required", "Required"),
     ("operation_count", "ge0", "must be a non-negative integer"),
@@ -64,11 +64,11 @@ OPERATION_BASE_RULES = [
     ("transaction_successful", "required", "Required"),
     ("type", "nonempty", "must be a non-empty string"),
     ("created_at", "iso", "must be an ISO date-time with offset"),
-    ("source_account", "address", "Invalid Stellar address"),
+    ("source_account", "address", "Invalid account address"),
 ]
 _PAYMENT_EXTRA = [
-    ("from", "address", "Invalid Stellar address"),
-    ("to", "address", "Invalid Stellar address"),
+    ("from", "address", "Invalid account address"),
+    ("to", "address", "Invalid account address"),
     ("amount", "numeric", "Expected a numeric string"),
     ("asset_type", "nonempty", "must be a non-empty string"),
 ]
@@ -79,8 +79,8 @@ OPERATION_TYPE_RULES = {
     "path_payment_strict_send": _PAYMENT_EXTRA + [
         ("source_amount", "numeric", "Expected a numeric string")],
     "create_account": [
-        ("account", "address", "Invalid Stellar address"),
-        ("funder", "address", "Invalid Stellar address"),
+        ("account", "address", "Invalid account address"),
+        ("funder", "address", "Invalid account address"),
         ("starting_balance", "numeric", "Expected a numeric string"),
     ],
 }

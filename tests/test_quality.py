@@ -64,7 +64,7 @@ def test_transactions(spark):
     errs = errors(spark, "transaction", S.RAW_TRANSACTION, {**VALID_TX, "hash": "tooshort"})
     assert errs == ["hash: Invalid transaction hash"]
     errs = errors(spark, "transaction", S.RAW_TRANSACTION, {**VALID_TX, "source_account": "INVALID"})
-    assert errs == ["source_account: Invalid Stellar address"]
+    assert errs == ["source_account: Invalid account address"]
 
 
 def test_fee_number_coerced_to_text(spark, tmp):
@@ -84,7 +84,7 @@ def test_fee_number_coerced_to_text(spark, tmp):
 def test_operations_type_dispatch(spark):
     assert errors(spark, "operation", S.RAW_OPERATION, VALID_OP) == []
     assert errors(spark, "operation", S.RAW_OPERATION, {**VALID_OP, "to": "BADADDRESS"}) == [
-        "to: Invalid Stellar address"]
+        "to: Invalid account address"]
     assert errors(spark, "operation", S.RAW_OPERATION, {**VALID_OP, "amount": "not-a-number"}) == [
         "amount: Expected a numeric string"]
     generic = {k: v for k, v in VALID_OP.items() if k not in ("from", "to", "amount", "asset_type")}
