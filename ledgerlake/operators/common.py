@@ -60,10 +60,14 @@ def from_micros(us) -> Column:
 
 def decimal_text(c: Column, precision: int = 38, scale: int = 7) -> Column:
     """Plain decimal text with exactly ``scale`` decimals (``-5.5000000``).
-    A plain cast is not used: outside ANSI mode Spark renders small or zero
-    values of scale 7 in scientific notation (``0E-7``)."""
-    mask = "9" * (precision - scale - 1) + "0" + ("." + "0" * scale if scale else "")
+    Outside ANSI mode Spark casts with Java's ``BigDecimal.toString``, which
+    switches to scientific notation once the adjusted exponent is below −6
+    (``0E-7``, ``1E-7``). That needs scale ≥ 7; smaller scales use the
+    plain cast, larger ones a digit mask."""
     d = c.cast(f"decimal({precision},{scale})")
+    if scale <= 6:
+        return d.cast("string")
+    mask = "9" * (precision - scale - 1) + "0" + "." + "0" * scale
     digits = F.trim(F.to_char(F.abs(d), F.lit(mask)))
     return F.when(d.isNotNull(), F.concat(F.when(d < 0, F.lit("-")).otherwise(F.lit("")), digits))
 

@@ -52,12 +52,13 @@ class Dialect:
 
     def dec_text(self, expr: str, precision: int, scale: int) -> str:
         """Plain decimal text in both engines (see ``common.decimal_text``)."""
-        if self.name == "spark":
+        if self.name == "spark" and scale >= 7:
             mask = "9" * (precision - scale - 1) + "0." + "0" * scale
             d = f"CAST({expr} AS DECIMAL({precision},{scale}))"
             return (f"CASE WHEN {d} < 0 THEN concat('-', trim(to_char(abs({d}), '{mask}'))) "
                     f"ELSE trim(to_char(abs({d}), '{mask}')) END")
-        return f"CAST(CAST({expr} AS DECIMAL({precision},{scale})) AS VARCHAR)"
+        cast = "STRING" if self.name == "spark" else "VARCHAR"
+        return f"CAST(CAST({expr} AS DECIMAL({precision},{scale})) AS {cast})"
 
     def array(self, *items: str) -> str:
         fn = "array" if self.name == "spark" else "list_value"
