@@ -70,7 +70,7 @@ OPERATORS = {
     "Q4": Q.split_valid, "Q5": Q.validation_report, "Q6": Q.integrity_report,
     "Q7": Q.constraint_report,
     # streaming
-    "T1": T.ingest_stream, "T2": T.drop_late, "T3": T.idempotent_marks, "T4": T.incremental_poll,
+    "T1": T.ingest_ledger_units, "T2": T.drop_late, "T3": T.idempotent_marks, "T4": T.incremental_poll,
     "T5": T.route_channels, "T6": T.subscribe, "T7": T.live_totals, "T8": T.network_metrics_stream,
     "T9": T.batch_summary, "T10": T.dedupe_stream, "T11": T.rate_cap, "T12": T.dead_letters,
     "T13": T.ready_for_retry,

@@ -235,7 +235,14 @@ RAW_OPERATION = T.StructType([
     T.StructField("trustee", T.StringType()),
 ])
 
+# One landed unit of work: a ledger with its transactions and operations.
+RAW_LEDGER_UNIT = T.StructType(RAW_LEDGER.fields + [
+    T.StructField("transactions", T.ArrayType(RAW_TRANSACTION)),
+    T.StructField("operations", T.ArrayType(RAW_OPERATION)),
+])
+
 RAW_SCHEMAS = {
+    "ledger_unit": RAW_LEDGER_UNIT,
     "ledger": RAW_LEDGER,
     "transaction": RAW_TRANSACTION,
     "operation": RAW_OPERATION,

@@ -222,6 +222,18 @@ def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame:
     return data.join(spark.read.parquet(marker_path).select("batch_id"), "batch_id", "left_semi")
 
 
+def try_read_committed(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """Committed rows, or ``None`` while the table holds no data files yet
+    (e.g. every record of the first batches was quarantined)."""
+    from pyspark.errors import AnalysisException
+    if not _exists(spark, os.path.join(root, name)):
+        return None
+    try:
+        return read_committed(spark, root, name)
+    except AnalysisException:
+        return None
+
+
 # S7 -------------------------------------------------------------------------
 def append_snapshot(spark: SparkSession, path: str, metrics: DataFrame,
                     key=("entity_id", "timestamp")) -> int:

@@ -72,9 +72,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, entity: str, root: str,
     try:
         valid, invalid = Q.split_valid(data, entity)
         curated = sinks.dedupe_batch(curate(entity, valid), key)
-        table = os.path.join(root, entity)
-        if sinks._exists(spark, table):
-            committed = sinks.read_committed(spark, root, entity)
+        committed = sinks.try_read_committed(spark, root, entity)
+        if committed is not None:
             ts = EVENT_TIME.get(entity) if EVENT_TIME.get(entity) in curated.columns else None
             seen = already_stored(committed, curated, key, ts)
             curated = curated.join(seen, key, "left_anti")
@@ -95,6 +94,54 @@ def ingest_stream(spark: SparkSession, stream: DataFrame, entity: str, root: str
     return w.start()
 
 
+def process_ledger_units(spark: SparkSession, batch: DataFrame, root: str, batch_id: int) -> None:
+    """One micro-batch of landed ledger units (a ledger with its
+    transactions and operations), written as ONE committed unit (S6):
+    ledgers, transactions, operations, payments, the quarantine and the
+    progress rows (T3) share the batch id, and the commit marker is
+    appended last. Ledgers already in the progress log are skipped (T2/T3),
+    so replays are no-ops. Children are exploded from their own ledger (a
+    ledger's transaction and operation counts are capped by the protocol)."""
+    data = batch.drop("_corrupt") if "_corrupt" in batch.columns else batch
+    data = data.persist()
+    try:
+        done = sinks.try_read_committed(spark, root, "processed_ledgers")
+        if done is not None:
+            seen = already_stored(done, data, "sequence")
+            data = data.join(seen, "sequence", "left_anti")
+        led_cols = [f.name for f in S.RAW_LEDGER.fields]
+        ledgers, bad_led = Q.split_valid(data.select(*led_cols), "ledger")
+        ok_seq = ledgers.select("sequence")
+        units = data.join(ok_seq, "sequence", "left_semi")
+        tx_raw = units.select(F.explode("transactions").alias("t")).select("t.*")
+        op_raw = units.select(F.explode("operations").alias("o")).select("o.*")
+        txs, bad_tx = Q.split_valid(tx_raw, "transaction")
+        ops, bad_op = Q.split_valid(op_raw, "operation")
+        frames = {
+            "ledger": curate("ledger", ledgers),
+            "transaction": curate("transaction", txs),
+            "operation": curate("operation", ops),
+            "payment": P.normalize_payments(ops),
+            "ledger_invalid": bad_led.drop("errors"),
+            "transaction_invalid": bad_tx.drop("errors"),
+            "operation_invalid": bad_op.drop("errors"),
+            "processed_ledgers": idempotent_marks(ledgers, spark.createDataFrame([], "sequence long")),
+        }
+        sinks.write_batch(spark, root, frames, batch_id)
+    finally:
+        data.unpersist()
+
+
+def ingest_ledger_units(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str,
+                        trigger: dict | None = None):
+    """T1 for whole units of work: a stream of landed ledger units, each
+    micro-batch committed all-or-nothing by :func:`process_ledger_units`."""
+    def fn(batch, batch_id):
+        process_ledger_units(spark, batch, root, int(batch_id))
+    return (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
 # T2 -------------------------------------------------------------------------
 def drop_late(batch: DataFrame, last_processed: int | Column, col: str = "sequence") -> DataFrame:
     """Ignore ledgers at or below the last processed sequence."""

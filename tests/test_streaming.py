@@ -151,3 +151,41 @@ def test_ingest_ledgers_then_late_dropped(spark, tmp):
     late = spark.createDataFrame([(9,), (12,), (13,)], "sequence long")
     last = stored.select(F.max("sequence")).first()[0]
     assert [r["sequence"] for r in T.drop_late(late, last).collect()] == [13]
+
+
+def test_ledger_units_committed_together_and_replay_is_noop(spark, tmp):
+    from tests.test_quality import VALID_OP
+    src, root, ck = (os.path.join(tmp, x) for x in ("usrc", "uroot", "uck"))
+
+    def unit(seq, n_tx):
+        txs = [{**VALID_TX, "id": f"{seq}-t{i}", "hash": f"{seq:032x}{i:032x}", "ledger": seq}
+               for i in range(n_tx)]
+        ops = [{**VALID_OP, "id": f"{seq}-{i}", "transaction_hash": t["hash"]} for i, t in enumerate(txs)]
+        ops.append({**VALID_OP, "id": f"{seq}-bad", "to": "BADADDRESS"})
+        return {**VALID_LEDGER, "sequence": seq, "id": str(seq), "transactions": txs, "operations": ops}
+
+    land(src, "a.json", [unit(100, 3), unit(101, 2)])
+    land(src, "b.json", [{**VALID_LEDGER, "sequence": -5, "id": "x", "transactions": [], "operations": []}])
+    stream = raw.read_stream(spark, src, "ledger_unit", per_batch=1)
+    T.ingest_ledger_units(spark, stream, root, ck).awaitTermination()
+
+    def n(name):
+        return sinks.read_committed(spark, root, name).count()
+    assert (n("ledger"), n("transaction"), n("operation"), n("payment")) == (2, 5, 5, 5)
+    assert (n("operation_invalid"), n("ledger_invalid"), n("processed_ledgers")) == (2, 1, 2)
+    # the same units land again: the progress log makes the replay a no-op
+    land(src, "c.json", [unit(100, 3)])
+    T.ingest_ledger_units(spark, raw.read_stream(spark, src, "ledger_unit", per_batch=1),
+                          root, ck).awaitTermination()
+    assert (n("ledger"), n("transaction"), n("processed_ledgers")) == (2, 5, 2)
+
+
+def test_first_batch_all_invalid_then_valid(spark, tmp):
+    src, root, ck = (os.path.join(tmp, x) for x in ("isrc", "iroot", "ick"))
+    land(src, "a.json", [{**VALID_LEDGER, "sequence": -1, "id": "x", "transactions": [], "operations": []}])
+    T.ingest_ledger_units(spark, raw.read_stream(spark, src, "ledger_unit", per_batch=1),
+                          root, ck).awaitTermination()
+    land(src, "b.json", [{**VALID_LEDGER, "sequence": 7, "id": "7", "transactions": [], "operations": []}])
+    T.ingest_ledger_units(spark, raw.read_stream(spark, src, "ledger_unit", per_batch=1),
+                          root, ck).awaitTermination()
+    assert sinks.read_committed(spark, root, "ledger").count() == 1
