@@ -40,6 +40,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
+    """Recommended settings for ~100 TB inputs on a large cluster (applied by
+    the job submitter; the library never overrides a cluster's settings).
+
+    * scans: 512 MB splits keep ~200k tasks for 100 TB of Parquet;
+    * shuffles: start with many partitions (4× the cores) and let AQE
+      coalesce them to ~256 MB, so no reducer spills on wide aggregates;
+    * skew: AQE splits any join partition 5× the median and over 512 MB;
+    * broadcast: only sides AQE measures under 64 MB at runtime.
+    """
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+        "spark.sql.shuffle.partitions": str(4 * cores),
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * 1024 * 1024),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+        "spark.sql.session.timeZone": "UTC",
+    }
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
