@@ -401,3 +401,44 @@ def q_account_profiles(spark, sf):
     return p.select("account_id", "balance", "metrics_transaction_count_30d", "metrics_is_active",
                     F.size("recent_transactions").cast("long").alias("n_recent"),
                     F.array_join(F.col("recent_transactions.id"), ",").alias("recent_ids"))
+
+
+# ---------------------------------------------------------------------------
+# Pure-DataFrame forms of the write-path operators
+# ---------------------------------------------------------------------------
+
+from ledgerlake.sources import sinks as _SNK  # noqa: E402
+
+
+@query("progress_marks", cte("ledgers_orders", "processed_orders") + """
+SELECT sequence, successful_transaction_count + failed_transaction_count AS tx_count,
+       operation_count AS op_count
+FROM ledgers_orders l WHERE NOT EXISTS (SELECT 1 FROM processed_orders p WHERE p.sequence = l.sequence)""")
+def q_progress_marks(spark, sf):
+    """Progress rows for ledgers not yet in the progress log."""
+    t = _t(spark, sf)
+    return T.idempotent_marks(t.ledgers_orders, t.processed_orders).drop("processed_at")
+
+
+@query("insert_ignore_ledgers", cte("ledgers_orders") + """
+SELECT * FROM ledgers_orders
+WHERE sequence NOT IN (SELECT sequence FROM ledgers_orders WHERE closed_at < TIMESTAMP '1997-01-01 00:00:00')""")
+def q_insert_ignore_ledgers(spark, sf):
+    """Rows of a full ledger batch that a table holding the ledgers
+    before 1997 would append (one per key, none already stored)."""
+    led = _t(spark, sf).ledgers_orders
+    stored = led.where(F.col("closed_at") < F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))
+    return _SNK.insert_ignore(stored, led, "sequence")
+
+
+@query("upsert_transactions", cte("tx_orders") + """
+SELECT * FROM tx_orders""")
+def q_upsert_transactions(spark, sf):
+    """Transactions before 1999 upserted with the batch of transactions
+    from 1998 on (overlapping 1998 keys update ``successful``; new keys are
+    inserted): the result is the whole table."""
+    tx = _t(spark, sf).tx_orders
+    cut = F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")
+    target = tx.where(F.col("created_at") < cut)
+    batch = tx.where(F.col("created_at") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+    return _SNK.merge_upsert(target, batch, "hash", ["successful"])
