@@ -321,6 +321,8 @@ def duck_cte(*names: str) -> str:
 class TestTables:
     """Driver tables of one scale-factor folder, exposed as ledger views."""
 
+    __test__ = False  # not a pytest test class
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
