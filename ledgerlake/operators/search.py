@@ -119,3 +119,10 @@ def merge_live(page: DataFrame, new_rows: DataFrame, key: str, ts: str) -> DataF
     # the merged list is one page plus one poll (bounded by the page size)
     w = Window.orderBy(F.col("_g"), F.col(ts).desc(), F.col(key).desc())
     return merged.withColumn("live_rank", F.row_number().over(w)).drop("_g")
+
+
+def merge_live_connection(page: DataFrame, page_info: DataFrame, new_rows: DataFrame,
+                          new_info: DataFrame, key: str, ts: str):
+    """U4 for a whole connection: rows merged as in :func:`merge_live`, and
+    the page info taken from the newer side. Returns ``(rows, info)``."""
+    return merge_live(page, new_rows, key, ts), new_info

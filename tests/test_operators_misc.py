@@ -106,3 +106,13 @@ def test_counts_by_range(spark):
                                 (T0 - dt.timedelta(days=3),)], "created_at timestamp_ntz")
     got = {r["range_label"]: r["count"] for r in A.counts_by_range(df, "created_at", as_of=T0).collect()}
     assert got["1h"] == 1 and got["6h"] == 2 and got["24h"] == 2 and got["7d"] == 3
+
+
+def test_merge_live_connection(spark):
+    page = spark.createDataFrame([("b", T0), ("a", T0 - dt.timedelta(seconds=1))], "id string, ts timestamp_ntz")
+    new = spark.createDataFrame([("c", T0 + dt.timedelta(seconds=1)), ("b", T0)], "id string, ts timestamp_ntz")
+    old_info = spark.createDataFrame([(False,)], "has_next_page boolean")
+    new_info = spark.createDataFrame([(True,)], "has_next_page boolean")
+    rows, info = U.merge_live_connection(page, old_info, new, new_info, "id", "ts")
+    assert [r["id"] for r in rows.orderBy("live_rank").collect()] == ["c", "b", "a"]
+    assert info.first()["has_next_page"] is True
