@@ -78,8 +78,9 @@ def network_metrics(led: DataFrame, tx: DataFrame, op: DataFrame, window_seconds
     4. a distributed prefix sum: range-partition by (time, kind) — sampled
        bounds split any dense stretch of time across tasks — running sums
        inside each partition, partition totals prefix-summed over the few
-       partitions, offset added back. The probe rows (2 per ledger) are
-       checkpointed so offsets and running sums come from one execution;
+       partitions (the last row of each partition holds its totals), offset
+       added back. The probe rows (2 per ledger) and one row per partition
+       are checkpointed so offsets and running sums come from one execution;
     5. per ledger: Σ sign·prefix gives counts and sums over the window; the
        distinct count is the island prefix at ``t``.
     """
@@ -109,22 +110,22 @@ def network_metrics(led: DataFrame, tx: DataFrame, op: DataFrame, window_seconds
     marks = deltas.unionByName(probes)
 
     ranged = marks.repartitionByRange(n, "t", "kind").withColumn("pid", F.spark_partition_id())
-    w_run = Window.partitionBy("pid").orderBy("t", "kind").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    w_all = Window.partitionBy("pid")
+    w_ord = Window.partitionBy("pid").orderBy("t", "kind")
+    w_run = w_ord.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the last row of a partition carries the partition totals in its
+    # running sums; a one-row lookahead finds it (no unbounded frame)
     swept = ranged.select(
         "pid", "kind", "seq", "sign", "close",
-        F.row_number().over(Window.partitionBy("pid").orderBy("t", "kind")).alias("rn"),
-        *[F.sum(m).over(w_run).alias(m) for m in _MEASURES],
-        *[F.sum(m).over(w_all).alias(f"tot_{m}") for m in _MEASURES])
-    kept = swept.where((F.col("kind") == 1) | (F.col("rn") == 1))
+        F.lead("t").over(w_ord).isNull().alias("last"),
+        *[F.sum(m).over(w_run).alias(m) for m in _MEASURES])
+    kept = swept.where((F.col("kind") == 1) | F.col("last"))
     ensure_checkpoint_dir(spark)
     kept = kept.checkpoint(eager=True)
 
     w_prev = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     # ≤ `partitions` rows: the offsets table is bounded by configuration.
-    offsets = kept.where(F.col("rn") == 1).select(
-        "pid", *[F.coalesce(F.sum(f"tot_{m}").over(w_prev),
+    offsets = kept.where(F.col("last")).select(
+        "pid", *[F.coalesce(F.sum(m).over(w_prev),
                             F.lit(0).cast("decimal(38,7)" if m == "c_vol" else "long")).alias(f"off_{m}")
                  for m in _MEASURES])
     at = kept.where(F.col("kind") == 1).join(F.broadcast(offsets), "pid")
