@@ -227,6 +227,26 @@ def multi_horizon(df: DataFrame, key: str, ts: str, value: str, as_of=None) -> D
         amount_text(F.coalesce(F.col(f"s_{label}"), F.lit(0))).alias(f"sum_{label}"))])
 
 
+def rolling_daily(df: DataFrame, key: str, ts: str, value: str,
+                  spans: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
+    """Snapshot history (W7 over time): for every key and every UTC day on
+    which it had rows, the count and Σ value over the trailing 1/7/30 days
+    ending that day. Rows are first reduced to one per (key, day) — a hot
+    key collapses map-side — then trailing sums are range windows over the
+    day number, partitioned by key (rows per key = active days, bounded by
+    the time span)."""
+    from ledgerlake.operators.common import micros as _us
+    day = F.floor(_us(ts) / F.lit(86_400_000_000)).cast("long")
+    daily = df.groupBy(F.col(key), day.alias("day_num")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col(value).cast(S.AMOUNT_SUM_INPUT)).alias("v"))
+    out = [F.col(key), F.date_from_unix_date(F.col("day_num").cast("int")).cast("string").alias("day")]
+    for d in spans:
+        w = Window.partitionBy(key).orderBy("day_num").rangeBetween(-(d - 1), 0)
+        out.append(F.sum("n").over(w).alias(f"trades_{d}d"))
+        out.append(amount_text(F.sum("v").over(w)).alias(f"volume_{d}d"))
+    return daily.select(*out)
+
+
 # W8 -------------------------------------------------------------------------
 def percentage_change_col(old: Column, new: Column) -> Column:
     """``(new − old) / old · 100``; when old is 0: 100 if new > 0 else 0."""

@@ -442,3 +442,23 @@ def q_upsert_transactions(spark, sf):
     target = tx.where(F.col("created_at") < cut)
     batch = tx.where(F.col("created_at") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
     return _SNK.merge_upsert(target, batch, "hash", ["successful"])
+
+
+@query("asset_metrics_history", cte("op_lineitem") + f"""
+, pay AS (SELECT asset_id, TRY_CAST(json_extract_string(details, '$.amount') AS DECIMAL(28,7)) AS amount, epoch_us(created_at) // 86400000000 AS day_num
+          FROM op_lineitem WHERE type IN ({', '.join(repr(t) for t in S.PAYMENT_OPERATIONS)}))
+, d AS (SELECT asset_id, day_num, count(*) AS n, sum(amount) AS v FROM pay GROUP BY 1, 2)
+SELECT asset_id, CAST(DATE '1970-01-01' + CAST(day_num AS INTEGER) AS VARCHAR) AS day,
+       CAST(sum(n) OVER (PARTITION BY asset_id ORDER BY day_num RANGE BETWEEN 0 PRECEDING AND CURRENT ROW) AS BIGINT) AS trades_1d,
+       {amt_txt("sum(v) OVER (PARTITION BY asset_id ORDER BY day_num RANGE BETWEEN 0 PRECEDING AND CURRENT ROW)")} AS volume_1d,
+       CAST(sum(n) OVER (PARTITION BY asset_id ORDER BY day_num RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS trades_7d,
+       {amt_txt("sum(v) OVER (PARTITION BY asset_id ORDER BY day_num RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)")} AS volume_7d,
+       CAST(sum(n) OVER (PARTITION BY asset_id ORDER BY day_num RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS trades_30d,
+       {amt_txt("sum(v) OVER (PARTITION BY asset_id ORDER BY day_num RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)")} AS volume_30d
+FROM d""")
+def q_asset_metrics_history(spark, sf):
+    """A18 over time: per asset and active day, trades and volume over the
+    trailing 1/7/30 days (daily snapshot history)."""
+    from ledgerlake.operators import windows as _W
+    from ledgerlake.plans.queries_more import _lineitem_payments
+    return _W.rolling_daily(_lineitem_payments(_t(spark, sf)), "asset_id", "created_at", "amount")
