@@ -462,3 +462,22 @@ def q_asset_metrics_history(spark, sf):
     from ledgerlake.operators import windows as _W
     from ledgerlake.plans.queries_more import _lineitem_payments
     return _W.rolling_daily(_lineitem_payments(_t(spark, sf)), "asset_id", "created_at", "amount")
+
+
+@query("account_activity_history", cte("tx_orders") + f"""
+, d AS (SELECT source_account, epoch_us(created_at) // 86400000000 AS day_num, count(*) AS n,
+               sum(CAST(fee_charged AS DECIMAL(28,7))) AS v
+        FROM tx_orders GROUP BY 1, 2)
+SELECT source_account, CAST(DATE '1970-01-01' + CAST(day_num AS INTEGER) AS VARCHAR) AS day,
+       CAST(sum(n) OVER (PARTITION BY source_account ORDER BY day_num RANGE BETWEEN 0 PRECEDING AND CURRENT ROW) AS BIGINT) AS trades_1d,
+       {amt_txt("sum(v) OVER (PARTITION BY source_account ORDER BY day_num RANGE BETWEEN 0 PRECEDING AND CURRENT ROW)")} AS volume_1d,
+       CAST(sum(n) OVER (PARTITION BY source_account ORDER BY day_num RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS trades_7d,
+       {amt_txt("sum(v) OVER (PARTITION BY source_account ORDER BY day_num RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)")} AS volume_7d,
+       CAST(sum(n) OVER (PARTITION BY source_account ORDER BY day_num RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS trades_30d,
+       {amt_txt("sum(v) OVER (PARTITION BY source_account ORDER BY day_num RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)")} AS volume_30d
+FROM d""")
+def q_account_activity_history(spark, sf):
+    """A19 over time: per account and active day, transactions and fees
+    over the trailing 1/7/30 days (daily snapshot history)."""
+    from ledgerlake.operators import windows as _W
+    return _W.rolling_daily(_t(spark, sf).tx_orders, "source_account", "created_at", "fee_charged")
