@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 from ledgerlake import schemas as S
 from ledgerlake.functions import scalar as E
+from ledgerlake.operators import aggregates as _A
 from ledgerlake.operators import joins as J
+from ledgerlake.operators import paging as _L
 from ledgerlake.operators import project as P
-from ledgerlake.plans.catalog import NETWORK_METRICS_SQL, _t, amt_txt, cte, query
+from ledgerlake.operators import search as _U
+from ledgerlake.plans.catalog import NETWORK_METRICS_SQL, PAYMENTS_SQL, _t, amt_txt, cte, query
+from ledgerlake.sources import sinks as _SNK
 from ledgerlake.plans.queries_more import (ACCOUNT_METRICS_SQL, ASSET_METRICS_SQL, _account_metrics,
                                            _asset_metrics, _bounds)
 from ledgerlake.sources import raw as SRC
@@ -323,10 +327,6 @@ def q_retry_backoff(spark, sf):
 # More forms of A9, U2, L6 and E12
 # ---------------------------------------------------------------------------
 
-from ledgerlake.operators import aggregates as _A  # noqa: E402
-from ledgerlake.operators import paging as _L  # noqa: E402
-from ledgerlake.operators import search as _U  # noqa: E402
-from ledgerlake.plans.catalog import PAYMENTS_SQL  # noqa: E402
 
 
 @query("asset_volume_xlm", cte("raw_ops_events", extra={"payments": PAYMENTS_SQL}) + f"""
@@ -407,7 +407,6 @@ def q_account_profiles(spark, sf):
 # Pure-DataFrame forms of the write-path operators
 # ---------------------------------------------------------------------------
 
-from ledgerlake.sources import sinks as _SNK  # noqa: E402
 
 
 @query("progress_marks", cte("ledgers_orders", "processed_orders") + """
