@@ -113,10 +113,13 @@ def archive_union(live: DataFrame, archive: DataFrame, key: str | list[str]) ->
 # U4 -------------------------------------------------------------------------
 def merge_live(page: DataFrame, new_rows: DataFrame, key: str, ts: str) -> DataFrame:
     """New rows not already on the page go in front (newest first); on a
-    duplicate key the existing row wins. ``live_rank`` gives the order."""
+    duplicate key the existing row wins. ``live_rank`` gives the order.
+
+    Contract: ``page`` is one page (≤ 100 rows) and ``new_rows`` one poll
+    (≤ 20 rows); the rank is numbered over that merged list in a single
+    partition, which is only appropriate for inputs of that size."""
     fresh = new_rows.join(page.select(key), key, "left_anti").withColumn("_g", F.lit(0))
     merged = fresh.unionByName(page.withColumn("_g", F.lit(1)), allowMissingColumns=True)
-    # the merged list is one page plus one poll (bounded by the page size)
     w = Window.orderBy(F.col("_g"), F.col(ts).desc(), F.col(key).desc())
     return merged.withColumn("live_rank", F.row_number().over(w)).drop("_g")
 
