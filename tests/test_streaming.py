@@ -209,3 +209,22 @@ def test_rate_cap_state_carries_across_batches(spark, tmp):
     # b0 falls in the window opened by a0 in the previous micro-batch: 4th event → limited;
     # b1 opens a new window
     assert flags == {"a0": False, "a1": False, "a2": False, "b0": True, "b1": False}
+
+
+def test_network_metrics_stream_rerun_does_not_duplicate(spark, tmp):
+    t0 = dt.datetime(2024, 1, 1)
+    tx = spark.createDataFrame([(str(i), t0 + dt.timedelta(minutes=7 * i), f"a{i % 3}", True, 5)
+                                for i in range(30)],
+                               "id string, created_at timestamp_ntz, source_account string, successful boolean, fee_charged long")
+    op = tx.select("id", "created_at", F.lit("payment").alias("type"), F.lit('{"amount":"1"}').alias("details"))
+    tx_path, op_path, led_path, out = (os.path.join(tmp, x) for x in ("tx2", "op2", "led2", "nm2"))
+    tx.write.parquet(tx_path)
+    op.write.parquet(op_path)
+    led = spark.createDataFrame([(i, t0 + dt.timedelta(minutes=40 * i)) for i in range(1, 6)],
+                                "sequence long, closed_at timestamp_ntz")
+    led.write.parquet(led_path)
+    for ck in ("ck_a", "ck_b"):       # a fresh checkpoint replays every ledger
+        stream = spark.readStream.schema(led.schema).parquet(led_path)
+        T.network_metrics_stream(spark, stream, tx_path, op_path, out,
+                                 os.path.join(tmp, ck)).awaitTermination()
+    assert spark.read.parquet(out).count() == 5
