@@ -53,7 +53,7 @@ OPERATORS = {
     # window semantics
     "W1": W.network_metrics, "W2": W.latest_row_per_key, "W3": W.ledger_close_times,
     "W4": W.trend, "W5": W.scale_to_max, "W6": W.recent_distinct, "W7": W.multi_horizon,
-    "W8": W.percentage_change,
+    "W8": W.percentage_change, "W7.daily": W.rolling_daily,
     # sorting and paging
     "L1": L.recent, "L2": L.page_after, "L3": L.page_before, "L4": L.page_info, "L6": L.sort_by,
     "L7": L.top_assets, "L8": L.latest_ledger, "L9": L.network_metrics_range,
