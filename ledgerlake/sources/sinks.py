@@ -183,7 +183,7 @@ def insert_ignore_table(spark: SparkSession, path: str, batch: DataFrame, key,
 
 
 def write_fact_table(df: DataFrame, path: str, ts: str, mode: str = "append",
-                     sort_within: str | None = None) -> None:
+                     sort_within: str | None = None, extra_partition: str | None = None) -> None:
     """Curated fact layout: partitioned by ``day = date(ts)`` (UTC), rows
     sorted inside each file by ``sort_within`` (e.g. source account) so
     Parquet row-group statistics skip most groups for point predicates.
@@ -191,13 +191,16 @@ def write_fact_table(df: DataFrame, path: str, ts: str, mode: str = "append",
 
     Rows are range-partitioned on (day, sort key): sampled bounds split a
     day holding a large share of the rows across many writer tasks instead
-    of one. Without a sort key a rebalance hint lets AQE split hot days."""
+    of one. Without a sort key a rebalance hint lets AQE split hot days.
+    ``extra_partition`` adds a second level (operations by ``type``: the
+    payment-only subset then reads only its own folders)."""
     out = df.withColumn("day", F.col(ts).cast("date"))
+    parts = ["day"] + ([extra_partition] if extra_partition else [])
     if sort_within:
-        out = out.repartitionByRange("day", sort_within).sortWithinPartitions("day", sort_within, ts)
+        out = out.repartitionByRange(*parts, sort_within).sortWithinPartitions(*parts, sort_within, ts)
     else:
-        out = out.hint("rebalance", "day")
-    w = out.write.mode(mode).partitionBy("day")
+        out = out.hint("rebalance", *parts)
+    w = out.write.mode(mode).partitionBy(*parts)
     if mode == "overwrite":
         w = w.option("partitionOverwriteMode", "dynamic")
     w.parquet(path)

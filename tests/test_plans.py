@@ -94,3 +94,18 @@ def test_bucketed_tables_join_without_exchange(spark):
         assert nested.count() == t.tx_orders.count()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_operations_partitioned_by_type_prune(spark, tmp):
+    import os
+    from ledgerlake.operators.filters import payments_only
+    from ledgerlake.sources.sinks import write_fact_table
+    t = TestTables(spark, SF_SMALL)
+    path = os.path.join(tmp, "ops")
+    write_fact_table(t.op_lineitem, path, "created_at", sort_within="source_account",
+                     extra_partition="type")
+    stored = spark.read.parquet(path)
+    sel = payments_only(stored)
+    p = plan(sel)
+    assert "PartitionFilters: [isnotnull(type" in p and "(type#" in p
+    assert sel.count() == payments_only(t.op_lineitem).count()
