@@ -168,10 +168,23 @@ def incremental_poll(df: DataFrame, hwm, n: int, order: str = "sequence") -> Dat
 
 
 def poll_stream(spark: SparkSession, path: str, schema, files_per_poll: int = 1,
-                fmt: str = "parquet") -> DataFrame:
-    """Streaming form: each trigger takes at most ``files_per_poll`` new files."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_poll)
-            .format(fmt).load(path))
+                fmt: str = "parquet", order: str | None = None, after=None) -> DataFrame:
+    """Streaming form: each trigger takes at most ``files_per_poll`` new
+    files. With ``order``/``after`` (e.g. the high-water mark from
+    :func:`seed_high_water`) rows at or below the mark are never emitted.
+    File streams cannot start "from now", so history files are still read
+    once; a landing folder that only receives new files avoids that."""
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_poll)
+              .format(fmt).load(path))
+    if order is not None and after is not None:
+        stream = stream.where(F.col(order) > F.lit(after))
+    return stream
+
+
+def seed_high_water(df: DataFrame, order: str = "sequence"):
+    """Current maximum of ``order`` (one value) to seed a live poll, so the
+    history is not replayed to subscribers."""
+    return df.agg(F.max(order)).first()[0]
 
 
 # T5 / T6 --------------------------------------------------------------------

@@ -228,3 +228,17 @@ def test_network_metrics_stream_rerun_does_not_duplicate(spark, tmp):
         T.network_metrics_stream(spark, stream, tx_path, op_path, out,
                                  os.path.join(tmp, ck)).awaitTermination()
     assert spark.read.parquet(out).count() == 5
+
+
+def test_seeded_poll_skips_history(spark, tmp):
+    src = os.path.join(tmp, "seed")
+    hist = spark.createDataFrame([(i,) for i in range(1, 21)], "sequence long")
+    hist.repartition(2).write.parquet(src)
+    hwm = T.seed_high_water(spark.read.parquet(src))
+    spark.createDataFrame([(21,), (22,)], "sequence long").write.mode("append").parquet(src)
+    seen = []
+    q = (T.poll_stream(spark, src, hist.schema, files_per_poll=1, order="sequence", after=hwm)
+         .writeStream.foreachBatch(lambda b, i: seen.extend(r[0] for r in b.collect()))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert hwm == 20 and sorted(seen) == [21, 22]
