@@ -115,7 +115,7 @@ def retention_split(df: DataFrame, ts: str, days: int, as_of=None):
 
 
 def apply_retention(spark: SparkSession, table_path: str, archive_path: str, ts: str, days: int,
-                    key, as_of=None) -> dict:
+                    key, as_of=None, partition_col: str | None = None) -> dict:
     """Archive, verify, then drop expired rows of a stored table.
 
     1. rows with ``ts < as_of − days`` are appended to the archive, keyed
@@ -126,11 +126,16 @@ def apply_retention(spark: SparkSession, table_path: str, archive_path: str, ts:
        live table (never read and overwritten in one plan).
 
     Every row is archived (no cap), and the live table loses only rows that
-    the archive verifiably holds. Returns the counts."""
+    the archive verifiably holds. For a table partitioned by day
+    (``partition_col``), whole expired days are dropped as folders and only
+    the boundary day is rewritten (dynamic partition overwrite), so the
+    layout is kept and untouched days are never rewritten. Returns the
+    counts."""
     import uuid
     from ledgerlake.sources import sinks
     live = spark.read.parquet(table_path)
-    kept, expired = retention_split(live, ts, days, as_of)
+    t = as_of_column(live, ts, as_of)
+    kept, expired = retention_split(live, ts, days, t)
     keys = [key] if isinstance(key, str) else list(key)
     appended = sinks.insert_ignore_table(spark, archive_path, expired, keys)
     archive = spark.read.parquet(archive_path)
@@ -139,13 +144,38 @@ def apply_retention(spark: SparkSession, table_path: str, archive_path: str, ts:
         raise RuntimeError(f"{missing} expired rows are not in the archive; live table left untouched")
     expired_n = expired.count()
     staging = f"{table_path.rstrip('/')}_staging/{uuid.uuid4().hex}"
-    kept.write.mode("overwrite").parquet(staging)
-    staged = spark.read.parquet(staging)
-    kept_n = staged.count()
-    staged.write.mode("overwrite").parquet(table_path)
+    if partition_col is None:
+        kept.write.mode("overwrite").parquet(staging)
+        staged = spark.read.parquet(staging)
+        kept_n = staged.count()
+        staged.write.mode("overwrite").parquet(table_path)
+        return {"archived": appended, "expired": expired_n, "kept": kept_n}
+    # partitioned: days holding expired rows are either wholly expired
+    # (dropped) or the boundary day (rewritten with its kept rows)
+    touched = expired.select(partition_col).distinct()
+    boundary = kept.join(touched, partition_col, "left_semi")
+    drop_days = [r[0] for r in touched.join(boundary.select(partition_col).distinct(),
+                                            partition_col, "left_anti").collect()]
+    if boundary.take(1):
+        boundary.write.mode("overwrite").partitionBy(partition_col).parquet(staging)
+        (spark.read.parquet(staging).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(table_path))
+    _drop_partitions(spark, table_path, partition_col, drop_days)
+    kept_n = spark.read.parquet(table_path).count()
     return {"archived": appended, "expired": expired_n, "kept": kept_n}
 
 
+def _drop_partitions(spark: SparkSession, table_path: str, col: str, values) -> None:
+    """Delete whole partition folders (``col=value``) of a table. Only used
+    after their rows are verified in the archive. The list holds one entry
+    per expired day, bounded by the time span."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for v in values:
+        p = jvm.org.apache.hadoop.fs.Path(f"{table_path.rstrip('/')}/{col}={v}")
+        p.getFileSystem(conf).delete(p, True)
+
+
 def retention_policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(S.RETENTION_DAYS.items()), "table_name string, retention_days int")
 

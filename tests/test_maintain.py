@@ -125,3 +125,34 @@ def test_progress_log_lookup_fixtures(spark):
     assert [r[0] for r in unprocessed(cands, processed(spark, [])).orderBy("sequence").collect()] == [1000, 9999]
     batch = spark.createDataFrame([(500,), (42,)], "sequence long")
     assert [r[0] for r in unprocessed(batch, processed(spark, [500])).collect()] == [42]
+
+
+def test_apply_retention_keeps_day_partitions(spark, tmp):
+    import os
+    from ledgerlake.sources.sinks import write_fact_table
+    base = dt.datetime(2024, 6, 1, 12, 0)
+    rows = [(i, base - dt.timedelta(days=d, hours=h)) for i, (d, h) in
+            enumerate([(0, 0), (1, 0), (2, 0), (2, 13), (3, 0), (5, 0), (6, 0)])]
+    table, archive = os.path.join(tmp, "tx_days"), os.path.join(tmp, "tx_archive")
+    write_fact_table(spark.createDataFrame(rows, "id long, created_at timestamp_ntz"), table, "created_at")
+    out = M.apply_retention(spark, table, archive, "created_at", 2, "id", base, partition_col="day")
+    live = spark.read.parquet(table)
+    # cutoff = 2024-05-30 12:00 (id 2 sits exactly on it and is kept); ids 3-6 expire
+    assert sorted(r["id"] for r in live.collect()) == [0, 1, 2]
+    assert out == {"archived": 4, "expired": 4, "kept": 3}
+    assert "day" in live.columns and spark.read.parquet(archive).count() == 4
+    days = sorted(d for d in os.listdir(table) if d.startswith("day="))
+    assert days == ["day=2024-05-30", "day=2024-05-31", "day=2024-06-01"]
+
+
+def test_apply_retention_rewrites_boundary_day(spark, tmp):
+    import os
+    from ledgerlake.sources.sinks import write_fact_table
+    base = dt.datetime(2024, 6, 1, 12, 0)
+    rows = [(1, base), (2, base - dt.timedelta(days=2, hours=1)), (3, base - dt.timedelta(days=2) + dt.timedelta(hours=1)),
+            (4, base - dt.timedelta(days=9))]
+    table, archive = os.path.join(tmp, "b_days"), os.path.join(tmp, "b_archive")
+    write_fact_table(spark.createDataFrame(rows, "id long, created_at timestamp_ntz"), table, "created_at")
+    out = M.apply_retention(spark, table, archive, "created_at", 2, "id", base, partition_col="day")
+    assert sorted(r["id"] for r in spark.read.parquet(table).collect()) == [1, 3]
+    assert out == {"archived": 2, "expired": 2, "kept": 2}
