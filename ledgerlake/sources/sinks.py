@@ -112,8 +112,8 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     return spark.read.parquet(path)
 
 
-def write_merged(spark: SparkSession, path: str, target: DataFrame | None, merged: DataFrame,
-                 partition_by: list[str] | None = None, touched: DataFrame | None = None) -> None:
+def write_merged(spark: SparkSession, path: str, merged: DataFrame,
+                 partition_by: list[str] | None = None) -> None:
     """Replace the table's touched partitions by ``merged``.
 
     ``merged`` (already restricted to the touched partitions) is first
@@ -133,7 +133,9 @@ def write_merged(spark: SparkSession, path: str, target: DataFrame | None, merge
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, update_cols: list[str],
                  partition_by: list[str] | None = None, ts=None, order: str | None = None) -> None:
-    """S4 end to end: merge the batch into the touched partitions only."""
+    """S4 end to end: merge the batch into the touched partitions only.
+    Assumes a key's partition value never changes (true for event-time day
+    partitions: a record keeps its time)."""
     target = read_table(spark, path)
     if target is None:
         first = dedupe_batch(batch, key, order)
@@ -147,7 +149,7 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, update_c
         parts = batch.select(*partition_by).distinct()
         scope = target.join(parts, partition_by, "left_semi")
     merged = merge_upsert(scope, batch.select(*[c for c in batch.columns]), key, update_cols, ts, order)
-    write_merged(spark, path, target, merged, partition_by)
+    write_merged(spark, path, merged, partition_by)
 
 
 def key_range_cut(target: DataFrame, batch: DataFrame, key) -> DataFrame:
