@@ -72,3 +72,23 @@ def test_upsert_entity_ledger_counts_only(spark, tmp):
     r = spark.read.parquet(path).first()
     assert (r["hash"], r["successful_transaction_count"], r["failed_transaction_count"],
             r["operation_count"]) == ("h", 3, 1, 5)
+
+
+def test_hot_day_is_split_across_writer_tasks(spark, tmp):
+    from ledgerlake.sources.sinks import write_fact_table
+    day = dt.datetime(2024, 1, 1)
+    rows = [(str(i), day + dt.timedelta(seconds=i % 86000), f"acct{i % 997}") for i in range(20000)]
+    rows += [("x", dt.datetime(2024, 1, 2), "acct1")]
+    df = spark.createDataFrame(rows, "id string, created_at timestamp_ntz, source_account string")
+    path = os.path.join(tmp, "hot")
+    # AQE would coalesce this small input into one task (size-driven); turn
+    # coalescing off to observe the range split itself
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_fact_table(df, path, "created_at", sort_within="source_account")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    files = [f for f in os.listdir(os.path.join(path, "day=2024-01-01")) if f.endswith(".parquet")]
+    assert len(files) > 1                      # one hot day, several writer tasks
+    assert spark.read.parquet(path).count() == len(rows)
