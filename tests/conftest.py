@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -22,8 +21,3 @@ def spark():
 @pytest.fixture()
 def tmp(tmp_path_factory):
     return str(tmp_path_factory.mktemp("ll"))
-
-
-def ts(text):
-    import datetime as dt
-    return dt.datetime.fromisoformat(text)
