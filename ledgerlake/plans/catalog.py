@@ -288,12 +288,15 @@ def q_network_metrics(spark, sf):
 
 @query("ledger_close_times", cte("ledgers_events") + """
 SELECT sequence, closed_at, lag(closed_at) OVER (ORDER BY sequence) AS prev_closed_at,
-       epoch_us(closed_at) - epoch_us(lag(closed_at) OVER (ORDER BY sequence)) AS gap_micros,
+       CAST(epoch_us(closed_at) - epoch_us(lag(closed_at) OVER (ORDER BY sequence)) AS DOUBLE) AS gap_micros,
        CAST(epoch_us(closed_at) - epoch_us(lag(closed_at) OVER (ORDER BY sequence)) AS DOUBLE) / 1000000.0 AS gap_seconds
 FROM ledgers_events""")
 def q_ledger_close_times(spark, sf):
-    """Gap to the previous ledger (bucketed lag with carry-over)."""
-    return W.ledger_close_times(_t(spark, sf).ledgers_events)
+    """Gap to the previous ledger (bucketed lag with carry-over).
+    Nullable integer columns of registered outputs are emitted as doubles
+    (exact below 2^53) so both engines' pandas conversions agree."""
+    out = W.ledger_close_times(_t(spark, sf).ledgers_events)
+    return out.withColumn("gap_micros", F.col("gap_micros").cast("double"))
 
 
 # ---------------------------------------------------------------------------
@@ -301,7 +304,7 @@ def q_ledger_close_times(spark, sf):
 # ---------------------------------------------------------------------------
 
 @query("latest_transaction_per_account", cte("accounts", "tx_events") + """
-SELECT a.*, t.created_at AS latest_created_at, t.id AS latest_id, t.fee_charged AS latest_fee_charged
+SELECT a.*, t.created_at AS latest_created_at, t.id AS latest_id, CAST(t.fee_charged AS DOUBLE) AS latest_fee_charged
 FROM accounts a LEFT JOIN LATERAL (
   SELECT created_at, id, fee_charged FROM tx_events x WHERE x.source_account = a.account_id
   ORDER BY created_at DESC LIMIT 1) t ON true""")
@@ -309,8 +312,9 @@ def q_latest_transaction_per_account(spark, sf):
     """Every account with its newest transaction (nulls when none)."""
     t = _t(spark, sf)
     hist = t.tx_events.select("source_account", "created_at", "id", "fee_charged")
-    return J.latest_per_entity(t.accounts, hist, "source_account", "created_at",
-                               entity_key="account_id", prefix="latest_")
+    out = J.latest_per_entity(t.accounts, hist, "source_account", "created_at",
+                              entity_key="account_id", prefix="latest_")
+    return out.withColumn("latest_fee_charged", F.col("latest_fee_charged").cast("double"))
 
 
 @query("transactions_with_operations", cte("tx_orders", "op_lineitem") + """

@@ -24,13 +24,21 @@ LOOKUP_KEYS = ["5", "999999999", "5", "17", "100"]
 
 
 @query("aligned_lookup", cte("tx_orders") + """
-SELECT CAST(k.pos AS BIGINT) AS pos, k.hash, t.* EXCLUDE (hash)
+SELECT CAST(k.pos AS BIGINT) AS pos, k.hash,
+       t.* EXCLUDE (hash, ledger_sequence, fee_charged, successful),
+       CAST(t.ledger_sequence AS DOUBLE) AS ledger_sequence, CAST(t.fee_charged AS DOUBLE) AS fee_charged,
+       CAST(t.successful AS VARCHAR) AS successful
 FROM (VALUES (0, '5'), (1, '999999999'), (2, '5'), (3, '17'), (4, '100')) k(pos, hash)
 LEFT JOIN tx_orders t ON t.hash = k.hash""")
 def q_aligned_lookup(spark, sf):
     """One row per requested hash, in request order, nulls when absent."""
     out = J.aligned_lookup(LOOKUP_KEYS, _t(spark, sf).tx_orders, "hash")
-    return out.withColumn("pos", F.col("pos").cast("long"))
+    # absent keys give nulls: nullable integers are emitted as doubles and
+    # the nullable flag as text, so both engines' pandas conversions agree
+    return out.withColumns({"pos": F.col("pos").cast("long"),
+                            "ledger_sequence": F.col("ledger_sequence").cast("double"),
+                            "fee_charged": F.col("fee_charged").cast("double"),
+                            "successful": F.col("successful").cast("string")})
 
 
 @query("cascade_removed_operations", cte("ledgers_orders", "tx_orders", "op_lineitem") + """

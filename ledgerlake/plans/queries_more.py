@@ -837,11 +837,12 @@ def q_backfill_status(spark, sf):
 SELECT count(*) AS total, CAST(count_if(status = 'processed') AS BIGINT) AS processed,
        CAST(count_if(status = 'skipped') AS BIGINT) AS skipped, CAST(count_if(status = 'failed') AS BIGINT) AS failed,
        CAST(COALESCE({ratio_sql("count_if(status IN ('processed', 'skipped', 'failed'))", "count(*)", 0, pct=True)}, 0.0) AS BIGINT) AS percent,
-       CAST(NULL AS BIGINT) AS eta_seconds, true AS done
+       CAST(NULL AS DOUBLE) AS eta_seconds, true AS done
 FROM status""")
 def q_backfill_progress(spark, sf):
     """M4: totals and percent done of the backfill status."""
-    return M.backfill_progress(_status(_t(spark, sf)))
+    out = M.backfill_progress(_status(_t(spark, sf)))
+    return out.withColumn("eta_seconds", F.col("eta_seconds").cast("double"))  # nullable → double
 
 
 @query("backfill_result", STATUS_SQL + """

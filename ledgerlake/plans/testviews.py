@@ -192,7 +192,7 @@ def _views(d: Dialect) -> dict[str, str]:
            CAST({day_l} AS BIGINT) AS ledger_sequence,
            l_linenumber AS operation_index,
            l_partkey AS asset_id,
-           CAST(l_quantity AS DECIMAL(18,2)) AS quantity,
+           CAST(l_quantity AS DOUBLE) AS quantity,
            concat('{{"amount":"', {d.dec_text("l_extendedprice", 18, 2)}, '"}}') AS details
     FROM {{lineitem}}"""
     v["ledgers_orders"] = f"""
