@@ -83,3 +83,19 @@ def test_archive_union_is_original(spark, ages, days):
     kept, expired = M.retention_split(df, "created_at", days, as_of=now)
     assert kept.count() + expired.count() == len(ages)
     assert sorted(map(tuple, U.archive_union(kept, expired, "id").collect())) == sorted(map(tuple, df.collect()))
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 40),
+                               st.integers(0, 500)), min_size=1, max_size=40))
+def test_rolling_daily_equals_brute_force(spark, rows):
+    df = spark.createDataFrame(
+        [(k, T0 + dt.timedelta(days=d, hours=3), v) for k, d, v in rows],
+        "k string, ts timestamp_ntz, v long")
+    got = {(r["k"], r["day"]): (r["trades_7d"], r["volume_30d"]) for r in
+           W.rolling_daily(df, "k", "ts", "v").collect()}
+    for (k, day), (t7, v30) in got.items():
+        d = (dt.date.fromisoformat(day) - T0.date()).days
+        assert t7 == sum(1 for kk, dd, _ in rows if kk == k and d - 6 <= dd <= d)
+        assert v30 == f"{sum(vv for kk, dd, vv in rows if kk == k and d - 29 <= dd <= d)}.0000000"
+    assert set(got) == {(k, (T0.date() + dt.timedelta(days=d)).isoformat()) for k, d, _ in rows}
