@@ -81,3 +81,13 @@ def test_latest_row_per_key_entity_without_history(spark):
     hist = spark.createDataFrame([("a", T, 1), ("a", T + H, 2)], "account_id string, timestamp timestamp_ntz, v long")
     rows = {r["account_id"]: r["latest_v"] for r in latest_per_entity(ent, hist, "account_id", "timestamp").collect()}
     assert rows == {"a": 2, "b": None}
+
+
+def test_network_metrics_empty_inputs(spark):
+    led, tx, op = frames(spark, [], [T, T + H])
+    rows = W.network_metrics(led, tx, op, partitions=7).collect()
+    assert len(rows) == 2
+    assert all((r["transaction_count"], r["active_accounts"], r["total_volume"], r["success_rate"])
+               == (0, 0, "0.0000000", 0.0) for r in rows)
+    led0, tx0, op0 = frames(spark, [(T, "a", True, 1)], [])
+    assert W.network_metrics(led0, tx0, op0).count() == 0
