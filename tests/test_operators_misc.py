@@ -116,3 +116,15 @@ def test_merge_live_connection(spark):
     rows, info = U.merge_live_connection(page, old_info, new, new_info, "id", "ts")
     assert [r["id"] for r in rows.orderBy("live_rank").collect()] == ["c", "b", "a"]
     assert info.first()["has_next_page"] is True
+
+
+def test_stats_summary_on_empty_tables(spark):
+    led = spark.createDataFrame([], "sequence long, closed_at timestamp_ntz")
+    tx = spark.createDataFrame([], "source_account string, created_at timestamp_ntz, fee_charged long, successful boolean")
+    op = spark.createDataFrame([], "type string, created_at timestamp_ntz, details string")
+    acct = spark.createDataFrame([], "account_id string")
+    r = A.stats_summary(led, tx, op, acct, acct).collect()
+    assert len(r) == 1
+    r = r[0]
+    assert (r["total_ledgers"], r["total_transactions"], r["total_operations"]) == (0, 0, 0)
+    assert r["volume_24h"] == "0.0000000" and r["success_rate_24h"] == 0.0 and r["latest_ledger"] is None
