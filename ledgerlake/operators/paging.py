@@ -79,7 +79,7 @@ def page_info(page: DataFrame, order: str, n: int, id_col: str = "id", cursor_gi
         (F.col("fetched") > n).alias("has_next_page"),
         F.lit(bool(cursor_given)).alias("has_previous_page"),
         F.try_element_at(kept, F.lit(1)).alias("start_cursor"),
-        F.try_element_at(kept, F.size(kept)).alias("end_cursor"))
+        F.try_element_at(kept, F.lit(-1)).alias("end_cursor"))   # last; null when empty
 
 
 def trim_page(page: DataFrame, order: str, n: int, id_col: str = "id",

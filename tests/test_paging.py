@@ -33,3 +33,12 @@ def test_exact_boundary_has_next(spark):
     df = spark.createDataFrame([(str(i), i) for i in range(20)], "id string, seq long")
     assert not L.connection(df, "seq", first=20).page_info.first()["has_next_page"]
     assert L.connection(df, "seq", first=19).page_info.first()["has_next_page"]
+
+
+def test_connection_on_empty_table(spark):
+    df = spark.createDataFrame([], "id string, created_at timestamp_ntz")
+    conn = L.connection(df, "created_at", first=10)
+    info = conn.page_info.first()
+    assert conn.edges.count() == 0
+    assert (info["has_next_page"], info["start_cursor"], info["end_cursor"]) == (False, None, None)
+    assert conn.total_count.first()["total_count"] == 0
