@@ -128,3 +128,24 @@ def test_stats_summary_on_empty_tables(spark):
     r = r[0]
     assert (r["total_ledgers"], r["total_transactions"], r["total_operations"]) == (0, 0, 0)
     assert r["volume_24h"] == "0.0000000" and r["success_rate_24h"] == 0.0 and r["latest_ledger"] is None
+
+
+def test_operators_on_empty_inputs(spark):
+    from ledgerlake.operators import quality as Q
+    from ledgerlake.operators import windows as W
+    ops = spark.createDataFrame([], "id string, type string, created_at timestamp_ntz, details string")
+    pay = spark.createDataFrame([], "asset_id long, amount decimal(28,7), created_at timestamp_ntz")
+    tl = spark.createDataFrame([], "account_id string, asset_id long, balance decimal(28,7)")
+    assets = spark.createDataFrame([(1,)], "id long")
+    led = spark.createDataFrame([], "sequence long, closed_at timestamp_ntz")
+    log = spark.createDataFrame([], "id string, logged_at timestamp_ntz, duration_ms decimal(18,2), query_text string")
+    raw = spark.createDataFrame([], "id string, type string")
+    assert A.operation_distribution(ops).count() == 0
+    am = A.build_asset_metrics(pay, tl, assets).first()
+    assert (am["volume_24h"], am["trades_30d"], am["holders"]) == ("0.0000000", 0, 0)
+    assert W.ledger_close_times(led).count() == 0
+    d = A.duration_summary(log).first()
+    assert (d["total_queries"], d["total_duration_ms"], d["avg_duration_ms"]) == (0, "0.00", 0.0)
+    assert Q.validation_report(raw, "operation").count() == 0
+    assert W.rolling_daily(pay, "asset_id", "created_at", "amount").count() == 0
+    assert W.percentage_change(pay, "asset_id", "created_at", "amount").count() == 0
