@@ -135,7 +135,9 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, update_c
                  partition_by: list[str] | None = None, ts=None, order: str | None = None) -> None:
     """S4 end to end: merge the batch into the touched partitions only.
     Assumes a key's partition value never changes (true for event-time day
-    partitions: a record keeps its time)."""
+    partitions: a record keeps its time). An empty batch is a no-op."""
+    if not batch.take(1):
+        return
     target = read_table(spark, path)
     if target is None:
         first = dedupe_batch(batch, key, order)
@@ -171,7 +173,10 @@ def key_range_cut(target: DataFrame, batch: DataFrame, key) -> DataFrame:
 def insert_ignore_table(spark: SparkSession, path: str, batch: DataFrame, key,
                         partition_by: list[str] | None = None) -> int:
     """S5 end to end: append only unseen keys; returns rows appended. Only
-    the target's slice within the batch's key ranges is read."""
+    the target's slice within the batch's key ranges is read. An empty
+    batch writes nothing."""
+    if not batch.take(1):
+        return 0
     target = read_table(spark, path)
     rows = (dedupe_batch(batch, key) if target is None
             else insert_ignore(key_range_cut(target, batch, key), batch, key))

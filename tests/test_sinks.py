@@ -92,3 +92,14 @@ def test_hot_day_is_split_across_writer_tasks(spark, tmp):
     files = [f for f in os.listdir(os.path.join(path, "day=2024-01-01")) if f.endswith(".parquet")]
     assert len(files) > 1                      # one hot day, several writer tasks
     assert spark.read.parquet(path).count() == len(rows)
+
+
+def test_empty_batches_are_noops(spark, tmp):
+    path = os.path.join(tmp, "t")
+    schema = "k long, v long, day date"
+    base = spark.createDataFrame([(1, 1, dt.date(2024, 1, 1))], schema)
+    sinks.upsert_table(spark, path, base, "k", ["v"], partition_by=["day"])
+    empty = spark.createDataFrame([], schema)
+    sinks.upsert_table(spark, path, empty, "k", ["v"], partition_by=["day"])
+    assert sinks.insert_ignore_table(spark, os.path.join(tmp, "u"), empty, "k") == 0
+    assert spark.read.parquet(path).count() == 1
