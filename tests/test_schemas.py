@@ -49,3 +49,12 @@ def test_every_inventory_id_has_an_operator():
            + [f"M{i}" for i in range(1, 10)])
     missing = [i for i in ids if i not in OPERATORS or not callable(OPERATORS[i])]
     assert not missing, missing
+
+
+def test_cluster_conf_is_sane():
+    from ledgerlake.session import cluster_conf
+    c = cluster_conf(executors=1000, cores_per_executor=8)
+    assert c["spark.sql.adaptive.enabled"] == "true"
+    assert int(c["spark.sql.shuffle.partitions"]) == 32000
+    assert int(c["spark.sql.adaptive.advisoryPartitionSizeInBytes"]) == 256 * 1024 * 1024
+    assert c["spark.sql.session.timeZone"] == "UTC"
