@@ -149,3 +149,15 @@ def test_operators_on_empty_inputs(spark):
     assert Q.validation_report(raw, "operation").count() == 0
     assert W.rolling_daily(pay, "asset_id", "created_at", "amount").count() == 0
     assert W.percentage_change(pay, "asset_id", "created_at", "amount").count() == 0
+
+
+def test_every_preset_runs(spark):
+    tx = spark.createDataFrame([(True, 2000, "text", T0), (False, 10, None, T0 - dt.timedelta(days=2))],
+                               "successful boolean, fee_charged long, memo_type string, created_at timestamp_ntz")
+    led = spark.createDataFrame([(60, T0)], "operation_count long, closed_at timestamp_ntz")
+    acct = spark.createDataFrame([("20000.5", 2), ("3", 0)], "balance string, num_subentries long")
+    frames = {"busy_ledgers": led, "high_balance": acct, "low_balance": acct, "multi_sig": acct}
+    counts = {p: FL.preset(p, frames.get(p, tx)).count() for p in FL.PRESETS}
+    assert counts == {"successful": 1, "failed": 1, "with_memo": 1, "high_fee": 1, "last_1h": 1,
+                      "last_24h": 1, "last_7d": 2, "busy_ledgers": 1, "high_balance": 1,
+                      "low_balance": 1, "multi_sig": 1}
