@@ -36,3 +36,10 @@ def ascii_lower(text: Column) -> Column:
 def unit_hash(*cols: Column) -> Column:
     """A deterministic number in [0, 1) from the columns (52 hash bits)."""
     return F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") / F.lit(float(1 << 52))
+
+
+def small_side(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """Materialise ``df`` and mark it for broadcast if it has at most ``rows``
+    (narrow) rows; beyond that Spark joins it by a shuffle."""
+    df = kept(df)
+    return F.broadcast(df) if df.count() <= rows else df

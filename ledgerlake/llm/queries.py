@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import sharding, urlrep
+from . import decontam, secrets, sharding, urlrep
 
 QUERIES = {
     "op3_sharding": sharding.op3_sharding,
+    "op7_secrets": secrets.op7_secrets,
+    "op8_decontamination": decontam.op8_decontamination,
     "op9_host_reputation": urlrep.op9_host_reputation,
 }
 
 ORACLE_SQL = {
+    "op7_secrets": secrets.ORACLE,
+    "op8_decontamination": decontam.ORACLE,
     "op9_host_reputation": urlrep.oracle(),
 }
