@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, neardup, secrets, sharding, urlrep
+from . import decontam, langid, neardup, secrets, sharding, urlrep
 
 QUERIES = {
+    "op2_language": langid.op2_language,
     "op5_minhash": neardup.op5_minhash,
     "op3_sharding": sharding.op3_sharding,
     "op7_secrets": secrets.op7_secrets,
