@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, neardup, secrets, sharding, urlrep
+from . import decontam, langid, mixing, neardup, secrets, sharding, urlrep, warc
 
 QUERIES = {
+    "op4_mixing": mixing.op4_mixing,
+    "op6_warc": warc.op6_warc,
     "op2_language": langid.op2_language,
     "op5_minhash": neardup.op5_minhash,
     "op3_sharding": sharding.op3_sharding,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_warc": warc.ORACLE,
     "op7_secrets": secrets.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op9_host_reputation": urlrep.oracle(),
