@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, mixing, neardup, secrets, sharding, urlrep, warc
+from . import ann, decontam, langid, mixing, neardup, secrets, sharding, surrogates, urlrep, warc
 
 QUERIES = {
+    "op1_surrogates": surrogates.op1_surrogates,
+    "op10_nearest": ann.op10_nearest,
     "op4_mixing": mixing.op4_mixing,
     "op6_warc": warc.op6_warc,
     "op2_language": langid.op2_language,
