@@ -237,13 +237,16 @@ def replace_mentions(text: str, found: dict[tuple[str, str], str]) -> tuple[str,
 
 def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (all its columns) with every detected entity replaced in
-    ``text_col``, and ``n_entities``, the mentions replaced.
+    ``text_col``, and ``n_entities``, the mentions replaced (in place of a
+    column of that name).
 
     Equal entities get equal surrogates in all rows and in every run with the
     same key. Defined cases: null and empty texts, and texts without an
     entity, are returned as they are with 0; rows without id and repeated rows
     are handled by their text; an empty table gives no rows.
     """
+    columns = [c for c in docs.columns if c != "n_entities"]
+    docs = docs.select(*columns)
     hint = F.coalesce(F.rlike(F.col(text_col), F.lit(HINT)), F.lit(False))
     key_of = F.xxhash64(F.col(text_col))
     rows = docs.where(hint).select(F.col(id_col).alias("_ll_id"), key_of.alias("_ll_key"), F.col(text_col).alias("_ll_text"))
@@ -264,9 +267,9 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         per, F.col(id_col).eqNullSafe(F.col("_ll_of")) & (key_of == F.col("_ll_of_key")), "left")
     has = F.col("_ll_found").isNotNull()
     changed = (joined.where(has).withColumn("_ll_new", rewrite(F.col(text_col), F.col("_ll_found")))
-               .withColumn(text_col, F.col("_ll_new.text")).select(*docs.columns, F.col("_ll_new.n").alias("n_entities")))
+               .withColumn(text_col, F.col("_ll_new.text")).select(*columns, F.col("_ll_new.n").alias("n_entities")))
     same = joined.where(~has).unionByName(docs.where(~hint), allowMissingColumns=True)
-    return changed.unionByName(same.select(*docs.columns, F.lit(0).cast("long").alias("n_entities")))
+    return changed.unionByName(same.select(*columns, F.lit(0).cast("long").alias("n_entities")))
 
 
 #: Key of the registered query; a real job passes its own secret.
