@@ -2,6 +2,8 @@
 
 Design rules used throughout:
 
+* horizons are closed on both sides: rows after ``as_of`` count in none of
+  them (totals of whole tables are not horizons);
 * one conditional-aggregate pass per fact table instead of one query per
   horizon (the reference issues up to 15 scalar subqueries);
 * distinct counts over several horizons are computed from one
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake import schemas as S
 from ledgerlake.functions import scalar as E
-from ledgerlake.operators.common import amount_text, as_of_column, decimal_text, minus
+from ledgerlake.operators.common import amount_text, as_of_column, decimal_text, minus, up_to
 
 def _zero() -> Column:
     return F.lit(0).cast(S.AMOUNT_SUM_INPUT)
@@ -54,9 +56,9 @@ def _last_seen_per_account(tx: DataFrame) -> DataFrame:
 
 
 def active_accounts(tx: DataFrame, as_of=None) -> DataFrame:
-    """Distinct source accounts with ``created_at >= as_of - h`` for 24h/7d/30d."""
+    """Distinct source accounts with ``as_of - h <= created_at <= as_of`` for 24h/7d/30d."""
     t = as_of_column(tx, "created_at", as_of)
-    per = _last_seen_per_account(tx.where(F.col("created_at") >= minus(t, S.HORIZONS[-1][1])))
+    per = _last_seen_per_account(up_to(tx, "created_at", t).where(F.col("created_at") >= minus(t, S.HORIZONS[-1][1])))
     return per.agg(*[
         F.count_if(F.col("last_seen") >= minus(t, secs)).alias(f"active_accounts_{label}")
         for label, secs in S.HORIZONS])
@@ -67,7 +69,7 @@ def payment_volume(op: DataFrame, as_of=None) -> DataFrame:
     """Σ details.amount of ``payment`` operations per horizon, 0 when none."""
     t = as_of_column(op, "created_at", as_of)
     amt = E.json_decimal(F.col("details"), "amount")
-    pay = op.where((F.col("type") == "payment")
+    pay = up_to(op, "created_at", t).where((F.col("type") == "payment")
                    & (F.col("created_at") >= minus(t, S.HORIZONS[-1][1])))
     return pay.agg(*[
         amount_text(F.coalesce(F.sum(F.when(F.col("created_at") >= minus(t, secs), amt)),
@@ -83,7 +85,7 @@ def _fee_avg(fee_sum: Column, n: Column) -> Column:
 def average_fee(tx: DataFrame, as_of=None) -> DataFrame:
     """Mean fee of the last 24 h (exact long sum / count); 0 when empty."""
     t = as_of_column(tx, "created_at", as_of)
-    recent = tx.where(F.col("created_at") >= minus(t, 86400))
+    recent = up_to(tx, "created_at", t).where(F.col("created_at") >= minus(t, 86400))
     agg = recent.agg(F.sum("fee_charged").alias("s"), F.count(F.lit(1)).alias("n"))
     return agg.select(_fee_avg(F.col("s"), F.col("n")).alias("average_fee_24h"))
 
@@ -96,7 +98,7 @@ def _rate(succ: Column, n: Column) -> Column:
 def success_rate(tx: DataFrame, as_of=None) -> DataFrame:
     """100 · successful / all over the last 24 h, unrounded; 0 when empty."""
     t = as_of_column(tx, "created_at", as_of)
-    recent = tx.where(F.col("created_at") >= minus(t, 86400))
+    recent = up_to(tx, "created_at", t).where(F.col("created_at") >= minus(t, 86400))
     agg = recent.agg(F.count_if(F.col("successful")).alias("s"), F.count(F.lit(1)).alias("n"))
     return agg.select(_rate(F.col("s"), F.col("n")).alias("success_rate_24h"))
 
@@ -118,10 +120,11 @@ def stats_summary(led: DataFrame, tx: DataFrame, op: DataFrame, acct: DataFrame,
     the 3 distinct-account horizons, the 24 h fee mean and success rate.
     """
     t = as_of_column(tx, "created_at", as_of)
-    day = F.col("created_at") >= minus(t, 86400)
+    past = F.col("created_at") <= t
+    day = past & (F.col("created_at") >= minus(t, 86400))
     per = tx.groupBy("source_account").agg(
         F.count(F.lit(1)).alias("n"),
-        F.max("created_at").alias("last_seen"),
+        F.max(F.when(past, F.col("created_at"))).alias("last_seen"),
         F.sum(F.when(day, F.col("fee_charged"))).alias("fee_24h"),
         F.count_if(day).alias("n_24h"),
         F.count_if(day & F.col("successful")).alias("ok_24h"))
@@ -136,7 +139,7 @@ def stats_summary(led: DataFrame, tx: DataFrame, op: DataFrame, acct: DataFrame,
     ops = op.agg(
         F.count(F.lit(1)).alias("total_operations"),
         *[amount_text(F.coalesce(
-            F.sum(F.when(is_pay & (F.col("created_at") >= minus(t, secs)), amt)), _zero()))
+            F.sum(F.when(is_pay & past & (F.col("created_at") >= minus(t, secs)), amt)), _zero()))
           .alias(f"volume_{label}") for label, secs in S.HORIZONS])
     leds = led.agg(F.count(F.lit(1)).alias("total_ledgers"),
                    F.max_by(F.struct("sequence", "closed_at"), F.col("sequence")).alias("l"))
@@ -177,9 +180,10 @@ def network_overview(tx: DataFrame, led: DataFrame, as_of=None) -> DataFrame:
     """tps over the last 60 s (strict >), all-time distinct accounts,
     distinct accounts of the last 24 h (strict >), ledger count."""
     t = as_of_column(tx, "created_at", as_of)
+    past = F.col("created_at") <= t
     per = tx.groupBy("source_account").agg(
-        F.max("created_at").alias("last_seen"),
-        F.count_if(F.col("created_at") > minus(t, 60)).alias("n_minute"))
+        F.max(F.when(past, F.col("created_at"))).alias("last_seen"),
+        F.count_if(past & (F.col("created_at") > minus(t, 60))).alias("n_minute"))
     txs = per.agg(
         (F.coalesce(F.sum("n_minute"), F.lit(0)).cast("double") / F.lit(60.0)).alias("tps"),
         F.count(F.lit(1)).alias("total_accounts"),
@@ -195,11 +199,11 @@ def timeframe_seconds(timeframe: str) -> int:
 
 def asset_volume(pay: DataFrame, asset_code: str | None = None, timeframe: str = "24h",
                  as_of=None) -> DataFrame:
-    """Σ payment amount per asset with ``created_at > as_of - timeframe``;
+    """Σ payment amount per asset with ``as_of - timeframe < created_at <= as_of``;
     "0" when nothing matched. ``asset_code`` gives the one-asset form."""
     secs = timeframe_seconds(timeframe)
     t = as_of_column(pay, "created_at", as_of)
-    recent = pay.where(F.col("created_at") > minus(t, secs))
+    recent = up_to(pay, "created_at", t).where(F.col("created_at") > minus(t, secs))
     if asset_code is not None:
         recent = recent.where(F.col("asset") == F.lit(asset_code))
         agg = recent.agg(F.sum(E.to_amount(F.col("amount"))).alias("v"))
@@ -223,9 +227,9 @@ def top_accounts(tx: DataFrame, n: int = 10) -> DataFrame:
 
 # A11 ------------------------------------------------------------------------
 def daily_transaction_count(tx: DataFrame, days: int = 7, as_of=None) -> DataFrame:
-    """Transactions per UTC day with ``created_at > as_of - days``, newest first."""
+    """Transactions per UTC day with ``as_of - days < created_at <= as_of``, newest first."""
     t = as_of_column(tx, "created_at", as_of)
-    recent = tx.where(F.col("created_at") > minus(t, days * 86400))
+    recent = up_to(tx, "created_at", t).where(F.col("created_at") > minus(t, days * 86400))
     return (recent.groupBy(F.to_date("created_at").alias("day"))
             .agg(F.count(F.lit(1)).alias("count"))
             .select(E.day_text(F.col("day")).alias("date"), "count")
@@ -329,7 +333,7 @@ def build_asset_metrics(pay: DataFrame, trustlines: DataFrame, assets: DataFrame
     change is computed on volume: last 24 h against the 24 h before it."""
     t = as_of_column(pay, "created_at", as_of)
     amt = F.col("amount").cast(S.AMOUNT_SUM_INPUT)
-    win = pay.where(F.col("created_at") >= minus(t, 30 * 86400))
+    win = up_to(pay, "created_at", t).where(F.col("created_at") >= minus(t, 30 * 86400))
     prev_day = (F.col("created_at") >= minus(t, 2 * 86400)) & (F.col("created_at") < minus(t, 86400))
     aggs = []
     for label, secs in S.HORIZONS:
@@ -434,7 +438,7 @@ def event_counters(log: DataFrame) -> DataFrame:
 # A23 ------------------------------------------------------------------------
 def daily_counters(log: DataFrame, keep_days: int = 7, as_of=None) -> DataFrame:
     t = as_of_column(log, "ts", as_of)
-    kept = log.where(F.to_date("ts") > F.date_sub(F.to_date(t), keep_days))
+    kept = up_to(log, "ts", t).where(F.to_date("ts") > F.date_sub(F.to_date(t), keep_days))
     return (kept.groupBy("name", E.day_text(F.col("ts")).alias("day"))
             .agg(F.count(F.lit(1)).alias("value")))
 
@@ -446,7 +450,7 @@ def pipeline_health(cycles: DataFrame, timeout_seconds: int = 300, as_of=None) -
     ``error`` when no cycle within ``timeout_seconds`` of ``as_of``,
     ``degraded`` when lag > 10 or rate > 10, else ``healthy``."""
     t = as_of_column(cycles, "cycle_at", as_of)
-    agg = cycles.groupBy("pipeline").agg(
+    agg = up_to(cycles, "cycle_at", t).groupBy("pipeline").agg(
         F.max("source_sequence").alias("newest_source"),
         F.max(F.when(F.col("ok"), F.col("processed_sequence"))).alias("last_processed"),
         F.count(F.lit(1)).alias("cycles"),
@@ -475,6 +479,8 @@ def network_report(led: DataFrame, tx: DataFrame, op: DataFrame, metrics: DataFr
     """One row: latest network metrics, the top assets by 24 h volume (as a
     JSON array), active accounts, transaction and operation totals."""
     from ledgerlake.operators.paging import top_assets
+    if as_of is not None:
+        metrics = up_to(metrics, "timestamp", as_of_column(metrics, "timestamp", as_of))
     latest = metrics.agg(F.max_by(F.struct(*[c for c in metrics.columns]), "timestamp").alias("m"))
     top = top_assets(asset_metrics, top_n).agg(
         F.to_json(F.sort_array(F.collect_list(F.struct(

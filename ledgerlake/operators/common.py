@@ -41,6 +41,11 @@ def minus(ts: Column, seconds: int) -> Column:
     return ts - F.expr(f"INTERVAL {int(seconds)} SECONDS")
 
 
+def up_to(df: DataFrame, ts: str, t: Column) -> DataFrame:
+    """Rows known at time ``t`` (a literal, so the bound reaches the scan)."""
+    return df.where(F.col(ts) <= t)
+
+
 def micros(ts) -> Column:
     """Epoch microseconds of a ``timestamp_ntz`` (UTC wall clock) from its
     calendar fields — independent of the session time zone (casting NTZ to

@@ -207,7 +207,8 @@ def preset(name: str, df: DataFrame, as_of=None) -> DataFrame:
     ts = "closed_at" if "closed_at" in df.columns else "created_at"
 
     def recent(seconds):
-        return F.col(ts) >= minus(as_of_column(df, ts, as_of), seconds)
+        t = as_of_column(df, ts, as_of)
+        return (F.col(ts) >= minus(t, seconds)) & (F.col(ts) <= t)
 
     bal = E.to_amount(F.col("balance")) if "balance" in df.columns else None
     table = {

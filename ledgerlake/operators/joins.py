@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-MAX_LOOKUP_KEYS = 10_000
+#: Keys of a lookup that are broadcast; a longer request is shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 # J1 -------------------------------------------------------------------------
@@ -62,16 +63,27 @@ def with_transactions(led: DataFrame, tx: DataFrame,
 
 
 # J4 -------------------------------------------------------------------------
-def aligned_lookup(keys: list, table: DataFrame, key: str) -> DataFrame:
+def aligned_lookup(keys, table: DataFrame, key: str) -> DataFrame:
     """One row per requested key in request order, duplicates kept, nulls
-    when absent. The key list is bounded by the request (max
-    ``MAX_LOOKUP_KEYS``), so it is broadcast."""
-    if len(keys) > MAX_LOOKUP_KEYS:
-        raise ValueError(f"at most {MAX_LOOKUP_KEYS} keys per lookup")
+    when absent. ``keys`` is a list, or a frame with ``pos`` and the key.
+
+    The table is cut to the distinct keys by a semi join first. Up to
+    ``BROADCAST_KEYS`` keys that filters the scan without moving the table;
+    beyond that it is a shuffle join. Only the rows found meet the request.
+    """
     spark = table.sparkSession
-    dtype = table.schema[key].dataType.simpleString()
-    req = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], f"pos long, _key {dtype}")
-    joined = F.broadcast(req).join(table, F.col("_key") == table[key], "left")
+    if isinstance(keys, DataFrame):
+        req = keys.select(F.col("pos").cast("long").alias("pos"), F.col(key).alias("_key"))
+        n = req.count()
+    else:
+        dtype = table.schema[key].dataType.simpleString()
+        req = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], f"pos long, _key {dtype}")
+        n = len(keys)
+    wanted = req.where(F.col("_key").isNotNull()).select(F.col("_key").alias("_want")).distinct()
+    if n <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
+    found = table.join(wanted, table[key] == F.col("_want"), "left_semi")
+    joined = req.join(found, F.col("_key") == F.col(key), "left")
     return joined.orderBy("pos").drop(key).withColumnRenamed("_key", key)
 
 

@@ -155,12 +155,11 @@ def q_late_ledgers_dropped(spark, sf):
 
 
 DLQ_SQL = cte("failure_log", "success_log") + """
-, d AS (SELECT sequence, count(*) AS attempt_count, min(failed_at) AS first_failed_at,
-               max(failed_at) AS last_failed_at, arg_max(error, failed_at) AS last_error
-        FROM failure_log GROUP BY sequence)
-, ok AS (SELECT sequence, max(succeeded_at) AS ok_at FROM success_log GROUP BY sequence)
-, dlq AS (SELECT d.* FROM d LEFT JOIN ok ON ok.sequence = d.sequence
-          WHERE ok.ok_at IS NULL OR ok.ok_at < d.last_failed_at)
+, dlq AS (SELECT f.sequence, count(*) AS attempt_count, min(f.failed_at) AS first_failed_at,
+               max(f.failed_at) AS last_failed_at, arg_max(f.error, f.failed_at) AS last_error
+        FROM failure_log f
+        WHERE NOT EXISTS (SELECT 1 FROM success_log s WHERE s.sequence = f.sequence AND s.succeeded_at >= f.failed_at)
+        GROUP BY f.sequence)
 """
 
 

@@ -338,19 +338,20 @@ def rate_cap(stream: DataFrame, key: str, ts: str, limit: int, window_seconds: i
 # T12 ------------------------------------------------------------------------
 def dead_letters(failures: DataFrame, successes: DataFrame | None = None) -> DataFrame:
     """Dead-letter entries from the failure log: attempts = failures, first
-    and last failure time, last error; an entry is removed once the
-    sequence succeeds after its last failure."""
-    dlq = failures.groupBy("sequence").agg(
+    and last failure time, last error. A success deletes the entry, so only
+    failures after the sequence's last success count; the next failure starts
+    again at one attempt."""
+    open_ = failures
+    if successes is not None:
+        ok = successes.groupBy(F.col("sequence").alias("_ok_seq")).agg(F.max("succeeded_at").alias("_ok_at"))
+        open_ = (failures.join(ok, failures["sequence"] == ok["_ok_seq"], "left")
+                 .where(F.col("_ok_at").isNull() | (F.col("failed_at") > F.col("_ok_at")))
+                 .drop("_ok_seq", "_ok_at"))
+    return open_.groupBy("sequence").agg(
         F.count(F.lit(1)).alias("attempt_count"),
         F.min("failed_at").alias("first_failed_at"),
         F.max("failed_at").alias("last_failed_at"),
         F.max_by("error", "failed_at").alias("last_error"))
-    if successes is None:
-        return dlq
-    ok = successes.groupBy("sequence").agg(F.max("succeeded_at").alias("ok_at"))
-    return (dlq.join(ok, "sequence", "left")
-            .where(F.col("ok_at").isNull() | (F.col("ok_at") < F.col("last_failed_at")))
-            .drop("ok_at"))
 
 
 # T13 ------------------------------------------------------------------------
