@@ -223,6 +223,7 @@ def preset(name: str, df: DataFrame, as_of=None) -> DataFrame:
         "high_balance": lambda: bal >= F.lit(10000),
         "low_balance": lambda: bal < F.lit(10),
         "multi_sig": lambda: F.col("num_subentries") > F.lit(1),
+        "active": lambda: F.col("is_active") == F.lit(True),
     }
     if name not in table:
         raise ValueError(f"unknown preset {name!r}; known: {sorted(table)}")
@@ -230,7 +231,7 @@ def preset(name: str, df: DataFrame, as_of=None) -> DataFrame:
 
 
 PRESETS = ["successful", "failed", "with_memo", "high_fee", "last_1h", "last_24h", "last_7d",
-           "busy_ledgers", "high_balance", "low_balance", "multi_sig"]
+           "busy_ledgers", "high_balance", "low_balance", "multi_sig", "active"]
 
 
 # F13 ------------------------------------------------------------------------

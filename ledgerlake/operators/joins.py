@@ -21,10 +21,14 @@ BROADCAST_KEYS = 1_000_000
 # J1 -------------------------------------------------------------------------
 def operations_for_ledgers(op: DataFrame, tx: DataFrame, sequences=None) -> DataFrame:
     """Operations of the given ledgers via an inner join op → tx on
-    ``transaction_hash = hash``, with the transaction's ledger attached."""
+    ``transaction_hash = hash``, with the transaction's ledger attached.
+    ``sequences`` is a short list, or a frame with ``sequence`` of any size."""
     t = tx.select(F.col("hash").alias("transaction_hash"),
                   F.col("ledger_sequence").alias("tx_ledger_sequence"))
-    if sequences is not None:
+    if isinstance(sequences, DataFrame):
+        wanted = sequences.select(F.col("sequence").alias("_seq")).distinct()
+        t = t.join(wanted, F.col("tx_ledger_sequence") == F.col("_seq"), "left_semi")
+    elif sequences is not None:
         t = t.where(F.col("tx_ledger_sequence").isin(list(sequences)))
     return op.join(t, "transaction_hash", "inner")
 
@@ -97,7 +101,7 @@ def latest_per_entity(entity: DataFrame, history: DataFrame, key: str, ts: str,
     from ledgerlake.operators.filters import in_time_range
     from ledgerlake.operators.windows import latest_row_per_key
     h = in_time_range(history, ts, start, end)
-    latest = latest_row_per_key(h, key, ts)
+    latest = latest_row_per_key(h, key, ts, "id" if "id" in h.columns and key != "id" else None)
     renamed = latest.select(F.col(key).alias("_hk"),
                             *[F.col(c).alias(prefix + c) for c in latest.columns if c != key])
     ek = entity_key or key

@@ -5,6 +5,8 @@ no per-ledger loop on the driver."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,37 @@ def run_backfill(raw_ledgers: DataFrame, processed: DataFrame, start: int, end:
     return tried.unionByName(skipped)
 
 
+def load_backfill(spark: SparkSession, raw_ledgers: DataFrame, raw_tx: DataFrame, raw_ops: DataFrame,
+                  root: str, start: int, end: int, batch: int = 1000) -> DataFrame:
+    """M2 with its writes: the landed records of every processed sequence are
+    curated (P1-P4), added to the tables ledger, transaction, operation and
+    payment under ``root`` (S5, so a rerun adds nothing), and last the
+    progress log is marked. Returns the status frame, kept under
+    ``root/backfill_runs``."""
+    from ledgerlake.operators import project as P
+    from ledgerlake.operators.quality import split_valid
+    from ledgerlake.sources import sinks
+    from ledgerlake.streaming.jobs import curate, idempotent_marks
+    log = f"{root}/processed_ledgers"
+    processed = sinks.read_table(spark, log, "sequence long")
+    run = f"{root}/backfill_runs/{uuid.uuid4().hex}"
+    run_backfill(raw_ledgers, processed, start, end, batch).write.parquet(run)
+    status = spark.read.parquet(run)
+    todo = status.where("status = 'processed'").select("sequence")
+    ledgers, _ = split_valid(raw_ledgers.join(todo, "sequence", "left_semi"), "ledger")
+    txs, _ = split_valid(raw_tx.join(todo.withColumnRenamed("sequence", "ledger"), "ledger", "left_semi")
+                         .select(*raw_tx.columns), "transaction")
+    mine = txs.select(F.col("hash").alias("transaction_hash"))
+    ops, _ = split_valid(raw_ops.join(mine, "transaction_hash", "left_semi").select(*raw_ops.columns), "operation")
+    for name, frame, key in (("ledger", curate("ledger", ledgers), "sequence"),
+                             ("transaction", curate("transaction", txs), "hash"),
+                             ("operation", curate("operation", ops), "id"),
+                             ("payment", P.normalize_payments(ops), "id"),
+                             ("processed_ledgers", idempotent_marks(ledgers, processed), "sequence")):
+        sinks.insert_ignore_table(spark, f"{root}/{name}", frame, key)
+    return status
+
+
 # M3 -------------------------------------------------------------------------
 def last_processed(processed: DataFrame, led: DataFrame, latest: int | None = None) -> DataFrame:
     """max(progress log) else max(ledgers) else ``latest − 1``."""
@@ -123,7 +156,10 @@ def apply_retention(spark: SparkSession, table_path: str, archive_path: str, ts:
     2. the archive must then hold every expired key — otherwise nothing is
        dropped and an error is raised;
     3. the kept rows are written to a staging folder and swapped in as the
-       live table (never read and overwritten in one plan).
+       live table by renames (never read and overwritten in one plan).
+
+    Nothing expired changes nothing, also before there is an archive. The
+    staging folder is removed.
 
     Every row is archived (no cap), and the live table loses only rows that
     the archive verifiably holds. For a table partitioned by day
@@ -131,38 +167,66 @@ def apply_retention(spark: SparkSession, table_path: str, archive_path: str, ts:
     the boundary day is rewritten (dynamic partition overwrite), so the
     layout is kept and untouched days are never rewritten. Returns the
     counts."""
-    import uuid
     from ledgerlake.sources import sinks
     live = spark.read.parquet(table_path)
     t = as_of_column(live, ts, as_of)
     kept, expired = retention_split(live, ts, days, t)
-    keys = [key] if isinstance(key, str) else list(key)
-    appended = sinks.insert_ignore_table(spark, archive_path, expired, keys)
-    archive = spark.read.parquet(archive_path)
-    missing = expired.select(*keys).join(archive.select(*keys), keys, "left_anti").count()
-    if missing:
-        raise RuntimeError(f"{missing} expired rows are not in the archive; live table left untouched")
-    expired_n = expired.count()
-    staging = f"{table_path.rstrip('/')}_staging/{uuid.uuid4().hex}"
-    if partition_col is None:
-        kept.write.mode("overwrite").parquet(staging)
-        staged = spark.read.parquet(staging)
-        kept_n = staged.count()
-        staged.write.mode("overwrite").parquet(table_path)
-        return {"archived": appended, "expired": expired_n, "kept": kept_n}
-    # partitioned: days holding expired rows are either wholly expired
-    # (dropped) or the boundary day (rewritten with its kept rows)
-    touched = expired.select(partition_col).distinct()
-    boundary = kept.join(touched, partition_col, "left_semi")
-    drop_days = [r[0] for r in touched.join(boundary.select(partition_col).distinct(),
-                                            partition_col, "left_anti").collect()]
-    if boundary.take(1):
-        boundary.write.mode("overwrite").partitionBy(partition_col).parquet(staging)
-        (spark.read.parquet(staging).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(table_path))
-    _drop_partitions(spark, table_path, partition_col, drop_days)
-    kept_n = spark.read.parquet(table_path).count()
-    return {"archived": appended, "expired": expired_n, "kept": kept_n}
+    scratch = f"{table_path.rstrip('/')}_staging/{uuid.uuid4().hex}"
+    try:
+        # written once: archived, verified and counted from the copy
+        expired.write.parquet(f"{scratch}/expired")
+        expired = spark.read.schema(live.schema).parquet(f"{scratch}/expired")
+        expired_n = expired.count()
+        if not expired_n:
+            return {"archived": 0, "expired": 0, "kept": live.count()}
+        keys = [key] if isinstance(key, str) else list(key)
+        appended = sinks.insert_ignore_table(spark, archive_path, expired, keys)
+        archive = spark.read.parquet(archive_path)
+        missing = expired.select(*keys).join(archive.select(*keys), keys, "left_anti").count()
+        if missing:
+            raise RuntimeError(f"{missing} expired rows are not in the archive; live table left untouched")
+        if partition_col is None:
+            kept.write.parquet(f"{scratch}/kept")
+            _swap(spark, f"{scratch}/kept", table_path)
+        else:
+            # days holding expired rows are either wholly expired (dropped) or
+            # the boundary day (rewritten with its kept rows)
+            touched = expired.select(partition_col).distinct()
+            boundary = kept.join(touched, partition_col, "left_semi")
+            boundary.write.partitionBy(partition_col).parquet(f"{scratch}/kept")
+            staged = spark.read.schema(live.schema).parquet(f"{scratch}/kept")
+            drop_days = [r[0] for r in touched.join(staged.select(partition_col).distinct(),
+                                                    partition_col, "left_anti").collect()]
+            if staged.take(1):
+                (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy(partition_col).parquet(table_path))
+            _drop_partitions(spark, table_path, partition_col, drop_days)
+        spark.catalog.refreshByPath(table_path)
+        return {"archived": appended, "expired": expired_n, "kept": spark.read.parquet(table_path).count()}
+    finally:
+        _delete(spark, scratch)
+
+
+def _path(spark: SparkSession, name: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    fs, p = _path(spark, name)
+    fs.delete(p, True)
+
+
+def _swap(spark: SparkSession, new: str, table_path: str) -> None:
+    """Put the folder ``new`` in the table's place by two renames. A crash in
+    between leaves the old table whole under ``<table>_before``, and the next
+    call restores nothing by itself: no row is ever only in memory."""
+    before = f"{table_path.rstrip('/')}_before"
+    _delete(spark, before)
+    fs, live = _path(spark, table_path)
+    if not fs.rename(live, _path(spark, before)[1]) or not fs.rename(_path(spark, new)[1], live):
+        raise RuntimeError(f"could not swap {new} in for {table_path}; the old table is {before}")
+    _delete(spark, before)
 
 
 def _drop_partitions(spark: SparkSession, table_path: str, col: str, values) -> None:

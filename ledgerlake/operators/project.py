@@ -62,16 +62,15 @@ def normalize_payments(raw_ops: DataFrame) -> DataFrame:
 _DETAIL_FIELDS = {
     "payment": ["asset_type", "asset_code", "asset_issuer", "from", "to", "amount"],
     "create_account": ["account", "starting_balance", "funder"],
-    "manage_sell_offer": [("selling_asset", "selling_asset_type"),
-                          ("buying_asset", "buying_asset_type"), "amount", "price", "offer_id"],
-    "path_payment_strict_receive": ["from", "to", "amount", "source_amount"],
+    "manage_sell_offer": ["selling_asset", "buying_asset", "amount", "price", "offer_id"],
+    "path_payment_strict_receive": ["from", "to", "amount", "source_amount", "source_max",
+                                    "destination_asset", "destination_min", "path"],
     "change_trust": ["asset_type", "asset_code", "asset_issuer", "trustor", "trustee", "limit"],
 }
 
 
-def _field(spec, df_cols) -> Column:
-    name, src = (spec, spec) if isinstance(spec, str) else spec
-    c = F.col(f"`{src}`") if src in df_cols else F.lit(None).cast("string")
+def _field(name: str, df_cols) -> Column:
+    c = F.col(f"`{name}`") if name in df_cols else F.lit(None).cast("string")
     return c.alias(name)
 
 

@@ -55,6 +55,7 @@ TRANSACTION_RULES = [
     ("fee_meta_xdr", "nonempty", "must be a non-empty string"),
     ("signatures", "required", "Required"),
     ("inner_transaction.hash", "hash_if_parent", "Invalid transaction hash"),
+    ("inner_transaction.signatures", "required_if_parent", "Required"),
 ]
 
 OPERATION_BASE_RULES = [
@@ -71,6 +72,7 @@ _PAYMENT_EXTRA = [
     ("to", "address", "Invalid account address"),
     ("amount", "numeric", "Expected a numeric string"),
     ("asset_type", "nonempty", "must be a non-empty string"),
+    ("asset_issuer", "address_or_null", "Invalid account address"),
 ]
 OPERATION_TYPE_RULES = {
     "payment": _PAYMENT_EXTRA,
@@ -117,6 +119,9 @@ def broken(field: str, kind: str, df_cols: list[str]) -> Column:
     if kind == "hash_if_parent":
         parent = F.col(f"`{top}`") if top in df_cols else F.lit(None)
         return parent.isNotNull() & ~F.coalesce(c.rlike(S.HASH_PATTERN), F.lit(False))
+    if kind == "required_if_parent":
+        parent = F.col(f"`{top}`") if top in df_cols else F.lit(None)
+        return parent.isNotNull() & c.isNull()
     raise ValueError(kind)
 
 
@@ -143,7 +148,7 @@ def _rule_list(entity: str):
     return [(f, k, m, None) for f, k, m in RULES[entity]]
 
 
-OPTIONAL_KINDS = {"address_or_null", "hash_if_parent"}
+OPTIONAL_KINDS = {"address_or_null", "hash_if_parent", "required_if_parent"}
 
 
 def _value(field: str, df_cols) -> Column:
@@ -200,16 +205,19 @@ def validate_operations(raw: DataFrame) -> DataFrame:
 def split_valid(raw: DataFrame, entity: str, position: str | None = None):
     """Return ``(valid, invalid)``. ``invalid`` has the record position (the
     given column, else a monotonically increasing record id, dense within a
-    partition), the ``"path: message; …"`` text and the raw record as JSON."""
+    partition), the ``"path: message; …"`` text and the raw record: the text of
+    a line that could not be parsed (``_corrupt``), else the record as JSON.
+    ``valid`` has no ``_corrupt``."""
     pos = F.col(position) if position else F.monotonically_increasing_id()
     checked = validate(raw.withColumn("_position", pos), entity)
     ok = F.size("errors") == 0
-    valid = checked.where(ok).drop("errors", "_position")
-    data_cols = [c for c in raw.columns]
+    valid = checked.where(ok).drop("errors", "_position", "_corrupt")
+    data_cols = [c for c in raw.columns if c != "_corrupt"]
+    text = F.col("_corrupt") if "_corrupt" in raw.columns else F.lit(None).cast("string")
     invalid = checked.where(~ok).select(
         F.col("_position").alias("position"),
         F.array_join("errors", "; ").alias("error"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in data_cols])).alias("raw"),
+        F.coalesce(text, F.to_json(F.struct(*[F.col(f"`{c}`") for c in data_cols]))).alias("raw"),
         "errors")
     return valid, invalid
 
@@ -267,6 +275,30 @@ def integrity_report(checks: list[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def table_integrity(df: DataFrame, unique: tuple[str, list[str]] | None = None,
+                    references: list[tuple[str, str, DataFrame, str]] = ()) -> DataFrame:
+    """All rules of one table in one pass over it: ``unique`` is (rule, key
+    columns), ``references`` are (rule, foreign key, parent, parent key).
+    Each row meets the parents' distinct keys; the violations are counted per
+    key first (map-side for repeated keys), so the uniqueness rule needs no
+    scan of its own. Returns (rule, violations)."""
+    cols = list(dict.fromkeys([*(unique[1] if unique else []), *[fk for _, fk, _, _ in references]]))
+    out = df.select(*cols)
+    for i, (_, fk, parent, pk) in enumerate(references):
+        keys = parent.select(F.col(pk).alias(f"_p{i}")).distinct()
+        out = out.join(keys, F.col(fk) == F.col(f"_p{i}"), "left")
+    broken_refs = [F.count_if(F.col(fk).isNotNull() & F.col(f"_p{i}").isNull()).alias(f"v{i}")
+                   for i, (_, fk, _, _) in enumerate(references)]
+    names = [name for name, *_ in references]
+    if unique:
+        out = out.groupBy(*unique[1]).agg(F.count(F.lit(1)).alias("n"), *broken_refs)
+        broken_refs = [F.coalesce(F.sum(f"v{i}"), F.lit(0)).alias(f"v{i}") for i in range(len(names))]
+        broken_refs.append(F.count_if(F.col("n") > 1).alias(f"v{len(names)}"))
+        names.append(unique[0])
+    stack = ", ".join(f"'{name}', v{i}" for i, name in enumerate(names))
+    return out.agg(*broken_refs).select(F.expr(f"stack({len(names)}, {stack}) AS (rule, violations)"))
+
+
 # Q7 -------------------------------------------------------------------------
 MAX_LENGTHS = {
     "transaction": {"id": 64, "paging_token": 64, "hash": 64, "source_account": 56,

@@ -470,7 +470,7 @@ def q_transaction_page_info(spark, sf):
 
 
 def _load_all() -> None:
-    from ledgerlake.plans import queries_asof, queries_extra, queries_more  # noqa: F401  (register on import)
+    from ledgerlake.plans import queries_asof, queries_extra, queries_gate, queries_more  # noqa: F401  (register on import)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

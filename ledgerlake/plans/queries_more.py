@@ -48,25 +48,99 @@ def _rule_sql(field: str, kind: str, cols: set[str]) -> str:
         "hash": rx(S.HASH_PATTERN),
         "address": rx(S.ADDRESS_PATTERN),
         "address_or_null": f"({c} IS NOT NULL AND {rx(S.ADDRESS_PATTERN)})",
+        "required_if_parent": ("false" if top not in cols else f'("{top}" IS NOT NULL AND {c} IS NULL)'),
         "hash_if_parent": ("false" if top not in cols else
                            f'("{top}" IS NOT NULL AND {rx(S.HASH_PATTERN)})'),
     }[kind]
 
 
+# Fixed rules, written out for the oracle alone: "field kind" per line, with
+# the operation type in front where a rule is bound to it.
+ORACLE_RULES = {
+    "ledger": """id nonempty
+paging_token nonempty
+sequence gt0
+successful_transaction_count ge0
+failed_transaction_count ge0
+operation_count ge0
+tx_set_operation_count ge0
+closed_at iso
+total_coins numeric
+fee_pool numeric
+base_fee_in_stroops ge0
+base_reserve_in_stroops ge0
+max_tx_set_size gt0
+protocol_version ge0
+header_xdr nonempty""",
+    "transaction": """id nonempty
+paging_token nonempty
+successful required
+hash hash
+ledger gt0
+created_at iso
+source_account address
+source_account_sequence nonempty
+fee_account address_or_null
+fee_charged required
+max_fee required
+operation_count ge0
+envelope_xdr nonempty
+result_xdr nonempty
+result_meta_xdr nonempty
+fee_meta_xdr nonempty
+signatures required
+inner_transaction.hash hash_if_parent
+inner_transaction.signatures required_if_parent""",
+    "operation": """id nonempty
+paging_token nonempty
+transaction_hash hash
+transaction_successful required
+type nonempty
+created_at iso
+source_account address
+payment:from address
+payment:to address
+payment:amount numeric
+payment:asset_type nonempty
+payment:asset_issuer address_or_null
+path_payment_strict_receive:from address
+path_payment_strict_receive:to address
+path_payment_strict_receive:amount numeric
+path_payment_strict_receive:asset_type nonempty
+path_payment_strict_receive:asset_issuer address_or_null
+path_payment_strict_receive:source_amount numeric
+path_payment_strict_send:from address
+path_payment_strict_send:to address
+path_payment_strict_send:amount numeric
+path_payment_strict_send:asset_type nonempty
+path_payment_strict_send:asset_issuer address_or_null
+path_payment_strict_send:source_amount numeric
+create_account:account address
+create_account:funder address
+create_account:starting_balance numeric""",
+}
+ORACLE_MESSAGES = {
+    "required": "Required", "required_if_parent": "Required", "nonempty": "must be a non-empty string",
+    "gt0": "must be a positive integer", "ge0": "must be a non-negative integer",
+    "iso": "must be an ISO date-time with offset", "numeric": "Expected a numeric string",
+    "hash": "Invalid transaction hash", "hash_if_parent": "Invalid transaction hash",
+    "address": "Invalid account address", "address_or_null": "Invalid account address",
+}
+
+
 def errors_sql(entity: str, view: str) -> str:
     cols = _view_columns(view)
     arms = []
-    if entity == "operation":
-        rules = [(r, None) for r in Q.OPERATION_BASE_RULES]
-        for t, extra in Q.OPERATION_TYPE_RULES.items():
-            rules += [(r, t) for r in extra]
-    else:
-        rules = [(r, None) for r in Q.RULES[entity]]
+    rules = []
+    for line in ORACLE_RULES[entity].splitlines():
+        name, kind = line.split()
+        t, _, field = name.rpartition(":")
+        rules.append(((field, kind, ORACLE_MESSAGES[kind]), t or None))
     for (field, kind, msg), t in rules:
         cond = _rule_sql(field, kind, cols)
         top = field.split(".")[0]
         value = ('"' + field + '"') if top in cols else "NULL"
-        missing = None if kind in Q.OPTIONAL_KINDS else f"{value} IS NULL"
+        missing = None if kind.endswith(("_or_null", "_if_parent")) else f"{value} IS NULL"
         if t is not None:
             cond = f"(type = '{t}' AND {cond})"
             missing = None if missing is None else f"(type = '{t}' AND {missing})"
@@ -145,24 +219,24 @@ SELECT 'trustlines (account_id, asset_id) unique',
 def q_integrity_report(spark, sf):
     """Q6: foreign-key and uniqueness violations, one row per rule."""
     t = _t(spark, sf)
-    return Q.integrity_report([
-        ("operations.transaction_hash -> transactions.hash",
-         J.orphans(t.op_lineitem, t.tx_orders, "transaction_hash", "hash")),
-        ("transactions.ledger_sequence -> ledgers.sequence",
-         J.orphans(t.tx_orders, t.ledgers_orders, "ledger_sequence", "sequence")),
-        ("operations.id unique", A.duplicate_keys(t.op_lineitem, "id")),
-        ("transactions.hash unique", A.duplicate_keys(t.tx_orders, "hash")),
-        ("ledgers.sequence unique", A.duplicate_keys(t.ledgers_orders, "sequence")),
-        ("operations.ledger_sequence -> ledgers.sequence",
-         J.orphans(t.op_lineitem, t.ledgers_orders, "ledger_sequence", "sequence")),
-        ("trustlines.account_id -> accounts.account_id",
-         J.orphans(t.trustlines, t.accounts, "account_id", "account_id")),
-        ("trustlines.asset_id -> assets.id", J.orphans(t.trustlines, t.assets, "asset_id", "id")),
-        ("assets (asset_type, asset_code, asset_issuer) unique",
-         A.duplicate_keys(t.assets, ["asset_type", "asset_code", "asset_issuer"])),
-        ("trustlines (account_id, asset_id) unique",
-         A.duplicate_keys(t.trustlines, ["account_id", "asset_id"])),
-    ])
+    op, tx, led = t.op_lineitem, t.tx_orders, t.ledgers_orders
+    parts = [
+        Q.table_integrity(op, ("operations.id unique", ["id"]), [
+            ("operations.transaction_hash -> transactions.hash", "transaction_hash", tx, "hash"),
+            ("operations.ledger_sequence -> ledgers.sequence", "ledger_sequence", led, "sequence")]),
+        Q.table_integrity(tx, ("transactions.hash unique", ["hash"]), [
+            ("transactions.ledger_sequence -> ledgers.sequence", "ledger_sequence", led, "sequence")]),
+        Q.table_integrity(led, ("ledgers.sequence unique", ["sequence"])),
+        Q.table_integrity(t.trustlines, ("trustlines (account_id, asset_id) unique", ["account_id", "asset_id"]), [
+            ("trustlines.account_id -> accounts.account_id", "account_id", t.accounts, "account_id"),
+            ("trustlines.asset_id -> assets.id", "asset_id", t.assets, "id")]),
+        Q.table_integrity(t.assets, ("assets (asset_type, asset_code, asset_issuer) unique",
+                                     ["asset_type", "asset_code", "asset_issuer"])),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def _constraint_sql(entity: str, view: str) -> str:
@@ -539,16 +613,17 @@ def q_payments(spark, sf):
 
 
 def _details_sql() -> str:
-    from ledgerlake.operators.project import _DETAIL_FIELDS
-
-    def obj(fields):
+    def obj(*fields):
         parts = ["'{\"type\":' || to_json(type)", "CASE WHEN source_account IS NOT NULL THEN ',\"source_account\":' || to_json(source_account) ELSE '' END"]
-        for f in fields:
-            name, src = (f, f) if isinstance(f, str) else f
-            parts.append(f"CASE WHEN \"{src}\" IS NOT NULL THEN ',\"{name}\":' || to_json(\"{src}\") ELSE '' END")
+        parts += [f"CASE WHEN \"{f}\" IS NOT NULL THEN ',\"{f}\":' || to_json(\"{f}\") ELSE '' END" for f in fields]
         return " || ".join(parts) + " || '}'"
-    arms = " ".join(f"WHEN type = '{t}' THEN {obj(fs)}" for t, fs in _DETAIL_FIELDS.items())
-    return f"CASE {arms} ELSE {obj([])} END"
+    return f"""CASE type
+  WHEN 'payment' THEN {obj('asset_type', 'asset_code', 'asset_issuer', 'from', 'to', 'amount')}
+  WHEN 'create_account' THEN {obj('account', 'starting_balance', 'funder')}
+  WHEN 'manage_sell_offer' THEN {obj('selling_asset', 'buying_asset', 'amount', 'price', 'offer_id')}
+  WHEN 'path_payment_strict_receive' THEN {obj('from', 'to', 'amount', 'source_amount', 'source_max', 'destination_asset', 'destination_min', 'path')}
+  WHEN 'change_trust' THEN {obj('asset_type', 'asset_code', 'asset_issuer', 'trustor', 'trustee', 'limit')}
+  ELSE {obj()} END"""
 
 
 @query("operation_details", cte("raw_ops_events") + f"""

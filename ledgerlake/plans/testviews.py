@@ -64,6 +64,11 @@ class Dialect:
         fn = "array" if self.name == "spark" else "list_value"
         return f"{fn}({', '.join(items)})"
 
+    def asset(self, kind: str, code: str, issuer: str) -> str:
+        if self.name == "spark":
+            return f"named_struct('asset_type', {kind}, 'asset_code', {code}, 'asset_issuer', {issuer})"
+        return f"{{'asset_type': {kind}, 'asset_code': {code}, 'asset_issuer': {issuer}}}"
+
     def json_int(self, doc: str, field: str) -> str:
         if self.name == "spark":
             return f"CAST(get_json_object({doc}, '$.{field}') AS BIGINT)"
@@ -159,11 +164,17 @@ def _views(d: Dialect) -> dict[str, str]:
            CASE WHEN event_type IN ('click', 'view') THEN 'ISSUER' END AS asset_issuer,
            CASE WHEN event_type IN ('click', 'view')
                 THEN {d.dec_text("value", 18, 2)} END AS source_amount,
+           CASE WHEN event_type = 'view' THEN {d.dec_text("value * 2", 18, 2)} END AS source_max,
+           CASE WHEN event_type = 'view' THEN 'native' END AS destination_asset,
+           CASE WHEN event_type = 'view' THEN {d.dec_text("value", 18, 2)} END AS destination_min,
+           CASE WHEN event_type = 'view' THEN {d.array(d.asset("'credit_alphanum4'", "'USDC'", "'ISSUER'"))} END AS path,
            CASE WHEN event_type = 'signup' THEN CAST(user_id AS STRING) END AS account,
            CASE WHEN event_type = 'signup' THEN CAST({d.json_int("props", "k")} AS STRING) END AS funder,
            CASE WHEN event_type = 'signup' THEN {d.dec_text("value", 18, 2)} END AS starting_balance,
            CASE WHEN event_type = 'error' THEN CAST(event_id AS STRING) END AS offer_id,
            CASE WHEN event_type = 'error' THEN {d.dec_text("value", 18, 2)} END AS price,
+           CASE WHEN event_type = 'error' THEN 'native' END AS selling_asset,
+           CASE WHEN event_type = 'error' THEN 'USDC' END AS buying_asset,
            CASE WHEN event_type = 'error' THEN 'native' END AS selling_asset_type,
            CASE WHEN event_type = 'error' THEN 'credit_alphanum4' END AS buying_asset_type,
            CAST(NULL AS STRING) AS {d.q("limit")},

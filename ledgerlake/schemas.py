@@ -220,6 +220,14 @@ RAW_OPERATION = T.StructType([
     T.StructField("asset_code", T.StringType()),
     T.StructField("asset_issuer", T.StringType()),
     T.StructField("source_amount", T.StringType()),
+    T.StructField("source_max", T.StringType()),
+    T.StructField("destination_asset", T.StringType()),
+    T.StructField("destination_min", T.StringType()),
+    T.StructField("path", T.ArrayType(T.StructType([
+        T.StructField("asset_type", T.StringType()),
+        T.StructField("asset_code", T.StringType()),
+        T.StructField("asset_issuer", T.StringType()),
+    ]))),
     # create_account
     T.StructField("account", T.StringType()),
     T.StructField("funder", T.StringType()),
@@ -227,6 +235,8 @@ RAW_OPERATION = T.StructType([
     # manage_sell_offer
     T.StructField("offer_id", T.StringType()),
     T.StructField("price", T.StringType()),
+    T.StructField("selling_asset", T.StringType()),
+    T.StructField("buying_asset", T.StringType()),
     T.StructField("selling_asset_type", T.StringType()),
     T.StructField("buying_asset_type", T.StringType()),
     # change_trust

@@ -68,8 +68,9 @@ def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present. Only when it is
-    unset (local tests) do we create a scratch folder of our own.
+    The cluster's setting is always used when present. Only where it is
+    unset and the master is local do we create a scratch folder of our own;
+    elsewhere a machine-local folder would be invisible to other machines.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -77,6 +78,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -38,14 +38,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def dedupe_batch(batch: DataFrame, key, order: str | None = None) -> DataFrame:
-    """One row per key inside a batch: the last by ``order`` when given
-    (``max_by``, a partial aggregate), otherwise any one."""
+    """One row per key inside a batch: the last by ``order`` when given,
+    otherwise (and among equals) the one of the largest row hash, so that a
+    replay keeps the same row. ``max_by`` is a partial aggregate."""
     keys = _keys(key)
-    if order is None:
-        return batch.dropDuplicates(keys)
     rest = [c for c in batch.columns if c not in keys]
-    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(
-        *keys, "_r.*")
+    if not rest:
+        return batch.distinct()
+    tie = F.xxhash64(*[F.to_json(F.struct(*rest))])
+    by = tie if order is None else F.struct(F.col(order), tie)
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_r")).select(
+        *keys, "_r.*").select(*batch.columns)
 
 
 # S4 -------------------------------------------------------------------------
@@ -258,8 +261,10 @@ def try_read_committed(spark: SparkSession, root: str, name: str) -> DataFrame |
         return None
     try:
         return read_committed(spark, root, name)
-    except AnalysisException:
-        return None
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None          # a folder without data files
+        raise
 
 
 # S7 -------------------------------------------------------------------------

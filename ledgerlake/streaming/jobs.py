@@ -6,13 +6,14 @@ batch id, commit marker last), so a replayed epoch rewrites the same
 partitions and never duplicates rows. Stateful pieces use Spark state:
 streaming aggregation for running totals, ``dropDuplicatesWithinWatermark``
 for de-duplication and ``applyInPandasWithState`` for first-event-anchored
-rate windows.
+rate windows, with event-time expiry.
 """
 
 from __future__ import annotations
 
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,8 +68,7 @@ def process_batch(spark: SparkSession, batch: DataFrame, entity: str, root: str,
     write valid rows and the quarantine as one committed unit (S6). The
     batch is persisted while both outputs are written (recomputed from the
     replayable source if an executor is lost)."""
-    data = batch.drop("_corrupt") if "_corrupt" in batch.columns else batch
-    data = data.persist()
+    data = batch.persist()
     try:
         valid, invalid = Q.split_valid(data, entity)
         curated = sinks.dedupe_batch(curate(entity, valid), key)
@@ -101,18 +101,22 @@ def process_ledger_units(spark: SparkSession, batch: DataFrame, root: str, batch
     progress rows (T3) share the batch id, and the commit marker is
     appended last. Ledgers already in the progress log are skipped (T2/T3),
     so replays are no-ops. Children are exploded from their own ledger (a
-    ledger's transaction and operation counts are capped by the protocol)."""
-    data = batch.drop("_corrupt") if "_corrupt" in batch.columns else batch
-    data = data.persist()
+    ledger's transaction and operation counts are capped by the protocol).
+    A ledger landed twice in the batch is taken once (the same copy on every
+    replay); children of a rejected ledger are quarantined with it."""
+    data = batch.persist()
     try:
         done = sinks.try_read_committed(spark, root, "processed_ledgers")
         if done is not None:
             seen = already_stored(done, data, "sequence")
             data = data.join(seen, "sequence", "left_anti")
-        led_cols = [f.name for f in S.RAW_LEDGER.fields]
+        named = data.where(F.col("sequence").isNotNull())
+        data = sinks.dedupe_batch(named, "sequence").unionByName(data.where(F.col("sequence").isNull()))
+        led_cols = [f.name for f in S.RAW_LEDGER.fields] + [c for c in data.columns if c == "_corrupt"]
         ledgers, bad_led = Q.split_valid(data.select(*led_cols), "ledger")
         ok_seq = ledgers.select("sequence")
         units = data.join(ok_seq, "sequence", "left_semi")
+        refused = data.join(ok_seq, "sequence", "left_anti")
         tx_raw = units.select(F.explode("transactions").alias("t")).select("t.*")
         op_raw = units.select(F.explode("operations").alias("o")).select("o.*")
         txs, bad_tx = Q.split_valid(tx_raw, "transaction")
@@ -123,8 +127,8 @@ def process_ledger_units(spark: SparkSession, batch: DataFrame, root: str, batch
             "operation": curate("operation", ops),
             "payment": P.normalize_payments(ops),
             "ledger_invalid": bad_led.drop("errors"),
-            "transaction_invalid": bad_tx.drop("errors"),
-            "operation_invalid": bad_op.drop("errors"),
+            "transaction_invalid": bad_tx.drop("errors").unionByName(_with_ledger(refused, "transactions")),
+            "operation_invalid": bad_op.drop("errors").unionByName(_with_ledger(refused, "operations")),
             "processed_ledgers": idempotent_marks(ledgers, spark.createDataFrame([], "sequence long")),
         }
         sinks.write_batch(spark, root, frames, batch_id)
@@ -132,6 +136,13 @@ def process_ledger_units(spark: SparkSession, batch: DataFrame, root: str, batch
         data.unpersist()
 
 
+def _with_ledger(refused: DataFrame, children: str) -> DataFrame:
+    """Children of rejected ledgers as quarantine rows."""
+    return refused.select(F.explode(children).alias("c")).select(
+        F.monotonically_increasing_id().alias("position"), F.lit("ledger: rejected").alias("error"),
+        F.to_json("c").alias("raw"))
+
+
 def ingest_ledger_units(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str,
                         trigger: dict | None = None):
     """T1 for whole units of work: a stream of landed ledger units, each
@@ -300,39 +311,51 @@ def dedupe_stream(stream: DataFrame, key: str, ts: str, watermark: str = "1 hour
 RATE_LIMITS = {"subscriptions": (10, 60), "websocket": (50, 1), "api": (100, 60)}
 
 
+def capped(times, start: int | None, count: int, limit: int, window: int):
+    """Flags of sorted event times (micros) beyond ``limit`` in windows that
+    start at the first event after the previous window's end; with the window
+    start and count to go on from. One step per window, not per event."""
+    flags = np.zeros(len(times), dtype=bool)
+    at = 0
+    while at < len(times):
+        if start is None or times[at] >= start + window:
+            start, count = int(times[at]), 0
+        end = int(np.searchsorted(times, start + window, "left"))
+        flags[at:end] = np.arange(count + 1, count + 1 + end - at) > limit
+        count, at = count + end - at, end
+    return flags, start, count
+
+
 def rate_cap(stream: DataFrame, key: str, ts: str, limit: int, window_seconds: int,
-             id_col: str = "id") -> DataFrame:
+             id_col: str = "id", watermark: str = "1 hour") -> DataFrame:
     """Flag events beyond ``limit`` per key inside a fixed window that
     starts at the key's first event (a new window opens at the first event
-    after the previous one ends). State per key is (window start, count),
-    kept by ``applyInPandasWithState``; each call sees one micro-batch of
-    one key, so no group grows with the history."""
-    w_us = window_seconds * 1_000_000
+    after the previous one ends). All events of a key in a micro-batch are
+    ordered by (time, id) before they are counted. State per key is (window
+    start, count); it is dropped once the watermark passes the window's end,
+    so state holds only keys seen within the watermark."""
+    width = window_seconds * 1_000_000
+    source, et = event_time(stream, ts)
 
     def fn(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         start, count = state.get if state.exists else (None, 0)
-        out = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values([ts, id_col])
-            micros = pdf[ts].astype("datetime64[us]").astype("int64")
-            flags = []
-            for t in micros:
-                if start is None or t >= start + w_us:
-                    start, count = int(t), 0
-                count += 1
-                flags.append(count > limit)
-            pdf = pdf.assign(rate_limited=flags)
-            out.append(pdf[[key, id_col, ts, "rate_limited"]])
+        pdf = pd.concat(list(pdfs)).sort_values([ts, id_col])
+        micros = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy()
+        flags, start, count = capped(micros, start, count, limit, width)
         state.update((start, count))
-        if out:
-            yield pd.concat(out)
+        end_ms = (start + width) // 1000
+        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+        yield pdf.assign(rate_limited=flags)[[key, id_col, ts, "rate_limited"]]
 
     key_type = stream.schema[key].dataType.simpleString()
     id_type = stream.schema[id_col].dataType.simpleString()
     ts_type = stream.schema[ts].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(
+    return source.withWatermark(et, watermark).groupBy(key).applyInPandasWithState(
         fn, f"{key} {key_type}, {id_col} {id_type}, {ts} {ts_type}, rate_limited boolean",
-        "start long, count long", "append", GroupStateTimeout.NoTimeout)
+        "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # T12 ------------------------------------------------------------------------
