@@ -29,7 +29,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, table
@@ -68,9 +68,29 @@ PATTERNS = [
              rf"|(?P<given>{'|'.join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))}) (?P<sur>{_WORD}))(?!\w)"),
 ]
 PII = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS))
-#: What every mention contains: texts without it are not looked at.
-HINT = r"@|[0-9][ .()-]*[0-9][ .()-]*[0-9]|" + "|".join(
-    sorted([*TITLE_GENDER, *(n for ns in GIVEN.values() for n in ns)]))
+def _one_of(words: list[str]) -> str:
+    """Regex of a word list, branching letter by letter."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    arms = [c + (_one_of(rest) if any(rest) else "") for c, rest in sorted(by.items()) if c]
+    return f"(?:{'|'.join(arms)}){'?' if '' in by else ''}"
+
+
+_LISTED = [*TITLE_GENDER, *(n for ns in GIVEN.values() for n in ns)]
+#: What every mention contains: texts without any of it are not looked at.
+#: Listed words of other scripts are covered by their letters.
+HINTS = [r"[0-9][ .()-]*[0-9][ .()-]*[0-9]", r"[\u0370-\u04FF]",
+         f"(?=[A-Z]){_one_of([w for w in _LISTED if w.isascii() or w[0].isascii()])}(?![a-z])"]
+
+
+def hinted(text: Column) -> Column:
+    """False only for texts without a mention."""
+    out = F.contains(text, F.lit("@"))
+    for p in HINTS:
+        out = out | F.rlike(text, F.lit(p))
+    return F.coalesce(out, F.lit(False))
+
 
 SYLLABLES = {
     "latin": ("bcdfghjklmnprstvz", "aeiou"),
@@ -247,7 +267,7 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """
     columns = [c for c in docs.columns if c != "n_entities"]
     docs = docs.select(*columns)
-    hint = F.coalesce(F.rlike(F.col(text_col), F.lit(HINT)), F.lit(False))
+    hint = hinted(F.col(text_col))
     key_of = F.xxhash64(F.col(text_col))
     rows = docs.where(hint).select(F.col(id_col).alias("_ll_id"), key_of.alias("_ll_key"), F.col(text_col).alias("_ll_text"))
     kind = rows.schema["_ll_id"].dataType.simpleString()
@@ -265,11 +285,9 @@ def pseudonymize(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
             for t, e in zip(texts, lists)], columns=["text", "n"])
     joined = docs.where(hint).join(
         per, F.col(id_col).eqNullSafe(F.col("_ll_of")) & (key_of == F.col("_ll_of_key")), "left")
-    has = F.col("_ll_found").isNotNull()
-    changed = (joined.where(has).withColumn("_ll_new", rewrite(F.col(text_col), F.col("_ll_found")))
+    changed = (joined.withColumn("_ll_new", rewrite(F.col(text_col), F.col("_ll_found")))
                .withColumn(text_col, F.col("_ll_new.text")).select(*columns, F.col("_ll_new.n").alias("n_entities")))
-    same = joined.where(~has).unionByName(docs.where(~hint), allowMissingColumns=True)
-    return changed.unionByName(same.select(*columns, F.lit(0).cast("long").alias("n_entities")))
+    return changed.unionByName(docs.where(~hint).select("*", F.lit(0).cast("long").alias("n_entities")))
 
 
 #: Key of the registered query; a real job passes its own secret.
