@@ -7,17 +7,23 @@
    of equal digest are one *node* from here on, so exact copies cost nothing
    more, however many there are.
 2. Candidates: nodes that share a band key. A bucket gives a star (each member
-   with the bucket's smallest node), never all pairs.
+   with the bucket's earliest document), never all pairs.
 3. Filter: the packed signatures of a pair are compared by bit counts. Two
    different minima agree in their low bits with chance 2^-BITS; the similarity
    corrected for that must not lie so far under the threshold that a true link
    would come out there once in a million pairs.
 4. Confirm: whole shingle sets of the remaining pairs are compared exactly.
-5. Rest: after the star links are joined into components, buckets that hold
-   more than one component compare each member outside the centre's component
-   with every member of another component (filter and confirmation as above).
-   Pairs inside one component can change nothing and are not made. So every
-   candidate pair that could join two components is decided exactly.
+5. Rest: after the star links are joined into components, some buckets hold
+   more than one component. Shingles that at most ``SCARCE`` nodes of those
+   buckets hold are set apart. A pair that shares one of them is found by a
+   join on scarce shingles (the first ones of each node, which such a pair
+   must share); any other pair has only its common shingles to share, and is
+   decided without a comparison where these are too few for the threshold.
+   A second star is made with the member that shares most; then every member
+   outside its centre's component is compared with the members of all other
+   components (filter and confirmation as above). Pairs inside one component
+   can change nothing and are not made, so every candidate pair that could
+   join two components is decided exactly.
 
 The number of bands is chosen so that a pair at the threshold shares no band
 once in a million.
@@ -31,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import kept, small_side, table
@@ -40,6 +46,7 @@ ROWS = 4           # minima in a band
 BITS = 4           # low bits kept of each minimum; 16 of them fill a long
 RARE = 1e-6        # chance to lose a pair at the threshold, for bands and for the filter
 LONG = 64 // BITS
+SCARCE = 8         # nodes that hold a scarce shingle, at most; any number gives the same links
 
 
 def bands_for(threshold: float) -> int:
@@ -134,7 +141,7 @@ def _sets(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
-                    names=["_ll_node", "_ll_set"])
+                    names=["node", "set"])
     return make
 
 
@@ -205,23 +212,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         F.min("_ll_id").alias("_ll_first"), F.any_value("_ll_sig").alias("_ll_sig"),
         F.any_value("_ll_bands").alias("_ll_bands")).withColumnRenamed("_ll_node", "node"))
     sig = reps.select("node", F.col("_ll_sig").alias("sig"))
-    spread = reps.select("node", F.explode("_ll_bands").alias("key"))
-    bucket = kept(spread.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("c"))
-                  .where("c > 1").select("key", "centre"))
-    members = kept(spread.join(bucket, "key"))
+    spread = reps.select("node", "_ll_first", F.explode("_ll_bands").alias("key"))
+    bucket = kept(spread.groupBy("key").agg(F.min(F.struct("_ll_first", "node"))["node"].alias("centre"),
+                                            F.count("*").alias("c")).where("c > 1").select("key", "centre"))
+    members = kept(spread.drop("_ll_first").join(bucket, "key"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
         pairs = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        return pairs.where(agreeing(F.col("sa"), F.col("sb"), longs) >= enough).select("a", "b")
+        return kept(pairs.where(agreeing(F.col("sa"), F.col("sb"), longs) >= enough).select("a", "b"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """Whole shingle sets (node, set) of distinct nodes."""
         ids = small_side(asked.join(reps, "node").select(F.col("_ll_first").alias("_ll_ask")).distinct())
         texts = docs.join(ids, F.col(id_col) == F.col("_ll_ask"), "left_semi").select(F.col(text_col).cast("string"))
-        sets = texts.mapInArrow(_sets(k), "_ll_node binary, _ll_set array<long>")
-        pairs = pairs.join(sets.select(F.col("_ll_node").alias("a"), F.col("_ll_set").alias("sa")), "a")
-        pairs = pairs.join(sets.select(F.col("_ll_node").alias("b"), F.col("_ll_set").alias("sb")), "b")
+        return texts.mapInArrow(_sets(k), "node binary, set array<long>").join(asked, "node", "left_semi")
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+        pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
         return kept(pairs.where(both * den >= (F.size("sa") + F.size("sb") - both) * num)
                     .select("a", "b").distinct())
@@ -229,32 +238,77 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     def ordered(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    star = members.where("node <> centre").select(*ordered("node", "centre")).distinct()
-    label = components(confirmed(kept(filtered(star))))
-
-    # members with their component and their centre's; buckets of one component go
     def labelled(frame: DataFrame, of: str, to: str) -> DataFrame:
         return (frame.join(label.select(F.col("node").alias(of), F.col("label").alias(to)), of, "left")
                 .withColumn(to, F.coalesce(to, of)))
+
+    def merged(edges: DataFrame) -> DataFrame:
+        """``label`` with the components that the edges join put together."""
+        across = labelled(labelled(edges, "a", "la"), "b", "lb").select(*ordered("la", "lb")).where("a <> b")
+        if across.limit(1).count() == 0:
+            return label
+        top = components(across)
+        moved = label.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
+        return kept(moved.select("node", F.coalesce("top", "label").alias("label"))
+                    .unionByName(top.join(label.select("node"), "node", "left_anti")))
+
+    # first stars: each bucket's earliest document
+    star = filtered(members.where("node <> centre").select(*ordered("node", "centre")).distinct())
+    ends = star.select(F.col("a").alias("node")).unionByName(star.select(F.col("b").alias("node"))).distinct()
+    label = components(confirmed(star, sets_of(ends)))
+
+    # buckets that still hold several components
     named = labelled(labelled(members, "node", "own"), "centre", "main")
-    outside = kept(named.where("own <> main"))
-    mixed = kept(named.join(outside.select("key").distinct(), "key", "left_semi").where("node <> centre")
-                 .join(sig, "node"))
-    x = outside.select("key", F.col("node").alias("x"), F.col("own").alias("own_x")).join(
-        sig.select(F.col("node").alias("x"), F.col("sig").alias("sx")), "x")
-    y = mixed.select("key", F.col("node").alias("y"), F.col("own").alias("own_y"), "main", F.col("sig").alias("sy"))
-    rest = x.join(y, (x["key"] == y["key"]) & (F.col("own_x") != F.col("own_y"))
-                  & ((F.col("own_y") == F.col("main")) | (F.col("own_x") < F.col("own_y")))
-                  & (agreeing(F.col("sx"), F.col("sy"), longs) >= enough))
-    rest = kept(rest.select(*ordered("x", "y")).distinct())
-    if rest.limit(1).count():
-        more = confirmed(rest)
-        if more.limit(1).count():
-            more = labelled(labelled(more, "a", "la"), "b", "lb").select(*ordered("la", "lb")).where("a <> b")
-            top = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
-            lone = top.select(F.col("label").alias("node"), F.col("top").alias("label"))
-            label = (label.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-                     .unionByName(lone.join(label.select("node"), "node", "left_anti")))
+    several = kept(named.where("own <> main").select("key").distinct())
+    mixed = kept(named.join(several, "key", "left_semi").select("key", "node"))
+    if mixed.limit(1).count():
+        sets = kept(sets_of(mixed.select("node").distinct()).dropDuplicates(["node"]))
+        # shingles that few nodes of these buckets have
+        tokens = sets.select(F.xxhash64("node").alias("nid"), F.explode("set").alias("token"))
+        scarce = kept(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") <= SCARCE), "token"))
+        sizes = kept(sets.select("node", F.xxhash64("node").alias("nid"), F.size("set").alias("n"))
+                     .join(scarce.groupBy("nid").agg(F.count("*").alias("few")), "nid", "left")
+                     .select("node", "nid", "n", (F.col("n") - F.coalesce("few", F.lit(0))).alias("share")))
+        # a pair that shares no scarce shingle has only these to share
+        able = kept(mixed.join(sizes.where(F.col("share") * den >= F.col("n") * num).drop("nid"), "node"))
+
+        def possible(x: str, y: str) -> Column:
+            """The shareable shingles of both suffice for the threshold."""
+            return (F.least(f"share_{x}", f"share_{y}") * (num + den)
+                    >= (F.col(f"n_{x}") + F.col(f"n_{y}")) * num)
+
+        def side(frame: DataFrame, x: str) -> DataFrame:
+            return frame.select("key", F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in frame.columns
+                                                                 if c not in ("key", "node")])
+        # second stars: the member whose shingles the others share most
+        best = side(able.groupBy("key").agg(F.max(F.struct(
+            (F.col("share") / F.col("n")).alias("ratio"), "node", "n", "share")).alias("m")).select("key", "m.*"), "c")
+        pairs = side(able, "x").join(best, "key").where((F.col("x") != F.col("c")) & possible("x", "c"))
+        pairs = labelled(labelled(pairs, "x", "own_x"), "c", "own_c").where("own_x <> own_c")
+        label = merged(confirmed(filtered(pairs.select(*ordered("x", "c")).distinct()), sets))
+
+        # the rest: members outside the centre's component against all other components
+        full = (labelled(labelled(able.join(best.select("key", F.col("c").alias("centre")), "key"), "node", "own"), "centre", "main")
+                .join(reps.select("node", F.col("_ll_sig").alias("sig"), F.col("_ll_bands").alias("bands")), "node"))
+        full = kept(full.drop("centre"))
+        x, y = side(full.where("own <> main"), "x"), side(full, "y")
+        rest = x.join(y, (x["key"] == y["key"]) & (F.col("own_x") != F.col("own_y"))
+                      & ((F.col("own_y") == F.col("main_y")) | (F.col("own_x") < F.col("own_y"))) & possible("x", "y")
+                      & (agreeing(F.col("sig_x"), F.col("sig_y"), longs) >= enough)
+                      # a pair is made in the first bucket it shares
+                      & (F.array_min(F.array_intersect("bands_x", "bands_y")) == x["key"]))
+        # a pair that shares scarce shingles has the first it shares, in order
+        # of their counts, among the first n - ceil(threshold * n) + 1 of both
+        first = Window.partitionBy("nid").orderBy("c", "token")
+        prefix = (scarce.join(sizes.select("nid", "node", "n"), "nid").withColumn("at", F.row_number().over(first))
+                  .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).where("c > 1"))
+        prefix = kept(labelled(prefix.select("token", "node"), "node", "own"))
+        x, y = (prefix.select("token", F.col("node").alias(v), F.col("own").alias(f"own_{v}")) for v in "xy")
+        few = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & (F.col("own_x") != F.col("own_y")))
+        few = filtered(few.select(*ordered("x", "y")).distinct())
+        rest = kept(rest.select(*ordered("x", "y")).unionByName(few).distinct())
+        if rest.limit(1).count():
+            label = merged(confirmed(rest, sets))
 
     named = (reps.select("node", "_ll_first").join(label, "node", "left")
              .select("node", "_ll_first", F.coalesce("label", "node").alias("label")))

@@ -114,3 +114,19 @@ def test_repeated_id_keeps_one_row(make):
     rows = [(1, "a b c d e f", "en", "s")] * 3 + [(2, "x y z", "en", "s"), (None, "a b c d e f", "en", "s")]
     got = neardup.drop_near_duplicates(make(rows)).collect()
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 2]
+
+
+def test_group_of_near_copies_of_one_text_around_the_threshold(make):
+    """Copies with more and more changes: some link with the base only, some
+    with a few others, some with nothing; the base is not the earliest."""
+    r = random.Random(5)
+    base = prose(150, 77, 10 ** 6)
+    rows = []
+    for i in range(260):
+        text = mutate(base, r, r.randrange(0, 9))
+        if i % 7 == 0 and rows:
+            text = mutate(rows[r.randrange(len(rows))][1], r, r.randrange(0, 4))
+        rows.append((i, text, "en", "s"))
+    rows.append((500, base, "en", "s"))
+    for k, num in ((3, 85), (5, 80)):
+        assert spark_rows(neardup.near_duplicates(make(rows), k, num, 100)) == brute(rows, k, num, 100)
