@@ -22,8 +22,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from ledgerlake import schemas as S
+from ledgerlake.operators.common import ntz_lit
 
 
 def _keys(key) -> list[str]:
@@ -169,7 +171,10 @@ def key_range_cut(target: DataFrame, batch: DataFrame, key) -> DataFrame:
     for i, k in enumerate(keys):
         if b[f"lo{i}"] is None:
             return target.limit(0)
-        out = out.where(F.col(k).between(F.lit(b[f"lo{i}"]), F.lit(b[f"hi{i}"])))
+        lo, hi = b[f"lo{i}"], b[f"hi{i}"]
+        if isinstance(target.schema[k].dataType, TimestampNTZType):
+            lo, hi = ntz_lit(lo), ntz_lit(hi)     # not through the session's time zone
+        out = out.where(F.col(k).between(lo, hi))
     return out
 
 

@@ -19,8 +19,8 @@ FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 
 
 def audit(spark, sf: str):
-    import __spark_entry__ as e
-    for name, fn in e.queries().items():
+    from ledgerlake.plans import catalog
+    for name, fn in catalog.queries().items():
         plan = fn(spark, sf)._jdf.queryExecution().executedPlan().toString()
         found = [k for k in FORBIDDEN if k in plan]
         yield name, plan.count("Exchange"), plan.count("SinglePartition"), found

@@ -156,8 +156,9 @@ def test_every_preset_runs(spark):
                                "successful boolean, fee_charged long, memo_type string, created_at timestamp_ntz")
     led = spark.createDataFrame([(60, T0)], "operation_count long, closed_at timestamp_ntz")
     acct = spark.createDataFrame([("20000.5", 2), ("3", 0)], "balance string, num_subentries long")
-    frames = {"busy_ledgers": led, "high_balance": acct, "low_balance": acct, "multi_sig": acct}
+    metrics = spark.createDataFrame([("a", True), ("b", False)], "account_id string, is_active boolean")
+    frames = {"busy_ledgers": led, "high_balance": acct, "low_balance": acct, "multi_sig": acct, "active": metrics}
     counts = {p: FL.preset(p, frames.get(p, tx)).count() for p in FL.PRESETS}
     assert counts == {"successful": 1, "failed": 1, "with_memo": 1, "high_fee": 1, "last_1h": 1,
                       "last_24h": 1, "last_7d": 2, "busy_ledgers": 1, "high_balance": 1,
-                      "low_balance": 1, "multi_sig": 1}
+                      "low_balance": 1, "multi_sig": 1, "active": 1}
