@@ -5,16 +5,19 @@
    (after a title, or a known given name before a surname) in the whole text.
    Only texts that could hold any are read by Python.
 2. Entities: the distinct (kind, canonical form) pairs of the corpus. Letter
-   case, separators and titles are no part of the canonical form, and names
+   case, separators and titles are no part of the canonical form, phone
+   numbers have their country code in it whether written or not, and names
    are taken word by word, so all mentions of an entity share one surrogate.
 3. Draw: a keyed BLAKE2b of kind, canonical form and attempt gives a surrogate
    of the same shape: digits for digits, letters of the same script and case,
-   name endings of the same gender, a valid check digit where there was one.
+   name endings of the same gender, the same country code, valid check digits
+   where they were valid.
 4. Check: a surrogate that equals a real entity of its kind, or that a
    lower-sorting entity drew too, is drawn again, until all are distinct. The
    checks are joins and aggregations over the entity tables.
 5. Replace: every mention gets its entity's surrogate in the mention's own
-   format (separators, case, country code).
+   format (separators, case, country code or none). Country codes are equal,
+   so what step 4 checked is what is written.
 
 Entities, surrogates and replacements stay distributed; an entity that a third
 of all documents mention is one row of the drawing and a skewed join key that
@@ -92,6 +95,20 @@ def hinted(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+#: Calling codes of one and two digits; all others have three.
+CODES = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+#: A trunk zero, not dialled after the country code (in Italy it is).
+TRUNK = re.compile(r"\+(?!39)[0-9]{1,3}[ .-]?(\(0\))")
+
+
+def phone(surface: str) -> str:
+    """Canonical phone number: +, country code and national number. The forms
+    without a code are North American."""
+    trunk = TRUNK.match(surface)
+    digits = re.sub(r"[^0-9]", "", surface[:trunk.start(1)] + surface[trunk.end(1):] if trunk else surface)
+    return ("+" if surface[0] == "+" else "+1") + digits
+
+
 SYLLABLES = {
     "latin": ("bcdfghjklmnprstvz", "aeiou"),
     "cyrillic": ("бвгджзклмнпрстфх", "аеиоу"),
@@ -116,7 +133,8 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
         kind = next(k for k, _ in PATTERNS if m.group(k) is not None)
         if kind != "name":
             s = m.group(kind)
-            canon = s.lower() if kind == "email" else s if kind == "ip" else re.sub(r"[^0-9A-Z]", "", s)
+            canon = (s.lower() if kind == "email" else s if kind == "ip" else phone(s) if kind == "phone"
+                     else re.sub(r"[^0-9A-Z]", "", s))
             out.append((m.start(), m.end(), kind, canon))
             continue
         group = "after" if m.group("title") else None
@@ -156,6 +174,11 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _mod97(iban: str) -> int:
+    """1 for a valid IBAN."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
 def _like(d: _Draw, s: str) -> str:
     return "".join(d.of("0123456789") if c.isdigit() else d.of("abcdefghijklmnopqrstuvwxyz") if "a" <= c <= "z"
                    else d.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if "A" <= c <= "Z" else c for c in s)
@@ -174,14 +197,17 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
         parts = [ranges[3 if loose else len(p)] for p in canon.split(".")]
         return ".".join(str(lo + d.below(hi - lo + 1)) for lo, hi in parts)
     if kind == "iban":
-        return canon[:2] + _like(d, canon[2:] + "0" * loose)
+        body = _like(d, canon[4:] + "0" * loose)
+        check = f"{98 - _mod97(canon[:2] + '00' + body):02d}" if _mod97(canon) == 1 else _like(d, canon[2:4])
+        return canon[:2] + check + body
     if kind == "ssn":
         return f"{900 + d.below(100)}{d.below(99) + 1:02d}{d.below(9999) + 1:04d}" + "0" * loose
     if kind == "card":
         body = canon[0] + _like(d, canon[1:-1] + "0" * loose)
         return next(body + c for c in "0123456789" if _luhn(body + c)) if _luhn(canon) else body + d.of("0123456789")
     if kind == "phone":
-        return _like(d, canon + "0" * loose)
+        code = CODES.match(canon, 1).end()
+        return canon[:code] + _like(d, canon[code:] + "0" * loose)
     script = _script(canon)
     consonants, vowels = SYLLABLES[script]
     stem = "".join(d.of(consonants) + d.of(vowels) for _ in range(max(2, len(canon) // 2) + loose + (kind == "surname")))
@@ -194,10 +220,11 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int) -> str:
 def fill(surface: str, kind: str, canon: str) -> str:
     """A surrogate in the format of the mention it replaces."""
     if kind in ("iban", "ssn", "phone", "card"):
-        keep = len(m.group()) if kind == "phone" and (m := re.match(r"\+[0-9]{1,3}(?=[ .(-])", surface)) else 0
-        out, at = [surface[:keep]], sum(c.isalnum() for c in surface[:keep])
-        for c in surface[keep:]:
-            if c.isalnum():
+        trunk = TRUNK.match(surface) if kind == "phone" else None
+        zero = trunk.start(1) + 1 if trunk else -1
+        out, at = [], 0 if kind != "phone" else 1 if surface[0] == "+" else 2
+        for i, c in enumerate(surface):
+            if c.isalnum() and i != zero:
                 out.append(canon[at])
                 at += 1
             else:

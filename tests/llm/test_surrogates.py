@@ -76,6 +76,34 @@ def test_a_used_up_shape_grows(spark):
     assert len({r["surrogate"] for r in got} - set(ips)) == len(ips)
 
 
+def test_formats_of_one_phone_number_share_a_surrogate(make):
+    groups = [["+1 (626) 555-5759", "+16265555759", "+1-626-555-5759", "+1 626.555.5759", "(626) 555-5759", "626-555-5759"],
+              ["+49 30 1234", "+49301234", "+49 (30) 1234", "+49 (0)30 1234", "+49-301-234"], ["+351 21 1234", "+351211234"]]
+    texts = [f"call {x}." for g in groups for x in g]
+    got = {texts[r["doc_id"]]: r["text"] for r in run(make, texts).collect()}
+    for g in groups:
+        out = [got[f"call {x}."].removeprefix("call ").removesuffix(".") for x in g]
+        assert [re.sub("[0-9]", "0", x) for x in out] == [re.sub("[0-9]", "0", x) for x in g]
+        assert len({S.phone(x) for x in out}) == 1 and not {S.phone(x) for x in g} & {S.phone(x) for x in out}
+        assert all(x.startswith(y[:y.index(" ")]) for x, y in zip(out, [g[0]] * len(g)) if x[0] == "+")
+    assert "(0)" in got["call +49 (0)30 1234."]
+
+
+def test_written_phone_numbers_are_distinct_and_not_real(make):
+    """Most national numbers are taken, under one-, two- and three-digit codes."""
+    texts = [f"{code} {n // 100:02d} {n % 100:02d}" for code in ("+7", "+49", "+351") for n in range(9500)]
+    got = [r["text"] for r in run(make, texts).collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert sorted({t.split()[0] for t in got}) == ["+351", "+49", "+7"]
+
+
+def test_iban_check_digits_stay_valid():
+    for a, valid in (("DE89370400440532013000", True), ("GB82WEST12345698765432", True), ("DE88370400440532013000", False)):
+        drawn = [S.surrogate(KEY, "iban", a, i) for i in range(30)]
+        assert all(S._mod97(x) == 1 for x in drawn) == valid
+        assert all(x[:2] == a[:2] for x in drawn) and len(drawn[0]) == len(a)
+
+
 def test_edge_rows(make, edge_rows):
     mail = "x@y.example.com"
     extra = [(None, mail, "en", "s"), (50, mail, "en", "s"), (50, mail, "en", "s")]
