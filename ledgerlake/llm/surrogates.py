@@ -2,7 +2,8 @@
 
 1. Detect: one regex finds e-mail addresses, IPv4 addresses, IBANs, social
    security numbers, phone numbers, payment card numbers and names of persons
-   (after a title, or a known given name before a surname) in the whole text.
+   (after a title, or a known given name before a surname; the whole run of
+   capitalised words, the last one the surname) in the whole text.
    Only texts that could hold any are read by Python.
 2. Entities: the distinct (kind, canonical form) pairs of the corpus. Letter
    case, separators and titles are no part of the canonical form, phone
@@ -57,7 +58,14 @@ GIVEN = {
 TITLE_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 GIVEN_GENDER = {n.lower(): g for g, ns in GIVEN.items() for n in ns}
 
-_WORD = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][a-zß-öø-ÿа-яёα-ωά-ώ]+(?:[-'’][A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+)?"
+_UPPER, _LOWER = "[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ]", "[a-zß-öø-ÿа-яёα-ωά-ώ]"
+_PART = rf"{_UPPER}{_LOWER}+(?:{_UPPER}{_LOWER}+)*"        # McDonald
+_WORD = rf"(?:{_UPPER}['’])?{_PART}(?:[-'’]{_PART})*"
+#: Particles before a surname stay as they are. Articles that open a German
+#: noun (der, den, das) count only behind another particle.
+_PARTICLE = (r"(?:(?:van|von|vom|op|in)(?: (?:de[rnm]?|het|und zu))|van|von|vom|de (?:la|las|los|le)"
+             r"|de|del|della|di|da|do|dos|du|ter|bin|ibn)")
+_NAME = rf"(?:{_PARTICLE} )?(?:[dl]['’])?{_WORD}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 PATTERNS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
@@ -67,9 +75,10 @@ PATTERNS = [
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
               r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"),
     ("card", r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"),
-    ("name", rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLE_GENDER, key=len, reverse=True))})\.? (?P<after>{_WORD}(?: {_WORD}){{0,2}})"
-             rf"|(?P<given>{'|'.join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))}) (?P<sur>{_WORD}))(?!\w)"),
+    ("name", rf"(?<!\w)(?:(?P<title>{'|'.join(sorted(TITLE_GENDER, key=len, reverse=True))})\.? (?P<after>{_NAME}(?: {_NAME})*)"
+             rf"|(?P<given>{'|'.join(sorted((n for ns in GIVEN.values() for n in ns), key=len, reverse=True))}) (?P<sur>{_NAME}(?: {_NAME})*))(?!\w)"),
 ]
+NAME_WORD = re.compile(_WORD)
 PII = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS))
 def _one_of(words: list[str]) -> str:
     """Regex of a word list, branching letter by letter."""
@@ -137,10 +146,9 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                      else re.sub(r"[^0-9A-Z]", "", s))
             out.append((m.start(), m.end(), kind, canon))
             continue
-        group = "after" if m.group("title") else None
-        words = [(w.start() + m.start(group or "given"), w.group()) for w in re.finditer(
-            r"\S+", m.group("after") if group else text[m.start("given"):m.end("sur")])]
-        gender = TITLE_GENDER.get(m.group("title") or "", "n")
+        words = [(w.start(), w.group()) for w in NAME_WORD.finditer(
+            text, m.start("after" if m.group("title") else "given"), m.end())]
+        gender = TITLE_GENDER[m.group("title")] if m.group("title") else GIVEN_GENDER[m.group("given").lower()]
         for i, (at, w) in enumerate(words):
             given = len(words) > 1 and i < len(words) - 1
             g = GIVEN_GENDER.get(w.lower(), gender)

@@ -104,6 +104,28 @@ def test_iban_check_digits_stay_valid():
         assert all(x[:2] == a[:2] for x in drawn) and len(drawn[0]) == len(a)
 
 
+def test_names_of_any_number_of_words(make):
+    names = {
+        "John Michael Smith": "John Michael Smith", "Mary Ann Johnson": "Mary Ann Johnson",
+        "Mr Juan Carlos Garcia Lopez": "Juan Carlos Garcia Lopez", "Herr von der Leyen": "Leyen",
+        "Dr. Anna Maria Luisa van Beethoven": "Anna Maria Luisa Beethoven", "María de la Cruz Romero": "María Cruz Romero",
+        "John Paul George Richard Thomas Peter O'Brien": "John Paul George Richard Thomas Peter O'Brien",
+        "Mary Ann McDonald": "Mary Ann McDonald", "Jean d'Arcy": "Jean Arcy",
+    }
+    for t, words in names.items():
+        found = S.mentions(f"so {t}, then")
+        assert [f"so {t}, then"[a:b] for a, b, *_ in found] == words.split(), t
+        assert [k.partition(":")[0] for _, _, k, _ in found] == ["given"] * (len(found) - 1) + ["surname"], t
+    assert [k for _, _, k, _ in S.mentions("Mary Ann Johnson")] == ["given:f", "given:f", "surname"]
+    assert S.mentions("Peter der Hund") == S.mentions("Klaus das Buch") == []
+    got = {r["doc_id"]: r["text"] for r in run(make, [*names, "John Smith", "Mr Smith"]).collect()}
+    for i, words in enumerate(names.values()):
+        assert not set(words.split()) & set(re.findall(r"[\w']+", got[i]))
+    john, michael, smith = got[0].split()
+    assert got[9].split() == [john, smith] and got[10].split() == ["Mr", smith]
+    assert got[3].startswith("Herr von der ") and " van " in got[4] and " de la " in got[5] and " d'" in got[8]
+
+
 def test_edge_rows(make, edge_rows):
     mail = "x@y.example.com"
     extra = [(None, mail, "en", "s"), (50, mail, "en", "s"), (50, mail, "en", "s")]
