@@ -6,7 +6,7 @@ batch id, commit marker last), so a replayed epoch rewrites the same
 partitions and never duplicates rows. Stateful pieces use Spark state:
 streaming aggregation for running totals, ``dropDuplicatesWithinWatermark``
 for de-duplication and ``applyInPandasWithState`` for first-event-anchored
-rate windows, with event-time expiry.
+rate windows; their state expires by the watermark, their rows do not.
 """
 
 from __future__ import annotations
@@ -333,7 +333,13 @@ def rate_cap(stream: DataFrame, key: str, ts: str, limit: int, window_seconds: i
     after the previous one ends). All events of a key in a micro-batch are
     ordered by (time, id) before they are counted. State per key is (window
     start, count); it is dropped once the watermark passes the window's end,
-    so state holds only keys seen within the watermark."""
+    so state holds only keys seen within the watermark.
+
+    Every event comes out, however late. Spark drops rows whose watermarked
+    time is behind the watermark, so that time is on a copy of the row, which
+    goes once the watermark has seen it, and null on the row that is counted.
+    An event behind the watermark whose key's state is gone opens a window of
+    its own; ``late`` marks all events behind the watermark."""
     width = window_seconds * 1_000_000
     source, et = event_time(stream, ts)
 
@@ -341,20 +347,25 @@ def rate_cap(stream: DataFrame, key: str, ts: str, limit: int, window_seconds: i
         if state.hasTimedOut:
             state.remove()
             return
+        seen_ms = state.getCurrentWatermarkMs()
         start, count = state.get if state.exists else (None, 0)
         pdf = pd.concat(list(pdfs)).sort_values([ts, id_col])
         micros = pdf[ts].astype("datetime64[us]").astype("int64").to_numpy()
         flags, start, count = capped(micros, start, count, limit, width)
         state.update((start, count))
         end_ms = (start + width) // 1000
-        state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-        yield pdf.assign(rate_limited=flags)[[key, id_col, ts, "rate_limited"]]
+        state.setTimeoutTimestamp(max(end_ms, seen_ms + 1))
+        yield pdf.assign(rate_limited=flags, late=micros < seen_ms * 1000)[[key, id_col, ts, "rate_limited", "late"]]
 
     key_type = stream.schema[key].dataType.simpleString()
     id_type = stream.schema[id_col].dataType.simpleString()
     ts_type = stream.schema[ts].dataType.simpleString()
-    return source.withWatermark(et, watermark).groupBy(key).applyInPandasWithState(
-        fn, f"{key} {key_type}, {id_col} {id_type}, {ts} {ts_type}, rate_limited boolean",
+    at = F.col(et).cast("timestamp")
+    none = F.lit(None).cast("timestamp")
+    counted = (source.withColumn("_watermarked", F.explode(F.when(at.isNotNull(), F.array(none, at)).otherwise(F.array(none))))
+               .withWatermark("_watermarked", watermark).where(F.col("_watermarked").isNull()))
+    return counted.groupBy(key).applyInPandasWithState(
+        fn, f"{key} {key_type}, {id_col} {id_type}, {ts} {ts_type}, rate_limited boolean, late boolean",
         "start long, count long", "append", GroupStateTimeout.EventTimeTimeout)
 
 

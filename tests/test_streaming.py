@@ -211,6 +211,29 @@ def test_rate_cap_state_carries_across_batches(spark, tmp):
     assert flags == {"a0": False, "a1": False, "a2": False, "b0": True, "b1": False}
 
 
+def test_rate_cap_keeps_rows_behind_the_watermark(spark, tmp):
+    """Newest first over several micro-batches, and one key with a fast clock."""
+    src = os.path.join(tmp, "rate3")
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "key string, id string, ts timestamp_ntz"
+    want = {}
+    for n, hours in enumerate([[900], [12], [9], [3], [0]]):
+        rows = [("fast" if h == 900 else "k", f"{h}-{i}", t0 + dt.timedelta(hours=h, seconds=i)) for h in hours for i in range(5)]
+        want |= {i: h != 900 for (_, i, _), h in zip(rows, [h for h in hours for _ in range(5)])}
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        for f in os.listdir(src):
+            if f.startswith("part-") and not os.path.exists(os.path.join(src, f"_seen{f}")):
+                open(os.path.join(src, f"_seen{f}"), "w").close()
+                os.utime(os.path.join(src, f), (1_700_000_000 + 60 * n,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (T.rate_cap(stream, "key", "ts", limit=3, window_seconds=60).writeStream
+         .format("memory").queryName("rate_t3").outputMode("append").trigger(availableNow=True).start())
+    assert q.awaitTermination(100)
+    got = spark.table("rate_t3").collect()
+    assert sorted(r["id"] for r in got) == sorted(want)
+    assert {r["id"]: r["late"] for r in got} == want
+
+
 def test_network_metrics_stream_rerun_does_not_duplicate(spark, tmp):
     t0 = dt.datetime(2024, 1, 1)
     tx = spark.createDataFrame([(str(i), t0 + dt.timedelta(minutes=7 * i), f"a{i % 3}", True, 5)
