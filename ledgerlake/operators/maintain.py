@@ -63,8 +63,10 @@ def load_backfill(spark: SparkSession, raw_ledgers: DataFrame, raw_tx: DataFrame
                   root: str, start: int, end: int, batch: int = 1000) -> DataFrame:
     """M2 with its writes: the landed records of every processed sequence are
     curated (P1-P4), added to the tables ledger, transaction, operation and
-    payment under ``root`` (S5, so a rerun adds nothing), and last the
-    progress log is marked. Returns the status frame, kept under
+    payment under ``root`` (S5, so a rerun adds nothing), the records that fail
+    validation to the quarantine tables of T1, and last the progress log is
+    marked. Operations of a transaction without a valid copy are quarantined
+    with it; equal records with equal errors are one quarantine row. Returns the status frame, kept under
     ``root/backfill_runs``."""
     from ledgerlake.operators import project as P
     from ledgerlake.operators.quality import split_valid
@@ -76,15 +78,23 @@ def load_backfill(spark: SparkSession, raw_ledgers: DataFrame, raw_tx: DataFrame
     run_backfill(raw_ledgers, processed, start, end, batch).write.parquet(run)
     status = spark.read.parquet(run)
     todo = status.where("status = 'processed'").select("sequence")
-    ledgers, _ = split_valid(raw_ledgers.join(todo, "sequence", "left_semi"), "ledger")
-    txs, _ = split_valid(raw_tx.join(todo.withColumnRenamed("sequence", "ledger"), "ledger", "left_semi")
-                         .select(*raw_tx.columns), "transaction")
+    ledgers, bad_ledgers = split_valid(raw_ledgers.join(todo, "sequence", "left_semi"), "ledger")
+    landed = raw_tx.join(todo.withColumnRenamed("sequence", "ledger"), "ledger", "left_semi").select(*raw_tx.columns)
+    txs, bad_txs = split_valid(landed, "transaction")
     mine = txs.select(F.col("hash").alias("transaction_hash"))
-    ops, _ = split_valid(raw_ops.join(mine, "transaction_hash", "left_semi").select(*raw_ops.columns), "operation")
+    refused = landed.select(F.col("hash").alias("transaction_hash")).join(mine, "transaction_hash", "left_anti")
+    ops, bad_ops = split_valid(raw_ops.join(mine, "transaction_hash", "left_semi").select(*raw_ops.columns), "operation")
+    orphans = raw_ops.join(refused, "transaction_hash", "left_semi").select(
+        F.monotonically_increasing_id().alias("position"), F.lit("transaction: rejected").alias("error"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw_ops.columns])).alias("raw"))
+    bad = ("raw", "error")
     for name, frame, key in (("ledger", curate("ledger", ledgers), "sequence"),
                              ("transaction", curate("transaction", txs), "hash"),
                              ("operation", curate("operation", ops), "id"),
                              ("payment", P.normalize_payments(ops), "id"),
+                             ("ledger_invalid", bad_ledgers.drop("errors"), bad),
+                             ("transaction_invalid", bad_txs.drop("errors"), bad),
+                             ("operation_invalid", bad_ops.drop("errors").unionByName(orphans), bad),
                              ("processed_ledgers", idempotent_marks(ledgers, processed), "sequence")):
         sinks.insert_ignore_table(spark, f"{root}/{name}", frame, key)
     return status

@@ -124,6 +124,27 @@ def test_backfill_loads_and_marks(spark, tmp):
     assert spark.read.parquet(f"{root}/processed_ledgers").count() == 3
 
 
+def test_backfill_quarantines_malformed_children(spark, tmp):
+    from tests.test_quality import VALID_OP
+    root = os.path.join(tmp, "root")
+    led = frame(spark, S.RAW_LEDGER, [{**VALID_LEDGER, "sequence": 100}])
+    good, bad = "a" * 64, "short"
+    tx = frame(spark, S.RAW_TRANSACTION, [{**VALID_TX, "id": "t1", "hash": good, "ledger": 100},
+                                          {**VALID_TX, "id": "t2", "hash": bad, "ledger": 100},
+                                          {**VALID_TX, "id": "t3", "hash": "b", "ledger": 300}])
+    ops = frame(spark, S.RAW_OPERATION, [{**VALID_OP, "id": "o1", "transaction_hash": good},
+                                         {**VALID_OP, "id": "o2", "transaction_hash": good, "source_account": "bad"},
+                                         {**VALID_OP, "id": "o3", "transaction_hash": bad},
+                                         {**VALID_OP, "id": "o4", "transaction_hash": "b"}])
+    for _ in range(2):                # a rerun adds nothing
+        M.load_backfill(spark, led, tx, ops, root, 100, 100)
+        ids = {n: sorted(json.loads(r["raw"])["id"] for r in spark.read.parquet(f"{root}/{n}_invalid").collect())
+               for n in ("transaction", "operation")}
+        assert ids == {"transaction": ["t2"], "operation": ["o2", "o3"]}
+        assert [r["id"] for r in spark.read.parquet(f"{root}/operation").collect()] == ["o1"]
+        assert spark.read.parquet(f"{root}/processed_ledgers").count() == 1
+
+
 def test_issuer_and_inner_signatures_are_checked(spark):
     op = {"id": "1", "type": "payment", "asset_issuer": "NOT_AN_ADDRESS", "asset_type": "credit_alphanum4"}
     errs = Q.validate(frame(spark, S.RAW_OPERATION, [op]), "operation").first()["errors"]
