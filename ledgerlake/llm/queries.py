@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import ann, decontam, langid, mixing, neardup, secrets, sharding, surrogates, urlrep, warc
+from . import (alignment, ann, decontam, langid, lexical, mixing, neardup, packing, secrets, sharding, surrogates,
+               urlrep, warc)
 
 QUERIES = {
     "op1_surrogates": surrogates.op1_surrogates,
@@ -15,6 +16,9 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_host_reputation": urlrep.op9_host_reputation,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_packing": packing.op12_packing,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
@@ -22,4 +26,5 @@ ORACLE_SQL = {
     "op7_secrets": secrets.ORACLE,
     "op8_decontamination": decontam.ORACLE,
     "op9_host_reputation": urlrep.oracle(),
+    "op11_lexical": lexical.ORACLE,
 }

@@ -16,6 +16,9 @@ COLUMNS = {
     "op8": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op9": ["page_id", "host", "path", "rule", "verdict"],
     "op10": ["query_id", "rank", "vec_id", "score"],
+    "op11": ["item_id", "rank", "doc_id", "score"],
+    "op12": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op13": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
@@ -28,7 +31,7 @@ def test_registered_with_the_contracts_columns(spark):
     found = e.queries()
     assert "pipeline" in found and set(queries.QUERIES) <= set(found)
     assert {n.split("_")[0] for n in queries.QUERIES} == set(COLUMNS)
-    for name in ("op3_sharding", "op4_mixing", "op6_warc", "op7_secrets", "op8_decontamination", "op9_host_reputation"):
+    for name in ("op11_lexical", "op12_packing", "op13_alignment", "op3_sharding", "op4_mixing", "op6_warc", "op7_secrets", "op8_decontamination", "op9_host_reputation"):
         df = found[name](spark, SF_SMALL)
         want = COLUMNS[name.split("_")[0]]
         assert df.columns[:len(want)] == want, name
