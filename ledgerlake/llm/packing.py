@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -57,7 +58,7 @@ SLACK = (8, 24)
 #: Rounds of a task, on average.
 ROUNDS = 8
 #: Words that a worker remembers the ids of, and their length at most.
-MEMO_WORDS, MEMO_LENGTH = 400_000, 64
+MEMO_WORDS, MEMO_LENGTH = 300_000, 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -70,13 +71,16 @@ class WordIds:
 
     Words of Latin letters are tokenized in lower case (the tokenizer lowers
     them itself) and without a comma or full stop at their end, which is a
-    token apart. Learning more than ``MEMO_WORDS`` starts the memory anew.
+    token apart. Past ``MEMO_WORDS`` words a new memory is begun, which takes
+    over from the older one what is met again.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.ends = {x: self._apart([x])[x] for x in ".,"}
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)    # ids that end a word
         for token, i in self.tokenizer.get_vocab().items():
@@ -120,12 +124,14 @@ class WordIds:
 
     def __call__(self, text_list: list[str]) -> Iterator[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in text_list]
-        memo = self.memo
-        seen = set().union(*split)
+        memo, seen = self.memo, set().union(*split)
         new = seen.difference(memo)
         if len(memo) + len(new) > MEMO_WORDS:
-            memo = self.memo = {"": b""}
-            new = seen.difference(memo)
+            self.older, self.memo = memo, {"": b""}
+            memo, new = self.memo, seen
+        for w in new.intersection(self.older):
+            memo[w] = self.older[w]
+        new = new.difference(memo)
         memo.update(self._learn(list(new)))
         for words in split:
             yield np.frombuffer(b"".join(map(memo.__getitem__, words)), dtype="<u4")
