@@ -17,6 +17,7 @@ from ledgerlake.operators import windows as W
 from ledgerlake.sources import raw as SRC
 from ledgerlake.sources import sinks as SNK
 from ledgerlake.streaming import jobs as T
+from ledgerlake.streaming import rolling as R
 
 OPERATORS = {
     # sources and sinks
@@ -71,7 +72,7 @@ OPERATORS = {
     "Q7": Q.constraint_report,
     # streaming
     "T1": T.ingest_ledger_units, "T2": T.drop_late, "T3": T.idempotent_marks, "T4": T.incremental_poll,
-    "T5": T.route_channels, "T6": T.subscribe, "T7": T.live_totals, "T8": T.network_metrics_stream,
+    "T5": T.route_channels, "T6": T.subscribe, "T7": T.live_totals, "T8": R.rolling_network_metrics,
     "T9": T.batch_summary, "T10": T.dedupe_stream, "T11": T.rate_cap, "T12": T.dead_letters,
     "T13": T.ready_for_retry,
     # maintenance

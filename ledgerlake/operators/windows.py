@@ -129,11 +129,24 @@ def network_metrics(led: DataFrame, tx: DataFrame, op: DataFrame, window_seconds
                             F.lit(0).cast("decimal(38,7)" if m == "c_vol" else "long")).alias(f"off_{m}")
                  for m in _MEASURES])
     at = kept.where(F.col("kind") == 1).join(F.broadcast(offsets), "pid")
-    signed = [F.sum(F.col("sign") * (F.col(f"off_{m}") + F.col(m))).alias(m)
+
+
+    def prefix(m: str) -> Column:
+        if m != "c_vol":
+            return F.col(f"off_{m}") + F.col(m)
+        # a sum or product of 38-digit decimals would drop the seventh decimal
+        return F.col(f"off_{m}").cast("decimal(37,7)") + F.col(m).cast("decimal(37,7)")
+
+    signed = [F.sum(F.when(F.col("sign") == 1, prefix(m)).otherwise(-prefix(m))).alias(m)
               for m in _MEASURES if m != "c_acct"]
     acct = F.sum(F.when(F.col("sign") == 1, F.col("off_c_acct") + F.col("c_acct"))).alias("c_acct")
     # every ledger has its two probes, so this yields one row per ledger
     out = at.groupBy("seq").agg(F.max("close").alias("close"), *signed, acct)
+    return hour_metrics(out)
+
+
+def hour_metrics(out: DataFrame) -> DataFrame:
+    """Metric rows from (seq, close) and the sums over its window."""
     zero_l = F.lit(0).cast("long")
     return out.select(
         F.col("seq").alias("sequence"), F.col("close").alias("timestamp"),

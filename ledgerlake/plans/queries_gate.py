@@ -11,11 +11,12 @@ from ledgerlake.functions import scalar as E
 from ledgerlake.operators import filters as FL
 from ledgerlake.operators import joins as J
 from ledgerlake.operators import maintain as M
-from ledgerlake.plans.catalog import _t, cte, query
+from ledgerlake.plans.catalog import NETWORK_METRICS_SQL, _t, cte, query
 from ledgerlake.plans.queries_more import ACCOUNT_METRICS_SQL, _account_metrics, errors_sql
 from ledgerlake.session import ensure_checkpoint_dir
 from ledgerlake.sources import raw, sinks
 from ledgerlake.streaming import jobs as T
+from ledgerlake.streaming import rolling as R
 
 
 def _folder(spark, name: str) -> str:
@@ -169,3 +170,32 @@ def q_touch_updated(spark, sf):
 def q_preset_active(spark, sf):
     """F12 ``active``: accounts with a transaction in the last 30 days."""
     return FL.preset("active", _account_metrics(_t(spark, sf))).select("account_id")
+
+
+LIVE_LATENESS_HOURS, LIVE_SLICES = 6, 4
+
+
+@query("network_metrics_live", NETWORK_METRICS_SQL.replace(
+    "\nSELECT l.sequence, l.closed_at AS timestamp", "\n, nm AS (SELECT l.sequence, l.closed_at AS timestamp", 1)
+    + f""")
+SELECT * FROM nm WHERE timestamp <= (
+  SELECT greatest((SELECT max(closed_at) FROM ledgers_events), (SELECT max(created_at) FROM tx_events),
+                  (SELECT max(created_at) FROM op_events)) - INTERVAL {LIVE_LATENESS_HOURS} HOUR)""")
+def q_network_metrics_live(spark, sf):
+    """All events landed in slices of time, each row up to six hours late,
+    and streamed through the trailing-hour state; ledgers come out once the
+    watermark has passed them."""
+    t = _t(spark, sf)
+    path, out = _folder(spark, "events"), _folder(spark, "live")
+    events = R.hour_events(t.ledgers_events, t.tx_events, t.op_events, buckets=8)
+    late_us = LIVE_LATENESS_HOURS * 3_600_000_000
+    span = events.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()      # one row
+    wide = -(-(span["hi"] - span["lo"] + late_us + 1) // LIVE_SLICES)
+    late = F.pmod(F.xxhash64("t", "account", "bucket"), F.lit(late_us))
+    for k in range(LIVE_SLICES):             # files are streamed in the order in which they were written
+        part = events.where(F.floor((F.col("t") - F.lit(span["lo"]) + late) / F.lit(wide)) == k)
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    R.rolling_network_metrics(spark, stream, out, _folder(spark, "offsets"),
+                              f"{LIVE_LATENESS_HOURS} hours").awaitTermination()
+    return spark.read.parquet(out)
