@@ -26,6 +26,7 @@ from pyspark.sql.types import TimestampNTZType
 
 from ledgerlake import schemas as S
 from ledgerlake.operators.common import ntz_lit
+from ledgerlake.sources import key_index as keyed
 
 
 def _keys(key) -> list[str]:
@@ -179,21 +180,35 @@ def key_range_cut(target: DataFrame, batch: DataFrame, key) -> DataFrame:
 
 
 def insert_ignore_table(spark: SparkSession, path: str, batch: DataFrame, key,
-                        partition_by: list[str] | None = None) -> int:
-    """S5 end to end: append only unseen keys; returns rows appended. Only
-    the target's slice within the batch's key ranges is read. An empty
-    batch writes nothing."""
+                        partition_by: list[str] | None = None, key_index: bool = False) -> int:
+    """S5 end to end: append only unseen keys; returns rows appended. An empty
+    batch writes nothing.
+
+    Of the target only the slice within the batch's key ranges is read, which
+    suits keys that grow (sequences, times). For hash keys pass ``key_index``:
+    the files that may hold a key of the batch are then found in the index
+    beside the table (:mod:`ledgerlake.sources.key_index`), and new files are
+    added to it after the append."""
     if not batch.take(1):
         return 0
     target = read_table(spark, path)
-    rows = (dedupe_batch(batch, key) if target is None
-            else insert_ignore(key_range_cut(target, batch, key), batch, key))
+    if target is None:
+        rows = dedupe_batch(batch, key)
+    elif key_index:
+        seen = keyed.stored(spark, path, keyed.candidate_files(spark, path, batch, _keys(key), _exists), _keys(key))
+        rows = dedupe_batch(batch, key) if seen is None else insert_ignore(seen, batch, key)
+    else:
+        rows = insert_ignore(key_range_cut(target, batch, key), batch, key)
     obs = Observation("insert_ignore")
     rows = rows.observe(obs, F.count(F.lit(1)).alias("n"))
     w = rows.write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    if key_index:
+        known = keyed.known_files(spark, path, _exists)
+        keyed.add_files(spark, path, [f for f in spark.read.parquet(path).inputFiles()
+                                     if keyed.file_name(f) not in known], _keys(key))
     return int(obs.get["n"])
 
 
