@@ -10,9 +10,11 @@ itself (a list of requested keys, a constant lookup table).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.session import ensure_checkpoint_dir
+
 
 #: Keys of a lookup that are broadcast; a longer request is shuffled.
 BROADCAST_KEYS = 1_000_000
@@ -33,13 +35,70 @@ def operations_for_ledgers(op: DataFrame, tx: DataFrame, sequences=None) -> Data
     return op.join(t, "transaction_hash", "inner")
 
 
+# J2 / J3, flat ----------------------------------------------------------------
+def ordinals(child: DataFrame, key: str, order: list[str], out: str = "ordinal",
+             partitions: int | None = None, part: str | None = None) -> DataFrame:
+    """Number the rows of each ``key`` 0, 1, ... by ``order`` (then by all other
+    columns), without gathering a key's rows anywhere.
+
+    Rows are range-partitioned by (key, order): sampled bounds cut a key that
+    holds a large share of all rows into many partitions. Rows are numbered
+    inside each (partition, key); what the earlier partitions hold of a key is
+    added. Only keys that cross a bound have such an offset, so the table of
+    offsets has fewer rows than there are partitions and is broadcast. The
+    partitioned rows are checkpointed, so that numbers and offsets come from
+    one execution. Rows without a key are left out. ``part`` keeps the number
+    of the partition under that name."""
+    spark = child.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by = [key, *order, *[c for c in child.columns if c not in (key, *order)]]
+    rows = (child.where(F.col(key).isNotNull()).repartitionByRange(n, *[F.col(c) for c in by])
+            .withColumn("_part", F.spark_partition_id()))
+    ensure_checkpoint_dir(spark)
+    rows = rows.checkpoint(eager=True)
+    counts = rows.groupBy(key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    crossing = counts.groupBy(F.col(key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_parts"), F.min("_part").alias("_first")).where("_parts > 1")
+    several = counts.join(crossing, F.col(key) == F.col("_key"), "left_semi")
+    before = (several.select(F.col(key).alias("_key"), F.col("_part").alias("_in"), (F.sum("_n").over(
+        Window.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before")).where("_before > 0"))
+    inside = F.row_number().over(Window.partitionBy("_part", key).orderBy(*by[1:])) - 1
+    numbered = rows.withColumn("_inside", inside).join(
+        F.broadcast(before), (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_in")), "left")
+    number = (F.col("_inside") + F.coalesce("_before", F.lit(0))).cast("long").alias(out)
+    return numbered.select(key, number, *by[1:], *([F.col("_part").alias(part)] if part else []))
+
+
+def operations_flat(tx: DataFrame, op: DataFrame,
+                    fields=("operation_index", "id", "type", "source_account", "created_at", "details")) -> DataFrame:
+    """J2 as rows (hash, ordinal, operation fields): the operations of each
+    transaction in index order, for groups of any size. Operations without
+    their transaction are left out, transactions without operations give no
+    row."""
+    kids = op.select(F.col("transaction_hash").alias("hash"), *fields)
+    return ordinals(kids.join(tx.select("hash").distinct(), "hash", "left_semi"), "hash", ["operation_index", "id"])
+
+
+def transactions_flat(led: DataFrame, tx: DataFrame,
+                      fields=("created_at", "id", "hash", "source_account", "successful", "fee_charged")) -> DataFrame:
+    """J3 as rows (sequence, ordinal, transaction fields)."""
+    kids = tx.select(F.col("ledger_sequence").alias("sequence"), *fields)
+    return ordinals(kids.join(led.select("sequence").distinct(), "sequence", "left_semi"), "sequence",
+                    ["created_at", "id"])
+
+
 # J2 -------------------------------------------------------------------------
 def _nest(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,
-          fields: list[str], order: list[str], out: str) -> DataFrame:
+          fields: list[str], order: list[str], out: str, most: int | None = None) -> DataFrame:
     """Children grouped under each parent as an ordered array (empty when
-    none). A group is one transaction's operations or one ledger's
-    transactions, both bounded by the ledger protocol's per-transaction and
-    per-ledger limits, so no group grows with the table."""
+    none). An array is one transaction's operations or one ledger's
+    transactions; where the ledger's own limits do not bound them, pass
+    ``most``: the largest group is then counted first and an error names the
+    flat form (:func:`ordinals`) if it holds more."""
+    if most is not None:
+        largest = child.groupBy(child_key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if largest and largest > most:
+            raise ValueError(f"{largest} rows of one {child_key}, more than {most}: use the flat form")
     kids = child.groupBy(F.col(child_key).alias("_k")).agg(
         F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order + [
             f for f in fields if f not in order]])))
@@ -51,19 +110,19 @@ def _nest(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,
 
 def with_operations(tx: DataFrame, op: DataFrame,
                     fields=("operation_index", "id", "type", "source_account", "created_at",
-                            "details")) -> DataFrame:
+                            "details"), most: int | None = None) -> DataFrame:
     """Each transaction with its operations ordered by index (then by all
     other fields, so duplicates order deterministically)."""
     return _nest(tx, op, "hash", "transaction_hash", list(fields), ["operation_index", "id"],
-                 "operations")
+                 "operations", most)
 
 
 # J3 -------------------------------------------------------------------------
 def with_transactions(led: DataFrame, tx: DataFrame,
                       fields=("created_at", "id", "hash", "source_account", "successful",
-                              "fee_charged")) -> DataFrame:
+                              "fee_charged"), most: int | None = None) -> DataFrame:
     return _nest(led, tx, "sequence", "ledger_sequence", list(fields), ["created_at", "id"],
-                 "transactions")
+                 "transactions", most)
 
 
 # J4 -------------------------------------------------------------------------

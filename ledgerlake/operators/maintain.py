@@ -165,8 +165,9 @@ def apply_retention(spark: SparkSession, table_path: str, archive_path: str, ts:
        (insert-ignore), so a rerun after a crash never duplicates them;
     2. the archive must then hold every expired key — otherwise nothing is
        dropped and an error is raised;
-    3. the kept rows are written to a staging folder and swapped in as the
-       live table by renames (never read and overwritten in one plan).
+    3. the kept rows are staged and put in the table's place
+       (:mod:`ledgerlake.sources.replace`: a run that stops between any two
+       steps is finished or taken back by the next).
 
     Nothing expired changes nothing, also before there is an archive. The
     staging folder is removed.
@@ -177,7 +178,8 @@ def apply_retention(spark: SparkSession, table_path: str, archive_path: str, ts:
     the boundary day is rewritten (dynamic partition overwrite), so the
     layout is kept and untouched days are never rewritten. Returns the
     counts."""
-    from ledgerlake.sources import sinks
+    from ledgerlake.sources import replace, sinks
+    replace.recover(spark, table_path)
     live = spark.read.parquet(table_path)
     t = as_of_column(live, ts, as_of)
     kept, expired = retention_split(live, ts, days, t)
@@ -196,58 +198,25 @@ def apply_retention(spark: SparkSession, table_path: str, archive_path: str, ts:
         if missing:
             raise RuntimeError(f"{missing} expired rows are not in the archive; live table left untouched")
         if partition_col is None:
-            kept.write.parquet(f"{scratch}/kept")
-            _swap(spark, f"{scratch}/kept", table_path)
+            staged = replace.staging(table_path)
+            kept.write.parquet(staged)
+            replace.swap(spark, table_path, staged)
         else:
             # days holding expired rows are either wholly expired (dropped) or
             # the boundary day (rewritten with its kept rows)
             touched = expired.select(partition_col).distinct()
             boundary = kept.join(touched, partition_col, "left_semi")
-            boundary.write.partitionBy(partition_col).parquet(f"{scratch}/kept")
-            staged = spark.read.schema(live.schema).parquet(f"{scratch}/kept")
-            drop_days = [r[0] for r in touched.join(staged.select(partition_col).distinct(),
-                                                    partition_col, "left_anti").collect()]
-            if staged.take(1):
-                (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                 .partitionBy(partition_col).parquet(table_path))
-            _drop_partitions(spark, table_path, partition_col, drop_days)
+            folder = replace.staging(table_path)
+            boundary.write.partitionBy(partition_col).parquet(folder)
+            staged = spark.read.schema(live.schema).parquet(folder)
+            # one entry for each expired day
+            drop_days = [f"{partition_col}={r[0]}" for r in touched.join(
+                staged.select(partition_col).distinct(), partition_col, "left_anti").collect()]
+            replace.overwrite(spark, table_path, folder, [partition_col], drop_days, empty=not staged.take(1))
         spark.catalog.refreshByPath(table_path)
         return {"archived": appended, "expired": expired_n, "kept": spark.read.parquet(table_path).count()}
     finally:
-        _delete(spark, scratch)
-
-
-def _path(spark: SparkSession, name: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _delete(spark: SparkSession, name: str) -> None:
-    fs, p = _path(spark, name)
-    fs.delete(p, True)
-
-
-def _swap(spark: SparkSession, new: str, table_path: str) -> None:
-    """Put the folder ``new`` in the table's place by two renames. A crash in
-    between leaves the old table whole under ``<table>_before``, and the next
-    call restores nothing by itself: no row is ever only in memory."""
-    before = f"{table_path.rstrip('/')}_before"
-    _delete(spark, before)
-    fs, live = _path(spark, table_path)
-    if not fs.rename(live, _path(spark, before)[1]) or not fs.rename(_path(spark, new)[1], live):
-        raise RuntimeError(f"could not swap {new} in for {table_path}; the old table is {before}")
-    _delete(spark, before)
-
-
-def _drop_partitions(spark: SparkSession, table_path: str, col: str, values) -> None:
-    """Delete whole partition folders (``col=value``) of a table. Only used
-    after their rows are verified in the archive. The list holds one entry
-    per expired day, bounded by the time span."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for v in values:
-        p = jvm.org.apache.hadoop.fs.Path(f"{table_path.rstrip('/')}/{col}={v}")
-        p.getFileSystem(conf).delete(p, True)
+        replace.delete(spark, scratch)
 
 
 def retention_policy(spark: SparkSession) -> DataFrame:

@@ -212,3 +212,57 @@ def q_insert_ignore_transactions(spark, sf):
     for k in range(4):
         sinks.insert_ignore_table(spark, path, tx.where(part.between(k, k + 2)), "hash", key_index=True)
     return spark.read.parquet(path)
+
+
+@query("operations_flat", cte("tx_orders", "op_lineitem") + """
+SELECT o.transaction_hash AS hash, row_number() OVER (
+         PARTITION BY o.transaction_hash ORDER BY o.operation_index, o.id, o.type) - 1 AS ordinal, o.id, o.type
+FROM op_lineitem o WHERE EXISTS (SELECT 1 FROM tx_orders t WHERE t.hash = o.transaction_hash)""")
+def q_operations_flat(spark, sf):
+    """J2 flat: (transaction, ordinal, operation) rows."""
+    t = _t(spark, sf)
+    out = J.operations_flat(t.tx_orders, t.op_lineitem, fields=("operation_index", "id", "type"))
+    return out.select("hash", "ordinal", "id", "type")
+
+
+@query("transactions_flat", cte("ledgers_orders", "tx_orders") + """
+SELECT t.ledger_sequence AS sequence, row_number() OVER (
+         PARTITION BY t.ledger_sequence ORDER BY t.created_at, t.id) - 1 AS ordinal, t.id, t.hash
+FROM tx_orders t WHERE EXISTS (SELECT 1 FROM ledgers_orders l WHERE l.sequence = t.ledger_sequence)""")
+def q_transactions_flat(spark, sf):
+    """J3 flat: (ledger, ordinal, transaction) rows."""
+    t = _t(spark, sf)
+    return J.transactions_flat(t.ledgers_orders, t.tx_orders).select("sequence", "ordinal", "id", "hash")
+
+
+@query("retained_transactions", cte("tx_orders") + """
+SELECT id, hash, created_at, CASE WHEN created_at < (SELECT max(created_at) FROM tx_orders) - INTERVAL 365 DAY
+                                  THEN 'archive' ELSE 'live' END AS stored_in
+FROM tx_orders""")
+def q_retained_transactions(spark, sf):
+    """M6 with its writes: the transactions as a table partitioned by month,
+    everything older than a year archived, verified and dropped; what the
+    live table and the archive hold then."""
+    root = _folder(spark, "retention")
+    tx = _t(spark, sf).tx_orders.select("id", "hash", "created_at",
+                                        F.date_format("created_at", "yyyy-MM").alias("month"))
+    tx.write.partitionBy("month").parquet(f"{root}/live")
+    M.apply_retention(spark, f"{root}/live", f"{root}/archive", "created_at", 365, "id", partition_col="month")
+    live, archive = (spark.read.parquet(f"{root}/{x}").select("id", "hash", "created_at", F.lit(x).alias("stored_in"))
+                     for x in ("live", "archive"))
+    return live.unionByName(archive)
+
+
+@query("upserted_across_partitions", cte("tx_orders") + """
+SELECT id, CASE WHEN abs(fee_charged) % 3 = 0 THEN 'changed' ELSE 'first' END AS state, successful AS kept_in
+FROM tx_orders""")
+def q_upserted_across_partitions(spark, sf):
+    """S4 through staged replacement: a third of the rows come again with
+    another partition value and update their row where it is."""
+    path = _folder(spark, "upserted")
+    tx = _t(spark, sf).tx_orders.select("id", "fee_charged", F.lit("first").alias("state"), "successful")
+    sinks.upsert_table(spark, path, tx, "id", ["state"], partition_by=["successful"])
+    again = tx.where(F.abs("fee_charged") % 3 == 0).select(
+        "id", "fee_charged", F.lit("changed").alias("state"), (~F.col("successful")).alias("successful"))
+    sinks.upsert_table(spark, path, again, "id", ["state"], partition_by=["successful"], moving_keys=True)
+    return spark.read.parquet(path).select("id", "state", F.col("successful").cast("boolean").alias("kept_in"))

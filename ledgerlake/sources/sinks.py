@@ -7,8 +7,8 @@ Plain Parquet has no MERGE, so:
   — a full-outer / anti join on the key, planned and shuffled by Spark;
 * writing it never reads and overwrites the same files in one plan: the
   touched partitions are merged into a staging folder next to the table,
-  then swapped in with dynamic partition overwrite, so only partitions
-  that received rows are rewritten;
+  then put in with dynamic partition overwrite, so only partitions
+  that received rows are rewritten (``replace`` finishes what a crash left);
 * a multi-table unit of work (:func:`write_batch`) writes every child
   keyed by ``batch_id`` and appends the commit marker last; readers
   semi-join the marker (:func:`read_committed`), so a torn batch is
@@ -18,7 +18,6 @@ Plain Parquet has no MERGE, so:
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +26,7 @@ from pyspark.sql.types import TimestampNTZType
 from ledgerlake import schemas as S
 from ledgerlake.operators.common import ntz_lit
 from ledgerlake.sources import key_index as keyed
+from ledgerlake.sources import replace
 
 
 def _keys(key) -> list[str]:
@@ -123,27 +123,28 @@ def write_merged(spark: SparkSession, path: str, merged: DataFrame,
     """Replace the table's touched partitions by ``merged``.
 
     ``merged`` (already restricted to the touched partitions) is first
-    written to a staging folder, then moved in with dynamic partition
-    overwrite; unpartitioned tables are rewritten whole through staging."""
-    staging = f"{path.rstrip('/')}_staging/{uuid.uuid4().hex}"
-    w = merged.write.mode("overwrite")
+    written to a staging folder, then put in with dynamic partition overwrite;
+    unpartitioned tables are rewritten whole. A run that stops in between is
+    finished by the next one (:mod:`ledgerlake.sources.replace`)."""
+    staged = replace.staging(path)
+    w = merged.write
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(staging)
-    staged = spark.read.parquet(staging)
-    out = staged.write.mode("overwrite")
-    if partition_by:
-        out = out.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
-    out.parquet(path)
+    w.parquet(staged)
+    replace.overwrite(spark, path, staged, partition_by)
 
 
 def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, update_cols: list[str],
-                 partition_by: list[str] | None = None, ts=None, order: str | None = None) -> None:
+                 partition_by: list[str] | None = None, ts=None, order: str | None = None,
+                 moving_keys: bool = False) -> None:
     """S4 end to end: merge the batch into the touched partitions only.
-    Assumes a key's partition value never changes (true for event-time day
-    partitions: a record keeps its time). An empty batch is a no-op."""
+    An empty batch is a no-op. A record normally keeps its time and so its
+    day; with ``moving_keys`` the partitions that hold the batch's keys now
+    are looked up (a scan of the key columns) and merged too, so that a key
+    which comes with another partition value updates its row where it is."""
     if not batch.take(1):
         return
+    replace.recover(spark, path)
     target = read_table(spark, path)
     if target is None:
         first = dedupe_batch(batch, key, order)
@@ -155,6 +156,10 @@ def upsert_table(spark: SparkSession, path: str, batch: DataFrame, key, update_c
     scope = target
     if partition_by:
         parts = batch.select(*partition_by).distinct()
+        if moving_keys:
+            held = target.select(*dict.fromkeys([*_keys(key), *partition_by])).join(
+                batch.select(*_keys(key)).distinct(), _keys(key), "left_semi")
+            parts = parts.unionByName(held.select(*partition_by)).distinct()
         scope = target.join(parts, partition_by, "left_semi")
     merged = merge_upsert(scope, batch.select(*[c for c in batch.columns]), key, update_cols, ts, order)
     write_merged(spark, path, merged, partition_by)
@@ -191,6 +196,7 @@ def insert_ignore_table(spark: SparkSession, path: str, batch: DataFrame, key,
     added to it after the append."""
     if not batch.take(1):
         return 0
+    replace.recover(spark, path)
     target = read_table(spark, path)
     if target is None:
         rows = dedupe_batch(batch, key)
