@@ -12,20 +12,17 @@ few dozen KB per model and travel with the function.
 
 from __future__ import annotations
 
-import functools
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept, table, unit_hash
+from .langmodel import DIM, UND, Model, count_letters, featurize, predict_all
 
 #: Families of languages by code; a code that is not listed is its own family.
 FAMILIES = {
@@ -40,95 +37,11 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-DIM = 4096                # hashed features
 PER_LANGUAGE = 1000       # expected sample rows of a language
-UND = "und"
 #: A letter belongs to the learned alphabet from this share of all sampled letters.
 ALPHABET_SHARE = 1e-5
 
 
-@functools.cache
-def _is_letter() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-
-
-def _letters(text: str) -> np.ndarray:
-    """Code points of the folded text, each run of other characters one blank,
-    a blank at both ends."""
-    c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(_is_letter()[c], c, np.uint32(32))
-    gap = c == 32
-    return c[~(gap & np.roll(gap, 1)) | (np.arange(len(c)) == 0)]
-
-
-def features(c: np.ndarray) -> np.ndarray:
-    """Unit vector of the hashed bigrams and trigrams of the letters ``c``."""
-    c = c * np.uint32(0x9E3779B1)
-    two = (c[:-1] ^ (c[1:] >> np.uint32(7))) * np.uint32(0x85EBCA6B) + c[1:]
-    three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE35) + c[2:]
-    bits = np.uint32(32 - int(math.log2(DIM)))
-    n = np.zeros(DIM)
-    for h in (two, three):
-        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x27D4EB2F)
-        n += np.bincount((h >> bits).astype(np.int64), minlength=DIM)
-    n = np.sqrt(n)
-    return n / max(1e-12, float(np.linalg.norm(n)))
-
-
-@dataclass
-class Model:
-    """Fitted coefficients. ``families`` in the order of ``family_coef``;
-    ``pairs``: (language, language, coefficients, intercept), positive margins
-    for the first."""
-    families: list[str]
-    members: dict[str, list[str]]
-    family_coef: np.ndarray = field(default_factory=lambda: np.zeros((0, DIM)))
-    family_bias: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    pairs: list[tuple[str, str, np.ndarray, float]] = field(default_factory=list)
-    alphabet: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, score): the score is the family's probability, times the
-        winner's mean pairwise confidence, times the share of the text's
-        letters that the learned languages use."""
-        c = _letters(text) if text else np.zeros(0, np.uint32)
-        letters = c[c != 32]
-        if not len(letters) or not self.families:
-            return UND, 0.0
-        x = features(c)
-        z = self.family_coef @ x + self.family_bias
-        p = np.exp(z - z.max())
-        p /= p.sum()
-        best = int(p.argmax())
-        langs = self.members[self.families[best]]
-        votes = dict.fromkeys(langs, 0.0)
-        sure = dict.fromkeys(langs, 0.0)
-        for a, b, w, bias in self.pairs:
-            if a in votes and b in votes:
-                margin = float(w @ x) + bias
-                votes[a if margin > 0 else b] += 1
-                sure[a] += (q := 1 / (1 + math.exp(-max(-30.0, min(30.0, 3 * margin)))))
-                sure[b] += 1 - q
-        lang = max(langs, key=lambda v: (votes[v], sure[v], v))
-        trust = sure[lang] / (len(langs) - 1) if len(langs) > 1 else 1.0
-        known = float(np.isin(letters, self.alphabet).mean())
-        return lang, min(1.0, max(0.0, float(p[best]) * trust * known))
-
-
-def _featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        for at in range(0, len(b), 512):
-            part = b.iloc[at:at + 512]
-            yield pd.DataFrame({"lang": part["lang"], "x": [features(_letters(t)).astype(np.float32) for t in part["text"]]})
-
-
-def _count_letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            code, n = np.unique(np.concatenate([_letters(t) for t in b["text"]]), return_counts=True)
-            yield pd.DataFrame({"code": code.astype(np.int64), "n": n})
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = PER_LANGUAGE) -> Model:
     """Learn from the rows of ``docs`` that have id, text and language."""
@@ -139,7 +52,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return Model([], {})
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(per_language / n)) for lang, n in sorted(counts.items())])
     sample = kept(rows.where(F.col("u") < share).select("lang", "text").repartition(8, F.xxhash64("text")))
-    letters = (sample.select("text").mapInPandas(_count_letters, "code long, n long")
+    letters = (sample.select("text").mapInArrow(count_letters, "code long, n long")
                .groupBy("code").agg(F.sum("n").alias("n")).where("code <> 32").collect())   # a row per letter
     total = sum(r["n"] for r in letters)
     alphabet = np.array(sorted(r["code"] for r in letters if r["n"] >= ALPHABET_SHARE * total), np.uint32)
@@ -150,7 +63,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         members.setdefault(FAMILY_OF.get(lang.lower(), lang), []).append(lang)
     families = sorted(members)
     model = Model(families, members, np.zeros((len(families), DIM)), np.zeros(len(families)), [], alphabet)
-    rows = kept(sample.mapInPandas(_featurize, "lang string, x array<float>")).select(
+    rows = kept(sample.mapInArrow(featurize, "lang string, x array<float>")).select(
         "lang", array_to_vector("x").alias("features"))
     number = {lang: float(i) for i, f in enumerate(families) for lang in members[f]}
 
@@ -171,9 +84,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predicted(model: Model, text: Column) -> Column:
     """Struct (lang, score) from the whole text."""
-    @F.pandas_udf("lang string, score double")
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang", "score"])
+    @F.arrow_udf("lang string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
+        return predict_all(model, texts)
     return predict(text)
 
 
