@@ -43,3 +43,38 @@ def small_side(df: DataFrame, rows: int = 250_000) -> DataFrame:
     (narrow) rows; beyond that Spark joins it by a shuffle."""
     df = kept(df)
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Rows of a task that reads a kept frame of narrow rows.
+TASK_ROWS = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``kept``, and read by tasks of about ``TASK_ROWS`` rows (no fewer tasks
+    than cores): a small frame does not drag a large cluster's number of
+    shuffle partitions through the stages that follow. Joins broadcast it up
+    to the bound of ``small_side``."""
+    whole = kept(df)
+    rows = whole.count()
+    tasks = max(-(-rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    out = whole.coalesce(tasks)
+    out._ll_whole, out._ll_rows = whole, rows
+    return out
+
+
+def beside(frame: DataFrame, of: DataFrame, rows: int = 250_000) -> DataFrame:
+    """``frame``, made of the columns of the ``few`` frame ``of``, marked for
+    broadcast if that has at most ``rows`` (narrow) rows."""
+    return F.broadcast(frame) if of._ll_rows <= rows else frame
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the checkpoints of ``few`` or ``kept`` frames that nothing will
+    read again: their successors are checkpointed themselves."""
+    for frame in frames:
+        frame = getattr(frame, "_ll_whole", frame)
+        spark = frame.sparkSession
+        path = frame._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if path.isDefined():
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.get())
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

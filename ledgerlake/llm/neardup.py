@@ -40,10 +40,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, small_side, table
+from . import arrow
+from .common import beside, few, forget, kept, small_side, table
 
 ROWS = 4           # minima in a band
 BITS = 4           # low bits kept of each minimum; 16 of them fill a long
+TEXT_BYTES = 2 << 20   # text that a function holds at a time
 RARE = 1e-6        # chance to lose a pair at the threshold, for bands and for the filter
 LONG = 64 // BITS
 SCARCE = 8         # nodes that hold a scarce shingle, at most; any number gives the same links
@@ -103,7 +105,7 @@ def _signer(k: int, bands: int):
         shift = (np.arange(n, dtype=np.uint64) % np.uint64(LONG)) * np.uint64(BITS)
         fold = _constants(ROWS, 17)
         number = _constants(bands, 19)
-        for batch in batches:
+        for batch in arrow.slices(batches, "_ll_text", TEXT_BYTES):
             sizes, digests, minima = [], [], np.zeros((batch.num_rows, n), np.uint64)
             for row, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 s = shingles(text, k) if text else shingles(b"", k)
@@ -126,32 +128,36 @@ def _signer(k: int, bands: int):
                 return pa.ListArray.from_arrays(
                     pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(packed), lists(key)],
-                names=["_ll_id", "_ll_n", "_ll_node", "_ll_sig", "_ll_bands"])
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists(packed), lists(key)],
+                names=["_ll_id", "_ll_tag", "_ll_n", "_ll_node", "_ll_sig", "_ll_bands"])
     return sign
 
 
 def _sets(k: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 256):
-                sets = [shingles(t or b"", k) for t in texts[at:at + 256]]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
-                    names=["node", "set"])
+        for batch in arrow.slices(batches, "_ll_text", TEXT_BYTES):
+            sets = [shingles(t or b"", k) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))],
+                names=["node", "set"])
     return make
 
 
+def text_tag(text_col: str) -> Column:
+    """What tells rows of one id and different text apart."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def signatures(docs: DataFrame, k: int, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(_ll_id, _ll_n, _ll_node, _ll_sig, _ll_bands) of every row. Rows
+    """(_ll_id, _ll_tag, _ll_n, _ll_node, _ll_sig, _ll_bands) of every row. Rows
     without words, or without id, have no node."""
-    rows = docs.select(F.col(id_col).alias("_ll_id"), F.col(text_col).cast("string").alias("_ll_text"))
+    rows = docs.select(F.col(id_col).alias("_ll_id"), F.col(text_col).cast("string").alias("_ll_text"),
+                       text_tag(text_col).alias("_ll_tag"))
     kind = rows.schema["_ll_id"].dataType.simpleString()
     out = rows.mapInArrow(_signer(k, bands_for(threshold)),
-                          f"_ll_id {kind}, _ll_n long, _ll_node binary, _ll_sig array<long>, _ll_bands array<long>")
+                          f"_ll_id {kind}, _ll_tag long, _ll_n long, _ll_node binary, _ll_sig array<long>, _ll_bands array<long>")
     return out.withColumn("_ll_node", F.when(F.col("_ll_id").isNotNull(), F.col("_ll_node")))
 
 
@@ -172,20 +178,23 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label of the neighbours and then the label's
     own label, so paths shrink by doubling; rounds run until nothing changes.
     Labels stay distributed, checkpointed each round."""
-    both = kept(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-                .unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
-    label = kept(both.groupBy("src").agg(F.min("dst").alias("m"))
-                 .select(F.col("src").alias("node"), F.least("src", "m").alias("label")))
+    both = few(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+               .unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).distinct())
+    label = few(both.groupBy("src").agg(F.min("dst").alias("m"))
+                .select(F.col("src").alias("node"), F.least("src", "m").alias("label")))
     while True:
-        near = (both.join(label.select(F.col("node").alias("dst"), "label"), "dst")
+        near = (both.join(beside(label.select(F.col("node").alias("dst"), "label"), label), "dst")
                 .groupBy(F.col("src").alias("node")).agg(F.min("label").alias("near")))
-        step = (label.join(near, "node")
+        step = (near.join(beside(label, label), "node")
                 .select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid")))
-        up = label.select(F.col("node").alias("mid"), F.col("label").alias("up"))
-        new = kept(step.join(up, "mid").select("node", "old", F.least("mid", "up").alias("label")))
+        up = beside(label.select(F.col("node").alias("mid"), F.col("label").alias("up")), label)
+        new = few(step.join(up, "mid").select("node", "old", F.least("mid", "up").alias("label")))
         done = new.where("old <> label").limit(1).count() == 0
+        forget(label)
         label = new.select("node", "label")
+        label._ll_whole, label._ll_rows = new._ll_whole, new._ll_rows
         if done:
+            forget(both)
             return label
 
 
@@ -203,43 +212,54 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     component and is kept; rows of equal text are linked; rows of equal id and
     different text are separate nodes; an empty table gives no rows.
     """
+    found = linked(docs, k, num, den, id_col, text_col)
+    comp = F.coalesce("_ll_least", "_ll_id")
+    return found.select(F.col("_ll_id").alias(id_col), F.col("_ll_n").alias("n_shingles"),
+                        comp.alias("component_id"), F.col("_ll_id").eqNullSafe(comp).alias("kept"))
+
+
+def linked(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Every row's id, text tag and set size with the smallest id of its
+    component (_ll_least) and the component's node (_ll_label); both are null
+    for rows without words or id."""
     threshold = num / den
     bands = bands_for(threshold)
     longs, enough = bands * ROWS // LONG, least_matches(threshold, bands * ROWS)
     signed = kept(signatures(docs, k, threshold, id_col, text_col))
     nodes = signed.where("_ll_node IS NOT NULL")
-    reps = kept(nodes.groupBy("_ll_node").agg(
+    reps = few(nodes.groupBy("_ll_node").agg(
         F.min("_ll_id").alias("_ll_first"), F.any_value("_ll_sig").alias("_ll_sig"),
         F.any_value("_ll_bands").alias("_ll_bands")).withColumnRenamed("_ll_node", "node"))
     sig = reps.select("node", F.col("_ll_sig").alias("sig"))
     spread = reps.select("node", "_ll_first", F.explode("_ll_bands").alias("key"))
-    bucket = kept(spread.groupBy("key").agg(F.min(F.struct("_ll_first", "node"))["node"].alias("centre"),
+    bucket = few(spread.groupBy("key").agg(F.min(F.struct("_ll_first", "node"))["node"].alias("centre"),
                                             F.count("*").alias("c")).where("c > 1").select("key", "centre"))
-    members = kept(spread.drop("_ll_first").join(bucket, "key"))
+    members = few(spread.drop("_ll_first").join(beside(bucket, bucket), "key"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
         pairs = pairs.join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-        return kept(pairs.where(agreeing(F.col("sa"), F.col("sb"), longs) >= enough).select("a", "b"))
+        return few(pairs.where(agreeing(F.col("sa"), F.col("sb"), longs) >= enough).select("a", "b"))
 
     def sets_of(asked: DataFrame) -> DataFrame:
         """Whole shingle sets (node, set) of distinct nodes."""
         ids = small_side(asked.join(reps, "node").select(F.col("_ll_first").alias("_ll_ask")).distinct())
-        texts = docs.join(ids, F.col(id_col) == F.col("_ll_ask"), "left_semi").select(F.col(text_col).cast("string"))
+        texts = docs.join(ids, F.col(id_col) == F.col("_ll_ask"), "left_semi").select(
+            F.col(text_col).cast("string").alias("_ll_text"))
         return texts.mapInArrow(_sets(k), "node binary, set array<long>").join(asked, "node", "left_semi")
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         pairs = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
         pairs = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
         both = F.size(F.array_intersect("sa", "sb"))
-        return kept(pairs.where(both * den >= (F.size("sa") + F.size("sb") - both) * num)
+        return few(pairs.where(both * den >= (F.size("sa") + F.size("sb") - both) * num)
                     .select("a", "b").distinct())
 
     def ordered(x: str, y: str) -> list[Column]:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     def labelled(frame: DataFrame, of: str, to: str) -> DataFrame:
-        return (frame.join(label.select(F.col("node").alias(of), F.col("label").alias(to)), of, "left")
+        return (frame.join(beside(label.select(F.col("node").alias(of), F.col("label").alias(to)), label), of, "left")
                 .withColumn(to, F.coalesce(to, of)))
 
     def merged(edges: DataFrame) -> DataFrame:
@@ -248,8 +268,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         if across.limit(1).count() == 0:
             return label
         top = components(across)
-        moved = label.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left")
-        return kept(moved.select("node", F.coalesce("top", "label").alias("label"))
+        moved = label.join(beside(top.select(F.col("node").alias("label"), F.col("label").alias("top")), top),
+                           "label", "left")
+        return few(moved.select("node", F.coalesce("top", "label").alias("label"))
                     .unionByName(top.join(label.select("node"), "node", "left_anti")))
 
     # first stars: each bucket's earliest document
@@ -259,18 +280,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
 
     # buckets that still hold several components
     named = labelled(labelled(members, "node", "own"), "centre", "main")
-    several = kept(named.where("own <> main").select("key").distinct())
-    mixed = kept(named.join(several, "key", "left_semi").select("key", "node"))
+    several = few(named.where("own <> main").select("key").distinct())
+    mixed = few(named.join(beside(several, several), "key", "left_semi").select("key", "node"))
     if mixed.limit(1).count():
         sets = kept(sets_of(mixed.select("node").distinct()).dropDuplicates(["node"]))
         # shingles that few nodes of these buckets have
         tokens = sets.select(F.xxhash64("node").alias("nid"), F.explode("set").alias("token"))
-        scarce = kept(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") <= SCARCE), "token"))
-        sizes = kept(sets.select("node", F.xxhash64("node").alias("nid"), F.size("set").alias("n"))
+        scarce = few(tokens.join(tokens.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") <= SCARCE), "token"))
+        sizes = few(sets.select("node", F.xxhash64("node").alias("nid"), F.size("set").alias("n"))
                      .join(scarce.groupBy("nid").agg(F.count("*").alias("few")), "nid", "left")
                      .select("node", "nid", "n", (F.col("n") - F.coalesce("few", F.lit(0))).alias("share")))
         # a pair that shares no scarce shingle has only these to share
-        able = kept(mixed.join(sizes.where(F.col("share") * den >= F.col("n") * num).drop("nid"), "node"))
+        able = few(mixed.join(beside(sizes.where(F.col("share") * den >= F.col("n") * num).drop("nid"), sizes), "node"))
 
         def possible(x: str, y: str) -> Column:
             """The shareable shingles of both suffice for the threshold."""
@@ -290,7 +311,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         # the rest: members outside the centre's component against all other components
         full = (labelled(labelled(able.join(best.select("key", F.col("c").alias("centre")), "key"), "node", "own"), "centre", "main")
                 .join(reps.select("node", F.col("_ll_sig").alias("sig"), F.col("_ll_bands").alias("bands")), "node"))
-        full = kept(full.drop("centre"))
+        full = few(full.drop("centre"))
         x, y = side(full.where("own <> main"), "x"), side(full, "y")
         rest = x.join(y, (x["key"] == y["key"]) & (F.col("own_x") != F.col("own_y"))
                       & ((F.col("own_y") == F.col("main_y")) | (F.col("own_x") < F.col("own_y"))) & possible("x", "y")
@@ -300,40 +321,48 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
         # a pair that shares scarce shingles has the first it shares, in order
         # of their counts, among the first n - ceil(threshold * n) + 1 of both
         first = Window.partitionBy("nid").orderBy("c", "token")
-        prefix = (scarce.join(sizes.select("nid", "node", "n"), "nid").withColumn("at", F.row_number().over(first))
+        prefix = (scarce.join(beside(sizes.select("nid", "node", "n"), sizes), "nid").withColumn("at", F.row_number().over(first))
                   .where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).where("c > 1"))
-        prefix = kept(labelled(prefix.select("token", "node"), "node", "own"))
+        prefix = few(labelled(prefix.select("token", "node"), "node", "own"))
         x, y = (prefix.select("token", F.col("node").alias(v), F.col("own").alias(f"own_{v}")) for v in "xy")
-        few = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & (F.col("own_x") != F.col("own_y")))
-        few = filtered(few.select(*ordered("x", "y")).distinct())
-        rest = kept(rest.select(*ordered("x", "y")).unionByName(few).distinct())
+        near = x.join(y, (x["token"] == y["token"]) & (F.col("x") < F.col("y")) & (F.col("own_x") != F.col("own_y")))
+        near = filtered(near.select(*ordered("x", "y")).distinct())
+        rest = few(rest.select(*ordered("x", "y")).unionByName(near).distinct())
         if rest.limit(1).count():
             label = merged(confirmed(rest, sets))
 
     named = (reps.select("node", "_ll_first").join(label, "node", "left")
              .select("node", "_ll_first", F.coalesce("label", "node").alias("label")))
     least = named.groupBy("label").agg(F.min("_ll_first").alias("_ll_least"))
-    where = named.join(least, "label").select(F.col("node").alias("_ll_node"), "_ll_least")
-    comp = F.coalesce("_ll_least", "_ll_id")
-    return (signed.select("_ll_id", "_ll_n", "_ll_node").join(where, "_ll_node", "left")
-            .select(F.col("_ll_id").alias(id_col), F.col("_ll_n").alias("n_shingles"),
-                    comp.alias("component_id"), F.col("_ll_id").eqNullSafe(comp).alias("kept")))
+    where = named.join(least, "label").select(F.col("node").alias("_ll_node"), F.col("label").alias("_ll_label"),
+                                              "_ll_least")
+    return signed.select("_ll_id", "_ll_tag", "_ll_n", "_ll_node").join(where, "_ll_node", "left")
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` (all its columns) with one document of each component: that
-    of the smallest id. Rows that repeat an id keep one row of that id."""
-    found = near_duplicates(docs, k, num, den, id_col, text_col)
-    away = small_side(found.where("NOT kept").select(F.col(id_col).alias("_ll_away")).distinct())
-    left = docs.join(away, F.col(id_col) == F.col("_ll_away"), "left_anti")
-    twice = kept(docs.groupBy(F.col(id_col).alias("_ll_twice")).agg(F.count("*").alias("c"))
-                 .where("c > 1 AND _ll_twice IS NOT NULL").select("_ll_twice"))
-    if twice.limit(1).count() == 0:
+    """``docs`` (all its columns) with one row of each component: that of the
+    smallest id and, among rows of that id, of the smallest text tag. Rows
+    that share an id but are not near each other stay both; rows without words
+    or id stay."""
+    found = linked(docs, k, num, den, id_col, text_col).where("_ll_label IS NOT NULL")
+    chosen = F.struct("_ll_id", "_ll_tag")
+    # a row for each (id, text): how often it is there
+    rows = found.groupBy("_ll_label", "_ll_id", "_ll_tag").agg(F.count("*").alias("c"))
+    best = rows.groupBy("_ll_label").agg(F.min(chosen).alias("best"))
+    rows = kept(rows.join(best, "_ll_label").select(
+        F.col("_ll_id").alias("_ll_of"), F.col("_ll_tag").alias("_ll_with"), (chosen == F.col("best")).alias("stays"),
+        "c"))
+    this = (F.col(id_col) == F.col("_ll_of")) & (text_tag(text_col) == F.col("_ll_with"))
+    left = docs.join(small_side(rows.where("NOT stays").select("_ll_of", "_ll_with")), this, "left_anti")
+    again = few(rows.where("stays AND c > 1").select("_ll_of", "_ll_with"))
+    if not again._ll_rows:
         return left
-    again = F.col(id_col) == F.col("_ll_twice")
-    return (left.join(twice, again, "left_anti")
-            .unionByName(left.join(twice, again, "left_semi").dropDuplicates([id_col])))
+    again = beside(again, again)
+    tag = "_ll_tag"
+    return (left.join(again, this, "left_anti")
+            .unionByName(left.join(again, this, "left_semi").withColumn(tag, text_tag(text_col))
+                         .dropDuplicates([id_col, tag]).drop(tag)))
 
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:

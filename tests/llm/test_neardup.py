@@ -99,7 +99,8 @@ def test_signature_estimates_similarity(spark):
     import pyarrow as pa
     base = [f"q{v}" for v in rng.integers(0, 10 ** 6, 600)]
     other = base[:300] + [f"p{v}" for v in rng.integers(0, 10 ** 6, 300)]
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(base), " ".join(other)])], names=["a", "b"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([" ".join(base), " ".join(other)]),
+                                       pa.array([7, 8])], names=["_ll_id", "_ll_text", "_ll_tag"])
     out = next(sign(iter([batch]))).to_pydict()
     df = spark.createDataFrame([(out["_ll_sig"][0], out["_ll_sig"][1])], "x array<long>, y array<long>")
     m = df.select(neardup.agreeing(F.col("x"), F.col("y"), 10)).first()[0]
@@ -116,6 +117,26 @@ def test_repeated_id_keeps_one_row(make):
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 1, 2]
 
 
+def test_unrelated_texts_of_one_id_both_stay(make):
+    text = prose(120, 5, 10 ** 6)
+    near = " ".join(text.split()[:-1])
+    rows = [(1, text, "en", "s"), (2, near, "en", "s"), (2, prose(90, 6, 10 ** 6), "en", "s"), (2, None, "en", "s"),
+            (3, text, "en", "s"), (1, text, "en", "s")]
+    got = neardup.drop_near_duplicates(make(rows)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in got) == sorted([rows[0][:2], rows[2][:2], (2, "")])
+
+
+def test_forgotten_checkpoints_are_gone(spark):
+    import os
+
+    from ledgerlake.llm import common
+    frame = common.few(spark.range(1000).toDF("a"))
+    at = frame._ll_whole._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(at) and frame.count() == 1000
+    common.forget(frame)
+    assert not os.path.exists(at)
+
+
 def test_group_of_near_copies_of_one_text_around_the_threshold(make):
     """Copies with more and more changes: some link with the base only, some
     with a few others, some with nothing; the base is not the earliest."""
