@@ -109,7 +109,7 @@ class WordIds:
         plain, cores, odd, ends = [], [], [], self.ends
         for w in words:
             core = w[:-1] if w[-1] in ends else w
-            if core.isalpha() and _latin(core):
+            if core.isalpha() and (core.isascii() or _latin(core)):
                 plain.append(w)
                 cores.append(core.lower())
             else:
