@@ -12,7 +12,8 @@ Plain Parquet has no MERGE, so:
 * a multi-table unit of work (:func:`write_batch`) writes every child
   keyed by ``batch_id`` and appends the commit marker last; readers
   semi-join the marker (:func:`read_committed`), so a torn batch is
-  invisible and a replayed batch overwrites its own partitions.
+  invisible and a replayed batch overwrites its own partitions. Tables with
+  an event time lie in days; :mod:`ledgerlake.sources.batches` compacts them.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql.types import TimestampNTZType
 
 from ledgerlake import schemas as S
 from ledgerlake.operators.common import ntz_lit
+from ledgerlake.sources import batches
 from ledgerlake.sources import key_index as keyed
 from ledgerlake.sources import replace
 
@@ -251,18 +253,27 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
 
 
 # S6 -------------------------------------------------------------------------
-MARKER = "_processed"
+MARKER = batches.MARKER
 
 
 def write_batch(spark: SparkSession, root: str, frames: dict[str, DataFrame], batch_id: int,
-                marker_rows: DataFrame | None = None) -> None:
+                marker_rows: DataFrame | None = None, times: dict[str, str] | None = None) -> None:
     """All-or-nothing unit of work: each frame goes to ``root/<name>``
     partition ``batch_id=<id>`` (overwritten on replay), then the commit
-    marker row(s) are appended to ``root/_processed`` last."""
+    marker row(s) are appended to ``root/_processed`` last. ``times`` names a
+    frame's event-time column: its rows lie in ``day=<date>/batch_id=<id>``
+    and get the column ``day``. A batch that is already compacted is left as
+    it is."""
+    if batches.is_compacted(spark, root, batch_id):
+        return
     for name, df in frames.items():
-        (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(os.path.join(root, name)))
+        df = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        by = ["batch_id"]
+        if times and name in times:
+            df = df.withColumn("day", F.col(times[name]).cast("date")).hint("rebalance", "day")
+            by = ["day", "batch_id"]
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*by).parquet(os.path.join(root, name)))
     marker = marker_rows if marker_rows is not None else spark.range(1).select(
         F.lit(batch_id).cast("long").alias("batch_id"))
     marker = marker.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn(
@@ -271,26 +282,16 @@ def write_batch(spark: SparkSession, root: str, frames: dict[str, DataFrame], ba
 
 
 def read_committed(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Rows of committed batches only (semi join on the marker)."""
-    data = spark.read.parquet(os.path.join(root, name))
-    marker_path = os.path.join(root, MARKER)
-    if not _exists(spark, marker_path):
-        return data.limit(0)
-    return data.join(spark.read.parquet(marker_path).select("batch_id"), "batch_id", "left_semi")
+    """Rows of committed batches only: compacted runs, and fresh batches
+    semi-joined with their markers."""
+    rows = batches.read(spark, root, name)
+    return spark.read.parquet(os.path.join(root, name)) if rows is None else rows    # raises: no such table
 
 
 def try_read_committed(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """Committed rows, or ``None`` while the table holds no data files yet
     (e.g. every record of the first batches was quarantined)."""
-    from pyspark.errors import AnalysisException
-    if not _exists(spark, os.path.join(root, name)):
-        return None
-    try:
-        return read_committed(spark, root, name)
-    except AnalysisException as problem:
-        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None          # a folder without data files
-        raise
+    return batches.read(spark, root, name)
 
 
 # S7 -------------------------------------------------------------------------

@@ -23,7 +23,7 @@ from ledgerlake import schemas as S
 from ledgerlake.functions import scalar as E
 from ledgerlake.operators import project as P
 from ledgerlake.operators import quality as Q
-from ledgerlake.sources import sinks
+from ledgerlake.sources import batches, sinks
 
 
 # T1 / T3 ----------------------------------------------------------------------
@@ -77,23 +77,31 @@ def process_batch(spark: SparkSession, batch: DataFrame, entity: str, root: str,
             ts = EVENT_TIME.get(entity) if EVENT_TIME.get(entity) in curated.columns else None
             seen = already_stored(committed, curated, key, ts)
             curated = curated.join(seen, key, "left_anti")
+        times = {entity: EVENT_TIME[entity]} if EVENT_TIME.get(entity) in curated.columns else None
         sinks.write_batch(spark, root, {entity: curated, f"{entity}_invalid": invalid.drop("errors")},
-                          batch_id)
+                          batch_id, times=times)
     finally:
         data.unpersist()
 
 
 def ingest_stream(spark: SparkSession, stream: DataFrame, entity: str, root: str,
-                  checkpoint: str, key: str = "id", trigger: dict | None = None):
+                  checkpoint: str, key: str = "id", trigger: dict | None = None, compact_every: int = 0):
     """Raw stream → Q → P → S6 per micro-batch, with a checkpoint so a
-    restarted query resumes after the last committed epoch."""
+    restarted query resumes after the last committed epoch. With
+    ``compact_every`` the stream compacts its tables after so many batches."""
     def fn(batch, batch_id):
         process_batch(spark, batch, entity, root, int(batch_id), key)
+        _compact_after(spark, root, int(batch_id), compact_every)
     w = stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))
     return w.start()
 
 
+def _compact_after(spark: SparkSession, root: str, batch_id: int, every: int) -> None:
+    if every and (batch_id + 1) % every == 0:
+        batches.compact(spark, root)
+
+
 def process_ledger_units(spark: SparkSession, batch: DataFrame, root: str, batch_id: int) -> None:
     """One micro-batch of landed ledger units (a ledger with its
     transactions and operations), written as ONE committed unit (S6):
@@ -131,7 +139,7 @@ def process_ledger_units(spark: SparkSession, batch: DataFrame, root: str, batch
             "operation_invalid": bad_op.drop("errors").unionByName(_with_ledger(refused, "operations")),
             "processed_ledgers": idempotent_marks(ledgers, spark.createDataFrame([], "sequence long")),
         }
-        sinks.write_batch(spark, root, frames, batch_id)
+        sinks.write_batch(spark, root, frames, batch_id, times=EVENT_TIME)
     finally:
         data.unpersist()
 
@@ -144,11 +152,13 @@ def _with_ledger(refused: DataFrame, children: str) -> DataFrame:
 
 
 def ingest_ledger_units(spark: SparkSession, stream: DataFrame, root: str, checkpoint: str,
-                        trigger: dict | None = None):
+                        trigger: dict | None = None, compact_every: int = 0):
     """T1 for whole units of work: a stream of landed ledger units, each
-    micro-batch committed all-or-nothing by :func:`process_ledger_units`."""
+    micro-batch committed all-or-nothing by :func:`process_ledger_units`;
+    compacted as by :func:`ingest_stream`."""
     def fn(batch, batch_id):
         process_ledger_units(spark, batch, root, int(batch_id))
+        _compact_after(spark, root, int(batch_id), compact_every)
     return (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
 
