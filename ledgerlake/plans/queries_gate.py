@@ -14,7 +14,7 @@ from ledgerlake.operators import maintain as M
 from ledgerlake.plans.catalog import NETWORK_METRICS_SQL, _t, cte, query
 from ledgerlake.plans.queries_more import ACCOUNT_METRICS_SQL, _account_metrics, errors_sql
 from ledgerlake.session import ensure_checkpoint_dir
-from ledgerlake.sources import raw, sinks
+from ledgerlake.sources import batches, raw, sinks
 from ledgerlake.streaming import jobs as T
 from ledgerlake.streaming import rolling as R
 
@@ -68,6 +68,34 @@ def q_ingest_stream(spark, sf):
         "id", "hash", "ledger_sequence", "fee_charged")
 
 
+@query("compacted_day_range", cte("tx_events") + """
+SELECT id FROM tx_events WHERE created_at >= (SELECT max(created_at) FROM tx_events) - INTERVAL 3 DAY""")
+def q_compacted_day_range(spark, sf):
+    """Two committed batches compacted by day, a third beside them; of
+    the last three days only their folders are opened."""
+    root = _folder(spark, "batches")
+    tx = _t(spark, sf).tx_events.select("id", "created_at")
+    for batch in range(3):
+        sinks.write_batch(spark, root, {"transaction": tx.where(F.pmod(F.xxhash64("id"), F.lit(3)) == batch)}, batch)
+        if batch == 1:
+            batches.compact(spark, root, T.EVENT_TIME)
+    since = tx.agg((F.max("created_at") - F.expr("INTERVAL 3 DAY")).cast("string")).first()[0]
+    return FL.in_time_range(sinks.read_committed(spark, root, "transaction"), "created_at", since).select("id")
+
+
+@query("batch_metrics", cte("tx_orders", "op_lineitem") + """
+SELECT 'transaction' AS entity, count(*) AS rows, (count(*) + 99) // 100 AS chunks FROM tx_orders
+UNION ALL SELECT 'operation', count(*), (count(*) + 99) // 100 FROM op_lineitem""")
+def q_batch_metrics(spark, sf):
+    """Rows and chunks of a batch, counted while it is written."""
+    t = _t(spark, sf)
+    tx, seen_tx = sinks.with_batch_metrics(t.tx_orders.select("id", "hash"), "transaction")
+    ops, seen_ops = sinks.with_batch_metrics(t.op_lineitem.select("id"), "operation")
+    sinks.write_batch(spark, _folder(spark, "batch"), {"transaction": tx, "operation": ops}, 0)
+    out = sinks.batch_metrics_frame(spark, {"transaction": seen_tx, "operation": seen_ops})
+    return out.select("entity", "rows", "chunks")
+
+
 @query("ingest_quarantine", cte("raw_tx_orders") + f"""
 SELECT id, errs AS error FROM (SELECT id, {errors_sql('transaction', 'raw_tx_orders')} AS errs FROM raw_tx_orders)
 WHERE errs <> ''""")

@@ -4,7 +4,7 @@ A batch of :func:`ledgerlake.sources.sinks.write_batch` is visible when its
 marker is there. Thousands of micro-batches would leave as many small folders
 and marker files; :func:`compact` rewrites them::
 
-    <root>/<name>/[day=D/]batch_id=B/       rows of fresh batches
+    <root>/<name>/batch_id=B/               rows of fresh batches
     <root>/_processed/                      markers of fresh batches
     <root>/_days/<name>/run=K/[day=D/]      rows of compacted batches (batch_id is a column)
     <root>/_compacted/<K>/batches, parts    the commit log of compaction K
@@ -16,9 +16,12 @@ read from its runs, any other from its own folder if it has a marker. What a
 log no longer needs is removed by :func:`vacuum` (again and again, if it was
 stopped); call it when readers of the former state have ended.
 
-A day is added to by one run for each compaction that touches it; from
+A table whose event time is named is compacted by ``day`` (a batch itself is
+not split by day: a backlog of years would leave a folder for each day and
+batch). A day is added to by one run for each compaction that touches it; from
 ``most_runs`` on its runs are merged into one. Days bound what a time-range
-read opens: ``filters.in_time_range`` repeats its bounds on ``day``.
+read opens, since ``filters.in_time_range`` repeats its bounds on ``day``;
+fresh batches get the column, too, and are cut by the statistics of the time.
 
 One writer at a time (a stream and its own compaction, or one job). The driver
 holds control data only: the batch ids since the last compaction and the
@@ -38,15 +41,18 @@ MARKER = "_processed"
 DAYS = "_days"
 LOG = "_compacted"
 MARKS = "batch_id long, committed_at timestamp_ntz"
+PARTS = "name string, run long, part string, time string"
 
 
 @dataclass
 class Log:
-    """The newest commit log: its number (0: none), the compacted batches and
-    (name, run, part) of the folders in use; ``part`` is ``day=...`` or ''."""
+    """The newest commit log: its number (0: none), the compacted batches,
+    (name, run, part) of the folders in use, where ``part`` is ``day=...`` or
+    '', and the event time of each table that lies in days."""
     number: int
     batches: DataFrame | None
     parts: list[tuple[str, int, str]]
+    times: dict[str, str]
 
 
 def _step(name: str) -> None:
@@ -63,10 +69,12 @@ def _children(spark: SparkSession, path: str) -> list[str]:
 def latest(spark: SparkSession, root: str) -> Log:
     numbers = [int(n) for n in _children(spark, f"{root}/{LOG}") if n.isdigit()]
     if not numbers:
-        return Log(0, None, [])
+        return Log(0, None, [], {})
     at = f"{root}/{LOG}/{max(numbers)}"
-    parts = spark.read.schema("name string, run long, part string").parquet(f"{at}/parts").collect()
-    return Log(max(numbers), spark.read.schema(MARKS).parquet(f"{at}/batches"), [tuple(r) for r in parts])
+    parts = spark.read.schema(PARTS).parquet(f"{at}/parts").collect()
+    return Log(max(numbers), spark.read.schema(MARKS).parquet(f"{at}/batches"),
+               [(r["name"], r["run"], r["part"]) for r in parts],
+               {r["name"]: r["time"] for r in parts if r["time"] is not None})
 
 
 def is_compacted(spark: SparkSession, root: str, batch_id: int) -> bool:
@@ -81,18 +89,19 @@ def _marks(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MARKS).parquet(path)
 
 
-def _dated(df: DataFrame) -> DataFrame:
-    """``day`` as a date: a table whose every time is null reads it as text."""
-    return df.withColumn("day", F.col("day").cast("date")) if "day" in df.columns else df
+def _with_day(df: DataFrame, time: str | None) -> DataFrame:
+    return df if time is None else df.withColumn("day", F.col(time).cast("date"))
 
 
-def _compacted_rows(spark: SparkSession, root: str, name: str, parts) -> DataFrame | None:
+def _compacted_rows(spark: SparkSession, root: str, name: str, parts, time: str | None) -> DataFrame | None:
     base, out = f"{root}/{DAYS}/{name}", None
     for dated in (True, False):            # a table may have had no days once
         paths = [f"{base}/run={run}" + (f"/{part}" if part else "")
                  for n, run, part in parts if n == name and bool(part) == dated]
         if paths:
-            rows = _dated(spark.read.option("basePath", base).parquet(*paths).drop("run"))
+            rows = spark.read.option("basePath", base).parquet(*paths).drop("run")
+            # a table whose every time is null reads its day as text
+            rows = rows.withColumn("day", F.col("day").cast("date")) if dated else _with_day(rows, time)
             out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     return out
 
@@ -103,7 +112,7 @@ def _fresh_rows(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     if not replace.exists(spark, f"{root}/{name}"):
         return None
     try:
-        return _dated(spark.read.parquet(f"{root}/{name}"))
+        return spark.read.parquet(f"{root}/{name}")
     except AnalysisException as problem:
         if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -113,21 +122,25 @@ def _fresh_rows(spark: SparkSession, root: str, name: str) -> DataFrame | None:
 def read(spark: SparkSession, root: str, name: str) -> DataFrame | None:
     """Rows of committed batches, each once; None while there is no data file."""
     log = latest(spark, root)
-    old = _compacted_rows(spark, root, name, log.parts)
+    time = log.times.get(name)
+    old = _compacted_rows(spark, root, name, log.parts, time)
     fresh = _fresh_rows(spark, root, name)
     if fresh is not None:
         marks = _marks(spark, root).select("batch_id")
         if log.batches is not None:
             marks = marks.join(log.batches, "batch_id", "left_anti")
-        fresh = fresh.join(marks, "batch_id", "left_semi")
+        fresh = _with_day(fresh.join(marks, "batch_id", "left_semi"), time)
     if old is None or fresh is None:
         return fresh if old is None else old
     return fresh.unionByName(old, allowMissingColumns=True)
 
 
-def compact(spark: SparkSession, root: str, most_runs: int = 8, remove: bool = True) -> int:
+def compact(spark: SparkSession, root: str, times: dict[str, str] | None = None, most_runs: int = 8,
+            remove: bool = True) -> int:
     """Move every committed batch that is still in its own folder into a new
-    run; returns how many there were. ``remove`` calls :func:`vacuum` after."""
+    run; returns how many there were. ``times`` names the event-time column of
+    tables that are to lie in days (once named, it stays); rows without a time
+    lie in a folder of their own. ``remove`` calls :func:`vacuum` after."""
     log = latest(spark, root)
     marks = _marks(spark, root)
     if log.batches is not None:
@@ -139,22 +152,25 @@ def compact(spark: SparkSession, root: str, most_runs: int = 8, remove: bool = T
         return 0
     ids = spark.createDataFrame(todo, MARKS)
     number = log.number + 1
-    parts = list(log.parts)
+    parts, known = list(log.parts), dict(log.times)
     for name in [n for n in _children(spark, root) if not n.startswith(("_", "."))]:
         fresh = _fresh_rows(spark, root, name)
         if fresh is None:
             continue
-        rows = fresh.join(F.broadcast(ids.select("batch_id")), "batch_id", "left_semi")
+        if name not in known and (times or {}).get(name) in fresh.columns:
+            known[name] = times[name]
+        time = known.get(name)
+        rows = _with_day(fresh.join(F.broadcast(ids.select("batch_id")), "batch_id", "left_semi"), time)
         runs: dict[str, list[int]] = {}
         for n, run, part in parts:
             if n == name:
                 runs.setdefault(part, []).append(run)
         crowded = [(name, run, part) for part, of in runs.items() if len(of) >= most_runs for run in of]
-        merged = _compacted_rows(spark, root, name, crowded)
+        merged = _compacted_rows(spark, root, name, crowded, time)
         if merged is not None:
             rows = rows.unionByName(merged, allowMissingColumns=True)
         out = f"{root}/{DAYS}/{name}/run={number}"
-        by = ["day"] if "day" in rows.columns else []
+        by = ["day"] if time is not None else []
         rows.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(out)
         _step(f"run of {name} written")
         parts = [p for p in parts if p not in crowded]
@@ -163,7 +179,7 @@ def compact(spark: SparkSession, root: str, most_runs: int = 8, remove: bool = T
     replace.delete(spark, staged)
     batches = ids if log.batches is None else log.batches.unionByName(ids)
     batches.coalesce(1).write.parquet(f"{staged}/batches")
-    (spark.createDataFrame(parts, "name string, run long, part string").coalesce(1)
+    (spark.createDataFrame([(*p, known.get(p[0])) for p in parts], PARTS).coalesce(1)
      .write.parquet(f"{staged}/parts"))
     _step("log staged")
     replace._rename(spark, staged, f"{root}/{LOG}/{number}")
@@ -193,14 +209,9 @@ def vacuum(spark: SparkSession, root: str) -> None:
         for name in [n for n in _children(spark, root) if not n.startswith(("_", "."))]:
             table = f"{root}/{name}"
             for folder in _children(spark, table):
-                inner = [folder] if folder.startswith("batch_id=") else [
-                    f"{folder}/{x}" for x in _children(spark, f"{table}/{folder}")]
-                gone = [x for x in inner if x.split("batch_id=")[-1] in {str(d) for d in done}]
-                for x in gone:
-                    replace.delete(spark, f"{table}/{x}")
-                    _step("batch folder removed")
-                if gone and folder not in inner and len(gone) == len(inner):
+                if folder.startswith("batch_id=") and int(folder.split("=")[1]) in done:
                     replace.delete(spark, f"{table}/{folder}")
+                    _step("batch folder removed")
             spark.catalog.refreshByPath(table)
         for file in _marker_files(spark, root, log.batches):
             replace.delete(spark, file)

@@ -12,8 +12,8 @@ Plain Parquet has no MERGE, so:
 * a multi-table unit of work (:func:`write_batch`) writes every child
   keyed by ``batch_id`` and appends the commit marker last; readers
   semi-join the marker (:func:`read_committed`), so a torn batch is
-  invisible and a replayed batch overwrites its own partitions. Tables with
-  an event time lie in days; :mod:`ledgerlake.sources.batches` compacts them.
+  invisible and a replayed batch overwrites its own partitions. :mod:`ledgerlake.sources.batches`
+  compacts batches, by day where a table has an event time.
 """
 
 from __future__ import annotations
@@ -257,23 +257,17 @@ MARKER = batches.MARKER
 
 
 def write_batch(spark: SparkSession, root: str, frames: dict[str, DataFrame], batch_id: int,
-                marker_rows: DataFrame | None = None, times: dict[str, str] | None = None) -> None:
+                marker_rows: DataFrame | None = None) -> None:
     """All-or-nothing unit of work: each frame goes to ``root/<name>``
     partition ``batch_id=<id>`` (overwritten on replay), then the commit
-    marker row(s) are appended to ``root/_processed`` last. ``times`` names a
-    frame's event-time column: its rows lie in ``day=<date>/batch_id=<id>``
-    and get the column ``day``. A batch that is already compacted is left as
-    it is."""
+    marker row(s) are appended to ``root/_processed`` last. A batch that is
+    already compacted is left as it is."""
     if batches.is_compacted(spark, root, batch_id):
         return
     for name, df in frames.items():
-        df = df.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        by = ["batch_id"]
-        if times and name in times:
-            df = df.withColumn("day", F.col(times[name]).cast("date")).hint("rebalance", "day")
-            by = ["day", "batch_id"]
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*by).parquet(os.path.join(root, name)))
+        (df.withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(os.path.join(root, name)))
     marker = marker_rows if marker_rows is not None else spark.range(1).select(
         F.lit(batch_id).cast("long").alias("batch_id"))
     marker = marker.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn(
@@ -331,5 +325,12 @@ def batch_metrics(observations: dict[str, Observation], duration_ms: float | Non
     return out
 
 
+def batch_metrics_frame(spark: SparkSession, observations: dict[str, Observation],
+                        duration_ms: float | None = None) -> DataFrame:
+    """:func:`batch_metrics` as rows, one for each entity of the batch."""
+    rows = [(m["entity"], m["rows"], m["chunks"], m["duration_ms"]) for m in batch_metrics(observations, duration_ms)]
+    return spark.createDataFrame(rows, "entity string, rows long, chunks long, duration_ms double")
+
+
 def chunk_count(c: Column, chunk: int = S.WRITE_CHUNK_ROWS) -> Column:
     return F.ceil(c / F.lit(chunk))

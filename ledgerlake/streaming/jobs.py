@@ -77,9 +77,8 @@ def process_batch(spark: SparkSession, batch: DataFrame, entity: str, root: str,
             ts = EVENT_TIME.get(entity) if EVENT_TIME.get(entity) in curated.columns else None
             seen = already_stored(committed, curated, key, ts)
             curated = curated.join(seen, key, "left_anti")
-        times = {entity: EVENT_TIME[entity]} if EVENT_TIME.get(entity) in curated.columns else None
         sinks.write_batch(spark, root, {entity: curated, f"{entity}_invalid": invalid.drop("errors")},
-                          batch_id, times=times)
+                          batch_id)
     finally:
         data.unpersist()
 
@@ -88,7 +87,8 @@ def ingest_stream(spark: SparkSession, stream: DataFrame, entity: str, root: str
                   checkpoint: str, key: str = "id", trigger: dict | None = None, compact_every: int = 0):
     """Raw stream → Q → P → S6 per micro-batch, with a checkpoint so a
     restarted query resumes after the last committed epoch. With
-    ``compact_every`` the stream compacts its tables after so many batches."""
+    ``compact_every`` the stream compacts its tables by day after so many
+    batches."""
     def fn(batch, batch_id):
         process_batch(spark, batch, entity, root, int(batch_id), key)
         _compact_after(spark, root, int(batch_id), compact_every)
@@ -99,7 +99,7 @@ def ingest_stream(spark: SparkSession, stream: DataFrame, entity: str, root: str
 
 def _compact_after(spark: SparkSession, root: str, batch_id: int, every: int) -> None:
     if every and (batch_id + 1) % every == 0:
-        batches.compact(spark, root)
+        batches.compact(spark, root, EVENT_TIME)
 
 
 def process_ledger_units(spark: SparkSession, batch: DataFrame, root: str, batch_id: int) -> None:
@@ -139,7 +139,7 @@ def process_ledger_units(spark: SparkSession, batch: DataFrame, root: str, batch
             "operation_invalid": bad_op.drop("errors").unionByName(_with_ledger(refused, "operations")),
             "processed_ledgers": idempotent_marks(ledgers, spark.createDataFrame([], "sequence long")),
         }
-        sinks.write_batch(spark, root, frames, batch_id, times=EVENT_TIME)
+        sinks.write_batch(spark, root, frames, batch_id)
     finally:
         data.unpersist()
 
