@@ -58,7 +58,8 @@ def _last_seen_per_account(tx: DataFrame) -> DataFrame:
 def active_accounts(tx: DataFrame, as_of=None) -> DataFrame:
     """Distinct source accounts with ``as_of - h <= created_at <= as_of`` for 24h/7d/30d."""
     t = as_of_column(tx, "created_at", as_of)
-    per = _last_seen_per_account(up_to(tx, "created_at", t).where(F.col("created_at") >= minus(t, S.HORIZONS[-1][1])))
+    per = _last_seen_per_account(up_to(tx, "created_at", t).where(
+        F.col("source_account").isNotNull() & (F.col("created_at") >= minus(t, S.HORIZONS[-1][1]))))
     return per.agg(*[
         F.count_if(F.col("last_seen") >= minus(t, secs)).alias(f"active_accounts_{label}")
         for label, secs in S.HORIZONS])
@@ -130,8 +131,8 @@ def stats_summary(led: DataFrame, tx: DataFrame, op: DataFrame, acct: DataFrame,
         F.count_if(day & F.col("successful")).alias("ok_24h"))
     txs = per.agg(
         F.sum("n").alias("total_transactions"),
-        *[F.count_if(F.col("last_seen") >= minus(t, secs)).alias(f"active_accounts_{label}")
-          for label, secs in S.HORIZONS],
+        *[F.count_if(F.col("source_account").isNotNull() & (F.col("last_seen") >= minus(t, secs)))
+          .alias(f"active_accounts_{label}") for label, secs in S.HORIZONS],
         F.sum("fee_24h").alias("fee_24h"), F.sum("n_24h").alias("n_24h"),
         F.sum("ok_24h").alias("ok_24h"))
     amt = E.json_decimal(F.col("details"), "amount")
@@ -186,8 +187,9 @@ def network_overview(tx: DataFrame, led: DataFrame, as_of=None) -> DataFrame:
         F.count_if(past & (F.col("created_at") > minus(t, 60))).alias("n_minute"))
     txs = per.agg(
         (F.coalesce(F.sum("n_minute"), F.lit(0)).cast("double") / F.lit(60.0)).alias("tps"),
-        F.count(F.lit(1)).alias("total_accounts"),
-        F.count_if(F.col("last_seen") > minus(t, 86400)).alias("active_accounts_24h"))
+        F.count("source_account").alias("total_accounts"),
+        F.count_if(F.col("source_account").isNotNull() & (F.col("last_seen") > minus(t, 86400)))
+        .alias("active_accounts_24h"))
     return _one_row(txs, _count_frame(led, "total_ledgers"))
 
 

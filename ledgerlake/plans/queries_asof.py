@@ -5,11 +5,14 @@ The SQL bounds every horizon on both sides by hand.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import aggregates as A
 from ledgerlake.operators import filters as FL
 from ledgerlake.operators import joins as J
+from ledgerlake.operators import rollups as R
 from ledgerlake.operators import windows as W
 from ledgerlake.plans.catalog import (NETWORK_METRICS_SQL, PAYMENTS_SQL, _t, amt_txt, cte, json_amt, payments, query,
                                       ratio_sql)
@@ -183,3 +186,49 @@ def q_aligned_lookup_many(spark, sf):
     keys = t.op_lineitem.select((F.col("transaction_hash").cast("long") * 100 + F.col("operation_index")).alias("pos"),
                                 F.col("transaction_hash").alias("hash"))
     return J.aligned_lookup(keys, t.tx_orders, "hash").select("pos", "hash", "id", "source_account")
+
+
+def _rolled(spark, sf):
+    """Roll-ups of all transactions, written as three batches."""
+    from ledgerlake.session import ensure_checkpoint_dir
+    root = f"{ensure_checkpoint_dir(spark)}/rolled-{uuid.uuid4().hex}"
+    tx = _t(spark, sf).tx_events
+    for batch in range(3):
+        R.roll_up(spark, root, tx.where(F.pmod(F.xxhash64("id"), F.lit(3)) == batch), batch)
+    return root, tx
+
+
+ROLLED_AT = (PAST, "2024-01-20 00:00:00")
+
+
+@query("active_accounts_rolled", cte("tx_events") + " UNION ALL ".join(
+    f"SELECT '{at}' AS as_of, " + ", ".join(
+        f"count(DISTINCT CASE WHEN {_in(h, t=f"TIMESTAMP '{at}'")} THEN source_account END) AS active_accounts_{n}"
+        for n, h in HOURS.items()) + " FROM tx_events" for at in ROLLED_AT))
+def q_active_accounts_rolled(spark, sf):
+    """A2 from bitmaps of hours and days at two past times."""
+    root, tx = _rolled(spark, sf)
+    one, two = (R.active_accounts(spark, root, tx, at).select(F.lit(at).alias("as_of"), "*") for at in ROLLED_AT)
+    return one.unionByName(two)
+
+
+@query("network_overview_rolled", cte("tx_events", "ledgers_events") + f"""
+SELECT CAST(count_if(created_at > {T} - INTERVAL 60 SECOND AND created_at <= {T}) AS DOUBLE) / 60.0 AS tps,
+       count(DISTINCT source_account) AS total_accounts,
+       count(DISTINCT CASE WHEN {_in(24, op=">")} THEN source_account END) AS active_accounts_24h,
+       (SELECT count(*) FROM ledgers_events) AS total_ledgers
+FROM tx_events""")
+def q_network_overview_rolled(spark, sf):
+    """A8 from roll-ups at a past time."""
+    root, tx = _rolled(spark, sf)
+    return R.network_overview(spark, root, tx, _t(spark, sf).ledgers_events, PAST)
+
+
+@query("account_activity_rolled", cte("tx_events") + "SELECT source_account AS account_id, " + ", ".join(
+    f"CAST(count_if({_in(h)}) AS BIGINT) AS transaction_count_{n}" for n, h in HOURS.items()) + f""",
+       min(created_at) AS first_transaction, max(created_at) AS last_transaction
+FROM tx_events WHERE source_account IS NOT NULL AND created_at <= {T} GROUP BY 1""")
+def q_account_activity_rolled(spark, sf):
+    """A19's activity from roll-ups at a past time."""
+    root, tx = _rolled(spark, sf)
+    return R.account_activity(spark, root, tx, PAST)
