@@ -8,9 +8,12 @@ by comparing the words themselves, so hash collisions never count. Only hits
 and one marker row per document leave the scan, so the one shuffle carries a
 few dozen bytes per document.
 
-The table is broadcast in parts of at most ``MAX_BROADCAST_WINDOWS`` windows
-(by hash), one scan of the documents for each part, so a benchmark collection
-of any size is matched whole with a bounded broadcast.
+The table holds each distinct window once, with a number in place of its
+items, and is broadcast in parts of at most ``MAX_BROADCAST_WINDOWS`` windows
+(by hash), one scan of the documents for each part: a benchmark collection of
+any size is matched whole with a bounded broadcast, also where one
+instruction text stands in most of its items. Which items hold a window is a
+table of its own that the distinct (document, window) hits are joined with.
 """
 
 from __future__ import annotations
@@ -34,39 +37,32 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, n: int = 10, id_col: str = "item_id",
-                      text_col: str = "text") -> DataFrame:
-    """Distinct windows: (_ll_len, _ll_win words, _ll_items ids as strings,
-    _ll_hash)."""
+                      text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (_ll_wid, _ll_len, _ll_win words, _ll_hash), and which
+    items hold them: distinct (_ll_wid, _ll_item id as a string)."""
     items = bench.select(F.col(id_col).cast("string").alias("_ll_item"),
                          words(F.col(text_col)).alias("_ll_w")).where(F.size("_ll_w") > 0)
     size = F.least(F.size("_ll_w"), F.lit(n))
     at = F.explode(F.sequence(F.lit(1), F.size("_ll_w") - size + 1)).alias("_ll_at")
-    return (items.select("_ll_item", "_ll_w", size.alias("_ll_len"), at)
-            .select("_ll_item", "_ll_len", F.slice("_ll_w", F.col("_ll_at"), F.col("_ll_len")).alias("_ll_win"))
-            .groupBy("_ll_len", "_ll_win").agg(F.collect_set("_ll_item").alias("_ll_items"))
-            .withColumn("_ll_hash", F.xxhash64("_ll_win")))
-
-
-def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """Hits of benchmark windows in documents, one row per distinct
-    (document id, text): ``id_col``, ``_ll_key`` (hash of the text),
-    ``copies`` (rows with that id and text), ``n_words``, ``spans`` (verified
-    windows as (start word from 0, end word exclusive), sorted), ``n_hit``
-    (words inside any of them) and ``items`` (ids of the items, as strings,
-    sorted).
-
-    Defined cases: null and empty texts have no words and no hits; items
-    without words have no window; an item without id still makes words hit
-    but is not listed; repeated items and rows change nothing but ``copies``;
-    an empty benchmark hits nothing.
-    """
-    wins = kept(benchmark_windows(bench, n, text_col="text"))
+    spots = (items.select("_ll_item", "_ll_w", size.alias("_ll_len"), at)
+             .select("_ll_item", "_ll_len", F.slice("_ll_w", F.col("_ll_at"), F.col("_ll_len")).alias("_ll_win")))
+    # numbers are fixed once the table is kept
+    wins = kept(spots.select("_ll_len", "_ll_win").distinct().select(
+        F.monotonically_increasing_id().alias("_ll_wid"), "*", F.xxhash64("_ll_win").alias("_ll_hash")))
+    links = (spots.where("_ll_item IS NOT NULL").distinct()
+             .join(wins.select("_ll_wid", "_ll_win"), "_ll_win").select("_ll_wid", "_ll_item"))
+    return wins, links
+
+
+def window_hits(docs: DataFrame, wins: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified hits, one row per distinct (document id, text): ``_ll_id``,
+    ``_ll_key`` (hash of the text), ``copies``, ``n_words``, ``spans``,
+    ``n_hit`` and ``wids`` (numbers of the windows that hit)."""
     sizes = wins.groupBy("_ll_len").agg(F.count("*").alias("n")).collect()   # at most n rows
     lengths = sorted(r["_ll_len"] for r in sizes)
     parts = max(1, -(-sum(r["n"] for r in sizes) // MAX_BROADCAST_WINDOWS))
     marker = docs.sparkSession.createDataFrame(
-        [(0, [], [], 0)], "_ll_len int, _ll_win array<string>, _ll_items array<string>, _ll_hash long")
+        [(None, 0, [], 0)], "_ll_wid long, _ll_len int, _ll_win array<string>, _ll_hash long")
 
     found = None
     for part in range(parts):
@@ -87,7 +83,7 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str =
         same = (F.col("_ll_l") == 0) | (F.slice("_ll_w", F.greatest("_ll_at", F.lit(1)), F.col("_ll_l")) == F.col("_ll_win"))
         hits = (w.join(F.broadcast(side), (F.col("_ll_h") == F.col("_ll_hash"))
                        & (F.col("_ll_l") == F.col("_ll_len")) & same)
-                .select("_ll_id", "_ll_key", F.size("_ll_w").alias("_ll_n"), "_ll_at", "_ll_len", "_ll_items"))
+                .select("_ll_id", "_ll_key", F.size("_ll_w").alias("_ll_n"), "_ll_at", "_ll_len", "_ll_wid"))
         found = hits if found is None else found.unionByName(hits)
 
     start = F.col("_ll_at").cast("int") - 1
@@ -95,14 +91,41 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str =
         F.max("_ll_n").alias("n_words"), F.count_if(F.col("_ll_len") == 0).alias("copies"),
         F.array_sort(F.collect_set(F.when(F.col("_ll_len") > 0, F.struct(
             start.alias("start"), (start + F.col("_ll_len")).alias("end"))))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_ll_items")))).alias("items"))
+        F.collect_set("_ll_wid").alias("wids"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("hit"))
     covered = F.aggregate("spans", zero, lambda a, x: F.struct(
         F.greatest(a["end"], x["end"]).alias("end"),
         (a["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("hit")),
         lambda a: a["hit"])
-    return per.select(F.col("_ll_id").alias(id_col), "_ll_key", "copies", F.col("n_words").cast("long").alias("n_words"),
-                      "spans", covered.alias("n_hit"), "items")
+    return per.select("_ll_id", "_ll_key", "copies", F.col("n_words").cast("long").alias("n_words"),
+                      "spans", covered.alias("n_hit"), "wids")
+
+
+def contamination(docs: DataFrame, bench: DataFrame, n: int = 10, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
+    """Hits of benchmark windows in documents, one row per distinct
+    (document id, text): ``id_col``, ``_ll_key`` (hash of the text),
+    ``copies`` (rows with that id and text), ``n_words``, ``spans`` (verified
+    windows as (start word from 0, end word exclusive), sorted), ``n_hit``
+    (words inside any of them) and ``items`` (ids of the items, as strings,
+    sorted).
+
+    Defined cases: null and empty texts have no words and no hits; items
+    without words have no window; an item without id still makes words hit
+    but is not listed; repeated items and rows change nothing but ``copies``;
+    an empty benchmark hits nothing; a text of any length is scanned whole.
+    """
+    wins, links = benchmark_windows(bench, n, text_col="text")
+    per = kept(window_hits(docs, wins, id_col, text_col))
+    of = (per.where("n_hit > 0").select("_ll_id", "_ll_key", F.explode("wids").alias("_ll_wid"))
+          .join(links, "_ll_wid").select("_ll_id", "_ll_key", "_ll_item").distinct())
+    # the items of a document meet its row in one grouping, which takes a null id as a value
+    same = per.drop("wids").withColumn("_ll_item", F.lit(None).cast("string")).unionByName(
+        of, allowMissingColumns=True)
+    own = ("copies", "n_words", "spans", "n_hit")
+    out = same.groupBy("_ll_id", "_ll_key").agg(*[F.max(c).alias(c) for c in own],
+                                                F.array_sort(F.collect_set("_ll_item")).alias("items"))
+    return out.select(F.col("_ll_id").alias(id_col), "_ll_key", *own, "items")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, action: str = "document",
@@ -114,8 +137,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 10, action: str =
     stays). Cases are defined as in :func:`contamination`; clean rows are
     returned untouched, repeated rows as often as they came.
     """
-    hit = contamination(docs, bench, n, id_col, text_col).where("n_hit > 0").select(
-        F.col(id_col).alias("_ll_id"), F.col("_ll_key").alias("_ll_hit_key"), F.col("spans").alias("_ll_spans"))
+    wins, _ = benchmark_windows(bench, n, text_col="text")
+    hit = window_hits(docs, wins, id_col, text_col).where("n_hit > 0").select(
+        "_ll_id", F.col("_ll_key").alias("_ll_hit_key"), F.col("spans").alias("_ll_spans"))
     same = F.col(id_col).eqNullSafe(F.col("_ll_id")) & (F.xxhash64(text_col) == F.col("_ll_hit_key"))
     if action == "document":
         return docs.join(small_side(hit.drop("_ll_spans")), same, "left_anti")

@@ -89,3 +89,14 @@ def test_drop_spans(case):
 def test_unknown_action(case):
     with pytest.raises(ValueError):
         decontam.decontaminate(case[2], case[3], action="nothing")
+
+
+def test_one_instruction_in_all_items(make, spark):
+    told = prose(14, 3, 10 ** 6)
+    items = [(i, f"{told} {prose(12, i + 9, 10 ** 6)}") for i in range(300)]
+    rows = [(1, told, "en", "s"), (2, items[7][1], "en", "s"), (3, prose(40, 1), "en", "s"), (None, told, "en", "s")]
+    docs, bench = make(rows), spark.createDataFrame(items, "item_id long, text string")
+    assert got(decontam.digest(decontam.contamination(docs, bench))) == brute(rows, items)
+    wins, links = decontam.benchmark_windows(bench)
+    assert wins.columns == ["_ll_wid", "_ll_len", "_ll_win", "_ll_hash"]     # what is broadcast lists no items
+    assert links.count() == sum(len({tuple(words(t)[p:p + 10]) for p in range(len(words(t)) - 9)}) for _, t in items)
