@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake import schemas as S
+from ledgerlake.sources.raw import line_starts
 
 # check kinds: required, nonempty, gt0, ge0, iso, numeric, hash, address,
 # address_or_null, bool
@@ -222,6 +223,21 @@ def split_valid(raw: DataFrame, entity: str, position: str | None = None):
     return valid, invalid
 
 
+def split_valid_lines(lines: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`split_valid` of landed lines (``raw.read_lines``): the position
+    of an invalid record is its ``file`` and ``line`` (from 1), the same
+    however the file is split among tasks; ``raw`` is the line itself. Only
+    invalid records and one row for each file split are joined."""
+    place = ("_text", "_file", "_block", "_at")
+    checked = validate(lines, entity).where(F.trim("_text") != "")
+    ok = F.size("errors") == 0
+    valid = checked.where(ok).drop("errors", "_corrupt", *place)
+    invalid = checked.where(~ok).join(line_starts(lines), ["_file", "_block"]).select(
+        F.col("_file").alias("file"), (F.col("_at") + F.col("_first")).alias("line"),
+        F.array_join("errors", "; ").alias("error"), F.col("_text").alias("raw"), "errors")
+    return valid, invalid
+
+
 def require_valid(df: DataFrame, entity: str) -> DataFrame:
     """Strict mode for a small unit of work (one landed record or batch):
     raise ``ValueError("invalid <entity>: <errors>")`` when any record

@@ -11,6 +11,7 @@ from ledgerlake.functions import scalar as E
 from ledgerlake.operators import filters as FL
 from ledgerlake.operators import joins as J
 from ledgerlake.operators import maintain as M
+from ledgerlake.operators import quality as Q
 from ledgerlake.plans.catalog import NETWORK_METRICS_SQL, _t, cte, query
 from ledgerlake.plans.queries_more import ACCOUNT_METRICS_SQL, _account_metrics, errors_sql
 from ledgerlake.session import ensure_checkpoint_dir
@@ -51,6 +52,22 @@ def q_read_stream(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("invalid_lines", cte("raw_tx_orders") + f"""
+SELECT month, line, id, error FROM (
+  SELECT CAST(ledger AS BIGINT) // 30 AS month, id, {errors_sql('transaction', 'raw_tx_orders')} AS error,
+         row_number() OVER (PARTITION BY CAST(ledger AS BIGINT) // 30 ORDER BY id) AS line
+  FROM raw_tx_orders) WHERE error <> ''""")
+def q_invalid_lines(spark, sf):
+    """Q4: transactions landed as one sorted file a month; file and line of
+    every record that fails validation."""
+    path = _folder(spark, "landing")
+    (_t(spark, sf).raw_tx_orders.withColumn("month", F.expr("ledger div 30")).repartition("month")
+     .sortWithinPartitions("month", "id").write.partitionBy("month").json(path))
+    _, invalid = Q.split_valid_lines(raw.read_lines(spark, path, "transaction"), "transaction")
+    return invalid.select(F.regexp_extract("file", "/month=([0-9]+)/", 1).cast("long").alias("month"), "line",
+                          F.get_json_object("raw", "$.id").alias("id"), "error")
+
+
 def _ingested(spark, sf):
     root = _folder(spark, "tables")
     stream = raw.read_stream(spark, _land(spark, sf), "transaction", per_batch=2)

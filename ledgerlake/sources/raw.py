@@ -6,7 +6,7 @@ malformed lines are kept in ``_corrupt`` instead of failing the job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,27 @@ def read_raw(spark: SparkSession, path: str, entity: str) -> DataFrame:
             .json(path))
 
 
+def read_lines(spark: SparkSession, path: str, entity: str) -> DataFrame:
+    """:func:`read_raw` with each record's place: the entity's columns,
+    ``_corrupt``, and ``_text`` (the line), ``_file``, ``_block`` (first byte
+    of the file split) and ``_at``. The lines of a split are read in order by
+    one task, so ``_at`` counts them; :func:`line_starts` turns it into line
+    numbers. Blank lines hold no record but are counted."""
+    lines = spark.read.text(path).select(
+        F.col("value").alias("_text"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    record = F.from_json("_text", raw_schema(entity), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return lines.withColumn("_record", record).select("_record.*", "_text", "_file", "_block", "_at")
+
+
+def line_starts(lines: DataFrame) -> DataFrame:
+    """(``_file``, ``_block``, ``_first``): what to add to ``_at`` for the line
+    number in the file, from 1. One row a file split; no record is shuffled."""
+    splits = lines.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_low") + 1).alias("_first"))
+
+
 # S2 -------------------------------------------------------------------------
 def read_sequence_range(led: DataFrame, start: int, end: int, col: str = "sequence") -> DataFrame:
     """Inclusive range scan by ledger sequence; literal bounds reach the scan
