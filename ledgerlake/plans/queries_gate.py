@@ -217,7 +217,7 @@ def q_preset_active(spark, sf):
     return FL.preset("active", _account_metrics(_t(spark, sf))).select("account_id")
 
 
-LIVE_LATENESS_HOURS, LIVE_SLICES = 6, 4
+LIVE_LATENESS_HOURS, LIVE_SLICES, LIVE_BUCKETS = 6, 4, 64
 
 
 @query("network_metrics_live", NETWORK_METRICS_SQL.replace(
@@ -229,20 +229,23 @@ SELECT * FROM nm WHERE timestamp <= (
 def q_network_metrics_live(spark, sf):
     """All events landed in slices of time, each row up to six hours late,
     and streamed through the trailing-hour state; ledgers come out once the
-    watermark has passed them."""
+    watermark has passed them. Every slice is landed by all cores and streamed
+    as one micro-batch by a stream that goes on from its checkpoint."""
     t = _t(spark, sf)
-    path, out = _folder(spark, "events"), _folder(spark, "live")
-    events = R.hour_events(t.ledgers_events, t.tx_events, t.op_events, buckets=8)
+    staged, path, out, offsets = (_folder(spark, x) for x in ("staged", "events", "live", "offsets"))
+    events = R.hour_events(t.ledgers_events, t.tx_events, t.op_events, LIVE_BUCKETS)
     late_us = LIVE_LATENESS_HOURS * 3_600_000_000
     span = events.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()      # one row
     wide = -(-(span["hi"] - span["lo"] + late_us + 1) // LIVE_SLICES)
     late = F.pmod(F.xxhash64("t", "account", "bucket"), F.lit(late_us))
-    for k in range(LIVE_SLICES):             # files are streamed in the order in which they were written
-        part = events.where(F.floor((F.col("t") - F.lit(span["lo"]) + late) / F.lit(wide)) == k)
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    R.rolling_network_metrics(spark, stream, out, _folder(spark, "offsets"),
-                              f"{LIVE_LATENESS_HOURS} hours").awaitTermination()
+    slices = F.floor((F.col("t") - F.lit(span["lo"]) + late) / F.lit(wide)).cast("int")
+    events.withColumn("slice", slices).write.partitionBy("slice").parquet(staged)
+    for k in range(LIVE_SLICES):
+        (spark.read.schema(events.withColumn("slice", slices).schema).parquet(staged)
+         .where(F.col("slice") == k).drop("slice").write.mode("append").parquet(path))
+        stream = spark.readStream.schema(events.schema).parquet(path)
+        R.rolling_network_metrics(spark, stream, out, offsets, f"{LIVE_LATENESS_HOURS} hours",
+                                  partitions=LIVE_BUCKETS).awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -97,3 +97,91 @@ def test_parts_of_nothing():
     assert R.parts_of([(5, "a", 2, 1, 30)], [(6, 1, 10**30)], [(1, 6), (2, 5 + 3_600_000_000), (3, 7 + 3_600_000_000)]) == [
         (1, 6, 2, 1, 30, 1, str(10**30), 1), (2, 5 + 3_600_000_000, 2, 1, 30, 1, str(10**30), 1),
         (3, 7 + 3_600_000_000, 0, 0, 0, 0, "0", 0)]
+
+
+def test_state_is_accessed_by_blocks_not_by_minutes(spark, tmp):
+    """A bucket's state grows with the blocks of its rows: few entries for a
+    day with an event in each of its minutes."""
+    tx = [(f"t{i}", T0 + dt.timedelta(minutes=i), f"a{i % 9}", True, i) for i in range(1440)]
+    op = [(f"o{i}", T0 + dt.timedelta(minutes=i), "payment", '{"amount":"1"}') for i in range(1440)]
+    led = [(h, T0 + dt.timedelta(hours=h)) for h in range(1, 24)]
+    frames = (spark.createDataFrame(led, "sequence long, closed_at timestamp_ntz"),
+              spark.createDataFrame(tx, TX), spark.createDataFrame(op, OP))
+    path, out = os.path.join(tmp, "in"), os.path.join(tmp, "out")
+    R.hour_events(*frames, buckets=1).write.parquet(path)
+    stream = spark.readStream.schema(R.EVENTS).parquet(path)
+    q = R.rolling_network_metrics(spark, stream, out, os.path.join(tmp, "ck"), "1 minute", partitions=1)
+    q.awaitTermination()
+    operators = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    assert max(o["numRowsTotal"] for o in operators) < 20
+    assert {o["numShufflePartitions"] for o in operators} == {1}
+    want = rows(network_metrics(*frames))
+    assert rows(spark.read.parquet(out)) == want and len(want) == 23
+
+
+class FakeMap(dict):
+    """A map state in memory."""
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def getValue(self, key):
+        return self.get(key)
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class FakeHandle:
+    def __init__(self):
+        self.timers = []
+
+    def getMapState(self, *_):
+        return FakeMap()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_many_short_batches_of_wide_spans(monkeypatch):
+    """Merged blocks, closes worked off in parts, a close that comes again."""
+    import numpy as np
+    import pandas as pd
+    monkeypatch.setattr(R, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(R, "GATHER_ROWS", 20)
+    monkeypatch.setattr(R, "MANY_BLOCKS", 6)
+    r, state, hour = random.Random(3), R.HourState(), 3_600_000_000
+    state.init(FakeHandle())
+    tx, op, closes, got, most = [], [], {}, [], 0
+    for k in range(30):
+        new = []
+        for _ in range(12):
+            t, account = k * hour + r.randrange(2 * hour), r.choice(["a", "b", "c", None])
+            tx.append((t, account, 1, 1, r.randrange(9)))
+            new.append(("tx", t, account, 0, 1, 1, tx[-1][4], 0, 0, 0, 0))
+            op.append((t + 1, 2, r.randrange(-10**36, 10**37)))
+            digits = [op[-1][2] >> s & 0xffffffff for s in (0, 32, 64)] + [op[-1][2] >> 96]
+            new.append(("op", t + 1, None, 0, 2, 0, 0, *digits))
+        for s in (2 * k, 2 * k + 1, max(0, 2 * k - 1)):     # the ledger before comes once more, with another time
+            t = k * hour + r.randrange(hour, 2 * hour)
+            if (s not in closes or closes[s] > k * hour) and s not in {g[0] for g in got}:
+                closes[s] = t
+                new = [e for e in new if e[0] != "close" or e[3] != s]
+                new.append(("close", t, None, s, 0, 0, 0, 0, 0, 0, 0))
+        r.shuffle(new)
+        frame = pd.DataFrame(new, columns=["kind", "t", "account", "sequence", "n", "ok", "fee", *R.DIGITS])
+        list(state.handleInputRows((0,), iter([frame[:9], frame[9:]]), Now(0)))
+        for part in state.handleExpiredTimer((0,), Now(k * hour // 1000), None):
+            got += list(part.itertuples(index=False, name=None))
+        most = max(most, len(state.events.keys()))
+    due = [(s, t) for s, t in sorted(closes.items(), key=lambda c: c[1]) if t <= 29 * hour]
+    assert sorted(got) == sorted(R.parts_of(tx, op, due))
+    for s, t, *_, vol, accounts in R.parts_of(tx, op, due):
+        assert int(vol) == sum(v for at, _, v in op if t - hour <= at <= t)
+        assert accounts == len({a for at, a, *_ in tx if a and t - hour <= at <= t})
+    assert most <= 30 and all(np.diff([k[0] for k in state.events.keys()]) >= 0)
