@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake import schemas as S
@@ -291,28 +291,58 @@ def integrity_report(checks: list[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+#: Rows that a task of the integrity checks holds the keys of, about.
+TASK_ROWS = 500_000
+
+
+def dealt_tasks(spark: SparkSession, rows: int) -> int | None:
+    """Number of tasks among which so many rows are dealt by key, or nothing
+    where the session's own partitions do."""
+    tasks = -(-rows // TASK_ROWS)
+    return tasks if tasks > spark.sparkContext.defaultParallelism else None
+
+
+def _dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return df.repartition(tasks, *keys) if tasks else df
+
+
+def _orphan_rows(df: DataFrame, fk: str, parent: DataFrame, pk: str, rows: int, parent_rows: int) -> DataFrame:
+    """Number of rows whose key is in no row of the parent (null keys refer to
+    nothing): the rows of a key are counted and meet the parent's keys in one
+    aggregate. Keys of a small parent are few: they are counted before the
+    shuffle. Those of a large one are dealt out, a hot key to 16 places."""
+    child = df.where(F.col(fk).isNotNull()).select(F.col(fk).alias("_k"))
+    tasks = dealt_tasks(df.sparkSession, parent_rows) and dealt_tasks(df.sparkSession, rows + parent_rows)
+    if tasks:
+        child = child.withColumn("_s", F.spark_partition_id() % 16).repartition(tasks, "_k", "_s")
+        child = child.groupBy("_k", "_s").agg(F.count(F.lit(1)).alias("_n")).drop("_s")
+    else:
+        child = child.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    held = parent.select(F.col(pk).alias("_k"), F.lit(None).cast("long").alias("_n"))
+    both = _dealt(child.withColumn("_p", F.lit(False)).unionByName(held.withColumn("_p", F.lit(True))), tasks, "_k")
+    counts = both.groupBy("_k").agg(F.sum("_n").alias("_n"), F.max("_p").alias("_p"))
+    return counts.agg(F.coalesce(F.sum(F.when(~F.col("_p"), F.col("_n"))), F.lit(0)).alias("violations"))
+
+
 def table_integrity(df: DataFrame, unique: tuple[str, list[str]] | None = None,
-                    references: list[tuple[str, str, DataFrame, str]] = ()) -> DataFrame:
-    """All rules of one table in one pass over it: ``unique`` is (rule, key
-    columns), ``references`` are (rule, foreign key, parent, parent key).
-    Each row meets the parents' distinct keys; the violations are counted per
-    key first (map-side for repeated keys), so the uniqueness rule needs no
-    scan of its own. Returns (rule, violations)."""
-    cols = list(dict.fromkeys([*(unique[1] if unique else []), *[fk for _, fk, _, _ in references]]))
-    out = df.select(*cols)
-    for i, (_, fk, parent, pk) in enumerate(references):
-        keys = parent.select(F.col(pk).alias(f"_p{i}")).distinct()
-        out = out.join(keys, F.col(fk) == F.col(f"_p{i}"), "left")
-    broken_refs = [F.count_if(F.col(fk).isNotNull() & F.col(f"_p{i}").isNull()).alias(f"v{i}")
-                   for i, (_, fk, _, _) in enumerate(references)]
-    names = [name for name, *_ in references]
+                    references: list[tuple[str, str, DataFrame, str]] = (),
+                    rows: list[int] | None = None) -> DataFrame:
+    """All rules of one table: ``unique`` is (rule, key columns),
+    ``references`` are (rule, foreign key, parent, parent key). Each rule is
+    an aggregate by its key, without a join or sort; large tables are dealt
+    among tasks of about ``TASK_ROWS`` rows, so a task's memory does not grow
+    with the table. ``rows`` are the rows of the table and of each parent, or
+    bounds of them (counted if not given). Returns (rule, violations)."""
+    n, *n_parents = rows or [df.count(), *[parent.count() for _, _, parent, _ in references]]
+    parts = []
+    for (name, fk, parent, pk), n_parent in zip(references, n_parents, strict=True):
+        parts.append((name, _orphan_rows(df, fk, parent, pk, n, n_parent)))
     if unique:
-        out = out.groupBy(*unique[1]).agg(F.count(F.lit(1)).alias("n"), *broken_refs)
-        broken_refs = [F.coalesce(F.sum(f"v{i}"), F.lit(0)).alias(f"v{i}") for i in range(len(names))]
-        broken_refs.append(F.count_if(F.col("n") > 1).alias(f"v{len(names)}"))
-        names.append(unique[0])
-    stack = ", ".join(f"'{name}', v{i}" for i, name in enumerate(names))
-    return out.agg(*broken_refs).select(F.expr(f"stack({len(names)}, {stack}) AS (rule, violations)"))
+        keyed = _dealt(df.select(*unique[1]), dealt_tasks(df.sparkSession, n), *unique[1])
+        counts = keyed.groupBy(*unique[1]).agg(F.count(F.lit(1)).alias("_n"))
+        parts.append((unique[0], counts.agg(F.count_if(F.col("_n") > 1).alias("violations"))))
+    return reduce(lambda a, b: a.unionByName(b),
+                  [found.select(F.lit(name).alias("rule"), "violations") for name, found in parts])
 
 
 # Q7 -------------------------------------------------------------------------

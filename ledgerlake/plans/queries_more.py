@@ -220,18 +220,22 @@ def q_integrity_report(spark, sf):
     """Q6: foreign-key and uniqueness violations, one row per rule."""
     t = _t(spark, sf)
     op, tx, led = t.op_lineitem, t.tx_orders, t.ledgers_orders
+    n_op, n_tx, n_account, n_asset = t.rows("lineitem", "orders", "customer", "part")
+    n_led = led.count()
     parts = [
         Q.table_integrity(op, ("operations.id unique", ["id"]), [
             ("operations.transaction_hash -> transactions.hash", "transaction_hash", tx, "hash"),
-            ("operations.ledger_sequence -> ledgers.sequence", "ledger_sequence", led, "sequence")]),
+            ("operations.ledger_sequence -> ledgers.sequence", "ledger_sequence", led, "sequence")],
+            rows=[n_op, n_tx, n_led]),
         Q.table_integrity(tx, ("transactions.hash unique", ["hash"]), [
-            ("transactions.ledger_sequence -> ledgers.sequence", "ledger_sequence", led, "sequence")]),
-        Q.table_integrity(led, ("ledgers.sequence unique", ["sequence"])),
+            ("transactions.ledger_sequence -> ledgers.sequence", "ledger_sequence", led, "sequence")], rows=[n_tx, n_led]),
+        Q.table_integrity(led, ("ledgers.sequence unique", ["sequence"]), rows=[n_led]),
         Q.table_integrity(t.trustlines, ("trustlines (account_id, asset_id) unique", ["account_id", "asset_id"]), [
             ("trustlines.account_id -> accounts.account_id", "account_id", t.accounts, "account_id"),
-            ("trustlines.asset_id -> assets.id", "asset_id", t.assets, "id")]),
+            ("trustlines.asset_id -> assets.id", "asset_id", t.assets, "id")],
+            rows=[n_op, n_account, n_asset]),
         Q.table_integrity(t.assets, ("assets (asset_type, asset_code, asset_issuer) unique",
-                                     ["asset_type", "asset_code", "asset_issuer"])),
+                                     ["asset_type", "asset_code", "asset_issuer"]), rows=[n_asset]),
     ]
     out = parts[0]
     for p in parts[1:]:

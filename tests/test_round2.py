@@ -183,6 +183,34 @@ def test_integrity_of_a_table_in_one_pass(spark):
     assert got == {"unique": 1, "fk": 2}
 
 
+def test_integrity_of_large_tables_is_dealt_by_size(spark, monkeypatch):
+    """Tables above a task's rows are dealt among more tasks than the session
+    shuffles with: same counts with repeated, null and orphan keys."""
+    parent = spark.createDataFrame([(i // 2,) for i in range(200)], "id long")
+    child = spark.createDataFrame([(None if i % 50 == 0 else f"k{i // 2}", None if i % 9 == 0 else 7 if i % 2 else i)
+                                   for i in range(300)], "key string, fk long").repartition(5)
+
+    def report():
+        return Q.table_integrity(child, ("unique", ["key"]), [("fk", "fk", parent, "id")])
+    want = {r["rule"]: r["violations"] for r in report().collect()}
+    assert want["fk"] == sum(1 for i in range(300) if i % 9 and not i % 2 and i >= 100)
+    monkeypatch.setattr(Q, "TASK_ROWS", 20)
+    assert {r["rule"]: r["violations"] for r in report().collect()} == want
+    plan = report()._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count(", 15)") + plan.count(", 25)") >= 3, plan
+
+
+def test_groups_as_many_as_rows_are_dealt_by_size(spark, monkeypatch):
+    from ledgerlake.plans.testviews import TestTables
+    from tests.conftest import SF_SMALL
+    want = sorted(map(str, TestTables(spark, SF_SMALL).trustlines.collect()))
+    monkeypatch.setattr(Q, "TASK_ROWS", 500)
+    dealt = TestTables(spark, SF_SMALL).trustlines
+    assert "l_suppkey" in dealt._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")[0]
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, dealt.collect())) == want
+
+
 def test_active_preset(spark):
     from ledgerlake.operators import filters as FL
     df = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "account_id string, is_active boolean")
