@@ -34,6 +34,7 @@ from __future__ import annotations
 import functools
 import heapq
 import os
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -59,6 +60,9 @@ SLACK = (8, 24)
 ROUNDS = 8
 #: Words that a worker remembers the ids of, and their length at most.
 MEMO_WORDS, MEMO_LENGTH = 300_000, 64
+#: ASCII marks, which the tokenizer keeps together; an apostrophe may begin an
+#: ending of its own ('s).
+MARKS = string.punctuation.replace("'", "")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -69,19 +73,24 @@ class WordIds:
     """Ids of texts by a tokenizer whose words never cross a blank: each
     distinct blank-separated word is tokenized once and remembered.
 
-    Words of Latin letters are tokenized in lower case (the tokenizer lowers
-    them itself) and without a comma or full stop at their end, which is a
-    token apart. Past ``MEMO_WORDS`` words a new memory is begun, which takes
+    Texts of Latin characters are read in lower case (the tokenizer lowers
+    them itself, once it has found the special tokens, which begin by ``<|``).
+    Words of Latin letters are tokenized without the ASCII marks at their end,
+    which are a piece apart, and by the tokenizer's model alone: they are one
+    piece to its pattern, which need not be matched. Past ``MEMO_WORDS`` words a new memory is begun, which takes
     over from the older one what is met again.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters = Tokenizer.from_file(path)        # for lower-case words of letters, between blanks
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.memo: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.ends = {x: self._apart([x])[x] for x in ".,"}
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)    # ids that end a word
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
@@ -95,41 +104,43 @@ class WordIds:
         """Ids of words of Latin letters, a hundred in a text."""
         found = {}
         groups = [words[i:i + 100] for i in range(0, len(words), 100)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups],
-                                                                     add_special_tokens=False)):
+        for group, e in zip(groups, self.letters.encode_batch_fast([" ".join(g) for g in groups],
+                                                                   add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
-            begin = 0
+            raw, begin = ids.tobytes(), 0
             for word, end in zip(group, ends):
-                found[word] = ids[begin:end].tobytes()
+                found[word] = raw[4 * begin:4 * end]
                 begin = end
         return found
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        plain, cores, odd, ends = [], [], [], self.ends
+        plain, cores, ends, odd = [], [], [], []        # no tuples, which the collector of garbage would visit
         for w in words:
-            core = w[:-1] if w[-1] in ends else w
+            core = w.rstrip(MARKS)
             if core.isalpha() and (core.isascii() or _latin(core)):
                 plain.append(w)
                 cores.append(core.lower())
+                ends.append(w[len(core):])
             else:
                 odd.append(w)
-        known = self._joined(list(set(cores).difference(self.memo)))
-        known.update(self._apart(odd))
         memo = self.memo
-        for w, core in zip(plain, cores):
-            ids = known[core] if core in known else memo[core]
-            known[w] = ids + ends[w[-1]] if w[-1] in ends else ids
+        known = self._joined(list(set(cores).difference(memo)))
+        known.update(self._apart(odd))
+        end_ids = self._apart(list(set(ends)))
+        for w, core, end in zip(plain, cores, ends):
+            if w not in known:
+                known[w] = (known[core] if core in known else memo[core]) + end_ids[end]
         return known
 
     def __call__(self, text_list: list[str]) -> Iterator[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in text_list]
+        split = [_lower(t).replace("\n", " ").split(" ") for t in text_list]
         memo, seen = self.memo, set().union(*split)
         new = seen.difference(memo)
         if len(memo) + len(new) > MEMO_WORDS:
             self.older, self.memo = memo, {"": b""}
             memo, new = self.memo, seen
-        for w in new.intersection(self.older):
+        for w in filter(self.older.__contains__, new):
             memo[w] = self.older[w]
         new = new.difference(memo)
         memo.update(self._learn(list(new)))
@@ -150,6 +161,11 @@ def _latin(word: str) -> bool:
     return True
 
 
+def _lower(text: str) -> str:
+    """The text in lower case if that leaves its ids alone."""
+    return text.lower() if (text.isascii() or _latin(text)) and "<|" not in text else text
+
+
 @functools.lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
     return WordIds(path)

@@ -32,6 +32,28 @@ def test_remembered_words_give_the_tokenizers_ids(tokenizer, monkeypatch):
             assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+MARKED = ["heat*** are.%%% Reshsh,### x''s it's.. don't_ a_b_ É.,É é<| A<|endoftext|>.. <|ENDOFTEXT|> <|EndOfText|>a",
+          "ÀÉ ÷× µM ªº", "ABC Abc abc. ABC, aBc;'s \x85A\xa0B \xadC", "A1. 1A. _A A_ ''", "ΑΒΓ. ABC ÿŸ"]
+
+
+def test_marks_and_capitals(tokenizer, monkeypatch):
+    apart = []
+    ids = packing.WordIds(PATH)
+    for text, got in zip(MARKED, ids(MARKED)):
+        assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    # words that differ by capitals or marks alone cost the tokenizer one word of letters
+    monkeypatch.setattr(ids, "_joined", lambda words, joined=ids._joined: apart.extend(words) or joined(words))
+    list(ids(["Zebrafish zebrafish*** ZEBRAFISH.%%% zebrafish"]))
+    assert apart == ["zebrafish"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("aAéÉsSΣßİ '.,*<|>_1\n\u0301\x85", max_size=30), max_size=4))
+def test_any_text_of_marks(texts):
+    ids, tokenizer = packing._word_ids(PATH), Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in ids(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=5))
 def test_any_text(texts):
